@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basics
+from . import basics, measures, overlaps, scalars
 
-MODULES = [basics]
+MODULES = [basics, overlaps, measures, scalars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
