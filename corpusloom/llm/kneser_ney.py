@@ -175,7 +175,9 @@ class Shard:
             place, owner = place[mine], owner[mine]
         seed, rolling = language_seed(lang), Rolling(mixed(codes + np.uint64(1)))
         key = lambda s, e, kind: gram_key(codes, s, e, seed, kind, rolling)
-        floor = self.find(key(place[:1], place[:1], 2))[1][0] if len(place) else 1.0
+        modelled, floor = self.find(key(place[:1], place[:1], 2))
+        if not modelled.any():  # no position here, or no model of the language
+            return np.zeros((len(words), 2))
         p, weight, open_ = np.zeros(len(place)), np.ones(len(place)), np.arange(len(place))
         for m in range(self.order, 0, -1):
             begin = np.maximum(place[open_] - m + 1, first[owner[open_]])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +85,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "h", "pos", F.length("row.gap").alias("gap_n"), F.col("row.match").alias("match"), F.regexp_replace(left, r"\s+", " ").alias("pattern"))
     placed = _placed(rows)
     token = F.regexp_replace(F.col("match"), r"[\p{Punct}]++$", "")
-    kind = reduce(lambda c, k: c.when(F.col("token").rlike(SHAPES[k]), k), KINDS, F.when(F.lit(False), ""))
+    t, n = F.col("token"), F.length(_digits(F.col("token")))
+    kind = F.when(t.rlike(SHAPES["email"]), "email").when(t.rlike(SHAPES["ip"]), "ip").when(t.rlike(SHAPES["phone"]) & n.between(10, 15), "phone").when(t.rlike(f"^{SHAPES['card']}$") & n.between(14, 19), "card")
     out = placed.withColumn("token", token).withColumn("end", F.col("start") + F.length("token"))
-    return out.withColumn("kind", F.when(F.col("token").rlike(rf"^{SHAPES['card']}$") & ~F.length(_digits(F.col("token"))).between(14, 19), None).otherwise(kind)).select("doc_id", "h", "start", "end", "token", "pattern", "kind")
+    return out.withColumn("kind", kind).select("doc_id", "h", "start", "end", "token", "pattern", "kind")
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
