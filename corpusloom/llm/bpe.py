@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +197,9 @@ def load(path: str) -> Merges:
         return Merges({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
 
 
+@lru_cache(maxsize=1)
 def encoder(merges: Merges, pattern: str) -> UnitCache:
+    """The ids of texts, by units of them; a worker keeps the table between tasks."""
     split = regex.compile(pattern).findall
 
     def encode(units: list[str]) -> list[np.ndarray]:

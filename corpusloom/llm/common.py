@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -176,61 +178,70 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 # ---------------------------------------------------------------- unit cache
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No collection of cycles inside: the many small lists that are made here have none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class UnitCache:
     """Integer sequences of text units, worked out once for each distinct unit.
 
-    A text is cut into units by split(); encode(units) gives a sequence for each new unit. The table is emptied
-    when it holds more than limit units, so a worker's memory is bounded whatever the vocabulary.
+    A text is cut into units by split(); encode(units) gives a sequence for each new unit. The table may be kept from
+    task to task of a worker: it is emptied when it holds more than limit units, or 20 * limit characters or numbers,
+    so a worker's memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list], dtype=np.uint32, limit: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list], dtype=np.uint32, limit: int = 800_000):
         self.split, self.encode, self.dtype, self.limit = split, encode, dtype, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.flat, self.used, self.held = np.zeros(1 << 16, self.dtype), 0, 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _add(self, units: list[str]) -> None:
         base = len(self.index)
         rows = self.encode(units)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        need, n = self.used + int(sizes.sum()), base + len(units)
+        total = int(sizes.sum())
+        need, n = self.used + total, base + len(units)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), self.dtype)])
         if n > len(self.start):
             more = np.zeros(max(n, len(self.start)), np.int64)
             self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        self.flat[self.used : need] = np.concatenate(rows) if rows else []
+        self.flat[self.used : need] = np.fromiter(chain.from_iterable(rows), self.dtype, total)
         self.length[base:n] = sizes
-        self.start[base:n] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if rows else 0
+        self.start[base:n] = self.used + np.cumsum(sizes) - sizes
         self.used = need
-        for i, u in enumerate(units, base):
-            self.index[u] = i
+        self.held += sum(map(len, units))
+        self.index.update(zip(units, range(base, n), strict=True))
 
     def texts(self, texts: Iterable[str], together: int = 2_000_000) -> Iterator[np.ndarray]:
         """The sequence of each text. New units of successive texts, of about together characters in all, are encoded at once."""
-        group, size = [], 0
-        for text in texts:
-            group.append(self.split(text))
-            size += len(text)
-            if size >= together:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[str]]) -> Iterator[np.ndarray]:
-        distinct = dict.fromkeys(u for units in group for u in units)
-        new = [u for u in distinct if u not in self.index]
-        if len(self.index) + len(new) > self.limit or self.used > 20 * self.limit:
+        for group in in_groups(texts, len, together):
+            with uncollected():
+                found = self._group([self.split(text) for text in group])
+            yield from found
+
+    def _group(self, group: list[list[str]]) -> list[np.ndarray]:
+        distinct = set().union(*group)
+        new = list(distinct.difference(self.index))
+        if len(self.index) + len(new) > self.limit or max(self.used, self.held) > 20 * self.limit:
             self.clear()
             new = list(distinct)
         if new:
             self._add(new)
-        for units in group:
-            ids = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-            yield gather(self.flat, self.start[ids], self.length[ids])
+        at = [np.fromiter(map(self.index.__getitem__, units), np.int64, len(units)) for units in group]
+        return [gather(self.flat, self.start[ids], self.length[ids]) for ids in at]
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
