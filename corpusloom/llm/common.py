@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -194,7 +195,7 @@ class UnitCache:
     """Integer sequences of text units, worked out once for each distinct unit.
 
     A text is cut into units by split(); encode(units) gives a sequence for each new unit. The table may be kept from
-    task to task of a worker: it is emptied when it holds more than limit units, or 20 * limit characters or numbers,
+    task to task of a worker: it is emptied when, after a group of texts, it holds more than limit units, or 20 * limit characters or numbers,
     so a worker's memory is bounded whatever the vocabulary.
     """
 
@@ -203,12 +204,12 @@ class UnitCache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = defaultdict(count().__next__)
         self.flat, self.used, self.held = np.zeros(1 << 16, self.dtype), 0, 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, units: list[str]) -> None:
-        base = len(self.index)
+    def _add(self, units: list[str], base: int) -> None:
+        """Encode the units that are numbered from base on."""
         rows = self.encode(units)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         total = int(sizes.sum())
@@ -223,25 +224,28 @@ class UnitCache:
         self.start[base:n] = self.used + np.cumsum(sizes) - sizes
         self.used = need
         self.held += sum(map(len, units))
-        self.index.update(zip(units, range(base, n), strict=True))
 
     def texts(self, texts: Iterable[str], together: int = 2_000_000) -> Iterator[np.ndarray]:
         """The sequence of each text. New units of successive texts, of about together characters in all, are encoded at once."""
         for group in in_groups(texts, len, together):
             with uncollected():
-                found = self._group([self.split(text) for text in group])
+                found = self._group(group)
             yield from found
 
-    def _group(self, group: list[list[str]]) -> list[np.ndarray]:
-        distinct = set().union(*group)
-        new = list(distinct.difference(self.index))
-        if len(self.index) + len(new) > self.limit or max(self.used, self.held) > 20 * self.limit:
+    def _group(self, group: list[str]) -> list[np.ndarray]:
+        base, number = len(self.index), self.index.__getitem__
+        try:
+            at = [np.fromiter(map(number, units), np.int64, len(units)) for units in map(self.split, group)]
+            new = list(islice(reversed(self.index), len(self.index) - base))
+            if new:
+                self._add(new[::-1], base)
+        except BaseException:
+            self.clear()  # numbers without sequences must not outlive the task
+            raise
+        out = [gather(self.flat, self.start[ids], self.length[ids]) for ids in at]
+        if len(self.index) > self.limit or max(self.used, self.held) > 20 * self.limit:
             self.clear()
-            new = list(distinct)
-        if new:
-            self._add(new)
-        at = [np.fromiter(map(self.index.__getitem__, units), np.int64, len(units)) for units in group]
-        return [gather(self.flat, self.start[ids], self.length[ids]) for ids in at]
+        return out
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
