@@ -87,9 +87,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage(rooted.join(least, "root").select("fp", "component_id"), "components")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without those that are near copies of one with a smaller id; rows without an id stay."""
-    losers = near_duplicates(docs, shingle).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
