@@ -4,7 +4,8 @@ A Jaccard similarity of 0.8 is a cosine of 0.89 and puts about 15% of the bits a
 The fingerprint is therefore wide (1024 bits, so that its distance tells the similarity within about 0.013) and its
 first 126 bits serve as index: seven tables, one a segment of 18 bits, each entered under the radius-1 Hamming ball of
 the segment. Two fingerprints share a key of a table if their segments are at most two bits apart; at 0.8 they do so in
-0.99 of all cases in one table at least. What meets is compared by the first 128 bits, what is left by all 1024.
+0.99 of all cases in one table at least. What meets is compared by the first 128 bits, what is left by all 1024, and
+what is left then by the shingles themselves: a link is a Jaccard similarity of 0.8 or more of the two shingle sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Rolling, give_back, map_arrow, mixed, stage, utf8_rows, word_symbols
+from .common import LOWER, NOT_SPACE, Rolling, give_back, in_groups, map_arrow, mixed, stage, utf8_rows, word_symbols
 from .components import components
 
 SHINGLE = 5  # words
@@ -31,14 +32,22 @@ LINK = 176  # of 1024 bits: 156 is the mean distance at a similarity of 0.8, the
 ROWS = 1 << 18  # rows of the index that a task holds at once
 NAMES = [f"w{k}" for k in range(WORDS)]
 _SALTS = np.random.default_rng(0x51A1).integers(0, 1 << 64, WORDS, dtype=np.uint64)
+_NAMING = np.random.default_rng(0x5E75).integers(0, 1 << 64, 2, dtype=np.uint64)
 
 
-def wide_fingerprint(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The SimHash of the distinct shingles of one UTF-8 text as WORDS words; zeros for null or no words."""
+def shingles(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of one UTF-8 text; none for null or no words."""
     symbols = word_symbols(data.translate(LOWER), NOT_SPACE)[0] if data else ()
-    if not len(symbols):
-        return np.zeros(WORDS, np.uint64)
-    hashes = np.unique(mixed(Rolling(symbols).grams(min(shingle, len(symbols)))))
+    return np.unique(mixed(Rolling(symbols).grams(min(shingle, len(symbols))))) if len(symbols) else np.zeros(0, np.uint64)
+
+
+def set_name(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a shingle set, whatever its text; zeros for the empty set."""
+    return tuple(int(mixed(hashes ^ salt).sum(dtype=np.uint64)) for salt in _NAMING)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a shingle set as WORDS words; zeros for the empty set."""
     ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(hashes), 255):  # so many ones fit in a byte
         part = mixed(hashes[at : at + 255, None] ^ _SALTS).astype("<u8").view(np.uint8)
@@ -46,18 +55,22 @@ def wide_fingerprint(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the words w0, w1 and so on (signed longs) of every row."""
+    """doc_id, the name s0, s1 of the shingle set and the words w0, w1 and so on (signed longs) of every row."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([wide_fingerprint(t, shingle) for t in utf8_rows(batch.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(WORDS))], ["doc_id", *NAMES])
+            sets = [shingles(t, shingle) for t in utf8_rows(batch.column(1))]
+            found = np.array([[*set_name(x), *wide_fingerprint(x)] for x in sets], np.uint64).reshape(-1, 2 + WORDS).view(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 + WORDS))], ["doc_id", "s0", "s1", *NAMES])
 
         return each
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(texts, make, "doc_id long, " + ", ".join(f"{w} long" for w in NAMES))
+    return map_arrow(_texts(docs), make, "doc_id long, s0 long, s1 long, " + ", ".join(f"{w} long" for w in NAMES))
 
 
 def _index_rows(w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,26 +208,77 @@ def _distance() -> Column:
     return reduce(Column.__add__, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in NAMES])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between structs (w0, w1) of fingerprints at LINK or fewer of all bits."""
-    a, b = distinct.alias("a"), distinct.alias("b")
-    found = candidates(distinct).join(a, (F.col("a0") == F.col("a.w0")) & (F.col("a1") == F.col("a.w1")))
+def _name(of: str = "") -> Column:
+    return F.struct(F.col(f"{of}s0").alias("s0"), F.col(f"{of}s1").alias("s1"))
+
+
+def close_prints(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of shingle sets whose fingerprints meet and have LINK or fewer of all bits apart.
+
+    Sets that agree in their first 128 bits are each paired with the least of them, which alone meets the others.
+    """
+    least = distinct.groupBy("w0", "w1").agg(F.min(F.struct("s0", "s1", *NAMES[2:])).alias("least"))
+    prints = stage(least.select("w0", "w1", "least.*"), "prints")
+    a, b = prints.alias("a"), prints.alias("b")
+    found = candidates(prints).join(a, (F.col("a0") == F.col("a.w0")) & (F.col("a1") == F.col("a.w1")))
     found = found.join(b, (F.col("b0") == F.col("b.w0")) & (F.col("b1") == F.col("b.w1"))).where(_distance() <= LINK)
-    return found.select(F.struct(F.col("a0").alias("w0"), F.col("a1").alias("w1")).alias("a"), F.struct(F.col("b0").alias("w0"), F.col("b1").alias("w1")).alias("b"))
+    same = distinct.select("w0", "w1", _name().alias("b")).join(prints.select("w0", "w1", _name().alias("a")), ["w0", "w1"]).where("a != b")
+    return found.select(_name("a.").alias("a"), _name("b.").alias("b")).union(same.select("a", "b"))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """If two shingle sets have a Jaccard similarity of 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """The name s0, s1 and the shingles (64-bit hashes) of every row."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for group in in_groups(utf8_rows(batch.column(1)), lambda t: len(t or b"")):
+                sets = [shingles(t, shingle) for t in group]
+                named = np.array([set_name(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), pa.array([x.tobytes() for x in sets], pa.binary())], ["s0", "s1", "hashes"])
+
+        return each
+
+    return map_arrow(docs, make, "s0 long, s1 long, hashes binary")
+
+
+def links(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) of names whose shingle sets are similar, each set compared whole. Only the texts that a pair needs are read again."""
+    pairs = stage(pairs, "pairs", release=True)
+    ends = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct().join(distinct.select("s0", "s1", "least"), ["s0", "s1"]), "ends")
+    texts = _texts(docs).join(ends.select(F.col("least").alias("id")).distinct(), F.expr("doc_id <=> id"), "left_semi")
+    needed = _sets(texts, shingle).join(ends.select("s0", "s1"), ["s0", "s1"], "left_semi").groupBy("s0", "s1").agg(F.first("hashes").alias("hashes"))
+    sets = stage(needed, "sets", release=True)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+        return each
+
+    of = lambda x: sets.select(_name().alias(x), F.col("hashes").alias(f"hashes_{x}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b")
+    return map_arrow(met, make, pairs.schema)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without those that are near copies (similarity about 0.8 or more) of one with a smaller id.
+    """The documents without those that are near copies (similarity 0.8 or more) of one with a smaller id.
 
-    Groups are the components of the links. Fingerprints that agree in their first 128 bits are folded to one row first,
-    so exact copies cost one. Null or wordless texts are copies of one another, texts of fewer words than a shingle are
-    copies of equal texts only; rows without an id stay and so do all rows of the smallest id; an empty table stays empty.
+    Groups are the components of the links. Texts of equal shingle sets are folded to one row first, so exact copies
+    cost one. Null or wordless texts are copies of one another, texts of fewer words than a shingle are copies of equal
+    texts only; rows without an id stay and so do all rows of the smallest id; an empty table stays empty.
     """
     own = stage(wide_fingerprints(docs, shingle), "wide")
-    folded = own.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*NAMES[2:])).alias("rest"))
-    distinct = stage(folded.select("w0", "w1", "least", "rest.*"), "distinct")
-    roots = components(links(distinct)).select("node.w0", "node.w1", "root")
-    rooted = distinct.select("w0", "w1", "least").join(roots, ["w0", "w1"], "left").withColumn("root", F.coalesce("root", F.struct("w0", "w1")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root").select("w0", "w1", "kept")
-    losers = own.select("doc_id", "w0", "w1").join(named, ["w0", "w1"]).where("doc_id != kept").select("doc_id").distinct()
+    folded = own.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*NAMES)).alias("print"))
+    distinct = stage(folded.select("s0", "s1", "least", "print.*"), "distinct")
+    roots = components(links(docs, distinct, close_prints(distinct), shingle)).select("node.s0", "node.s1", "root")
+    rooted = distinct.select("s0", "s1", "least").join(roots, ["s0", "s1"], "left").withColumn("root", F.coalesce("root", F.struct("s0", "s1")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root").select("s0", "s1", "kept")
+    losers = own.select("doc_id", "s0", "s1").join(named, ["s0", "s1"]).where("doc_id != kept").select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti").select(docs.columns)

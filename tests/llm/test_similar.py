@@ -65,3 +65,37 @@ def test_leaders_find_every_near_pair_through_a_leader():
     lead, met = simhash_similar.leaders(key, w0, w1)
     assert len(lead) == 40 and set(lead) | set(met[:, 1]) == set(range(2000))
     assert (key[met[:, 0]] == key[met[:, 1]]).all()
+
+
+def exact_groups(sets):
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {top(k) for k in sets}
+
+
+def test_similar_texts_below_the_threshold_stay(spark):
+    r, rows = random.Random(4), []
+    for size in (8, 9, 10, 11, 12):
+        for base in range(8):
+            words = [f"s{size}b{base}w{k}" for k in range(size)]
+            rows += [" ".join(words), " ".join([*words[:-1], "other"])]
+    for n in (8, 7, 6, 5, 4, 3):  # words of 400: both texts of a pair differ from the base in other places
+        for base in range(6):
+            words = [f"n{n}b{base}w{k}" for k in range(400)]
+            rows += [edited(r, words, n) for _ in range(2)]
+    rows = [(k, t, "en", "x", 1) for k, t in enumerate(rows)]
+    sets = {k: shingles(t) for k, t, *_ in rows}
+    below = [round(jaccard(sets[k], sets[k + 1]), 2) for k in range(0, len(rows), 2)]
+    assert sum(0.65 <= x < 0.8 for x in below) > 30 and sum(x >= 0.8 for x in below) > 3
+    kept = {x.doc_id for x in simhash_similar.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert exact_groups(sets) <= kept and len(kept - exact_groups(sets)) <= 3
