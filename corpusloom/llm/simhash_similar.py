@@ -1,4 +1,4 @@
-"""SimHash near-duplicates at a similarity: wide fingerprints of distinct shingles, multi-index hashing, full distances.
+"""Near-duplicates at a similarity: wide SimHashes of distinct shingles by multi-index hashing, then an exact prefix join.
 
 A Jaccard similarity of 0.8 is a cosine of 0.89 and puts about 15% of the bits apart, far beyond a radius of two bits.
 The fingerprint is therefore wide (1024 bits, so that its distance tells the similarity within about 0.013) and its
@@ -6,10 +6,17 @@ first 126 bits serve as index: seven tables, one a segment of 18 bits, each ente
 the segment. Two fingerprints share a key of a table if their segments are at most two bits apart; at 0.8 they do so in
 0.99 of all cases in one table at least. What meets is compared by the first 128 bits, what is left by all 1024, and
 what is left then by the shingles themselves: a link is a Jaccard similarity of 0.8 or more of the two shingle sets.
+
+The fingerprints gather crowds cheaply but miss some links. The prefix join behind them misses none: all sets are put
+in one order of the shingles, and two sets of n and m shingles at 0.8 or more share one of the first n - ceil(0.8n) + 1
+of the one and of the first m - ceil(0.8m) + 1 of the other. Sets that meet so are compared whole unless the fingerprints'
+links join them already or their sizes or the places of the first shared shingle rule 0.8 out. The order puts shingles
+last that are common in a sample; any order gives the same links.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Rolling, give_back, in_groups, map_arrow, mixed, stage, utf8_rows, word_symbols
+from .common import LOWER, NOT_SPACE, Rolling, drop_stage, give_back, in_groups, map_arrow, mixed, stage, utf8_rows, word_symbols
 from .components import components
 
 SHINGLE = 5  # words
@@ -30,6 +37,8 @@ ABSORB = 19  # of 128 bits: the mean distance at a similarity of 0.8
 MEET = 28  # of 128 bits: two deviations more
 LINK = 176  # of 1024 bits: 156 is the mean distance at a similarity of 0.8, the deviation 11.5
 ROWS = 1 << 18  # rows of the index that a task holds at once
+SAMPLE = 1 << 15  # texts, about, that tell which shingles are common
+COMMON = 1 << 19  # shingles that are known as such at most
 NAMES = [f"w{k}" for k in range(WORDS)]
 _SALTS = np.random.default_rng(0x51A1).integers(0, 1 << 64, WORDS, dtype=np.uint64)
 _NAMING = np.random.default_rng(0x5E75).integers(0, 1 << 64, 2, dtype=np.uint64)
@@ -59,18 +68,54 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest shingles of a sample of the texts and how many of its different texts hold each."""
+    texts = _texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(docs.count() // SAMPLE + 1)) == 0).select("text").distinct()
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for group in in_groups(utf8_rows(batch.column(0)), lambda t: len(t or b"")):
+                found, many = np.unique(np.concatenate([shingles(t, shingle) for t in group]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many, pa.int64())], ["hash", "n"])
+
+        return each
+
+    seen = map_arrow(texts, make, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
+    found = seen.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes, many = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], many[order]
+
+
+def head(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(0.8n) + 1 of the n shingles of a set, those that are not common first, then by their hash."""
+    known, many = common
+    n = len(hashes)
+    if len(known) and n:
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, many[at], 0), kind="stable")]
+    return hashes[: n - (4 * n + 4) // 5 + 1]
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, the name s0, s1 of the shingle set and the words w0, w1 and so on (signed longs) of every row."""
+    """doc_id, the name s0, s1 of the shingle set, its words w0, w1 and so on (signed longs), its size n and its head, of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t, shingle) for t in utf8_rows(batch.column(1))]
-            found = np.array([[*set_name(x), *wide_fingerprint(x)] for x in sets], np.uint64).reshape(-1, 2 + WORDS).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 + WORDS))], ["doc_id", "s0", "s1", *NAMES])
+            found, sizes, heads = [], [], []
+            for t in utf8_rows(batch.column(1)):
+                x = shingles(t, shingle)
+                found.append([*set_name(x), *wide_fingerprint(x)])
+                sizes.append(len(x))
+                heads.append(head(x, sent.value).tobytes())
+            found = np.array(found, np.uint64).reshape(-1, 2 + WORDS).view(np.int64)
+            columns = [batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 + WORDS)), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "s0", "s1", *NAMES, "n", "head"])
 
         return each
 
-    return map_arrow(_texts(docs), make, "doc_id long, s0 long, s1 long, " + ", ".join(f"{w} long" for w in NAMES))
+    return map_arrow(_texts(docs), make, "doc_id long, s0 long, s1 long, " + ", ".join(f"{w} long" for w in NAMES) + ", n int, head binary")
 
 
 def _index_rows(w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +138,8 @@ def leaders(key: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray
     """The rows that lead, in order, and the met pairs as rows (leader, other), for rows sorted by key.
 
     In every group of a key the first row leads: the rows within MEET bits of it are its pairs, those within ABSORB
-    leave. The rest does the same again. A crowd of copies costs a few looks a row, not one for each pair, and no row
-    leaves but for one that it is compared with in full afterwards.
+    leave. The rest does the same again. A crowd of copies costs a few looks a row, not one for each pair. A row that
+    leaves may miss links at this key; the prefix join finds them.
     """
     rows, leading, met = np.arange(len(key)), [], []
     while len(rows):
@@ -232,39 +277,135 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The name s0, s1 and the shingles (64-bit hashes) of every row."""
+def _named(texts: DataFrame, shingle: int) -> DataFrame:
+    """The name s0, s1 of the shingle set and the text of every row."""
 
     def make():
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for group in in_groups(utf8_rows(batch.column(1)), lambda t: len(t or b"")):
-                sets = [shingles(t, shingle) for t in group]
-                named = np.array([set_name(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), pa.array([x.tobytes() for x in sets], pa.binary())], ["s0", "s1", "hashes"])
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            named = np.array([set_name(shingles(t, shingle)) for t in utf8_rows(batch.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), batch.column(1)], ["s0", "s1", "text"])
 
         return each
 
-    return map_arrow(docs, make, "s0 long, s1 long, hashes binary")
+    return map_arrow(texts, make, "s0 long, s1 long, text string")
+
+
+def _release(spark, *tables: DataFrame) -> None:
+    """Delete stage tables, and let Spark's cleaner delete the shuffle files of plans that are gone."""
+    for table in tables:
+        drop_stage(table)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def links(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of names whose shingle sets are similar, each set compared whole. Only the texts that a pair needs are read again."""
-    pairs = stage(pairs, "pairs", release=True)
+    pairs = stage(pairs, "pairs")
+    _release(docs.sparkSession)
     ends = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct().join(distinct.select("s0", "s1", "least"), ["s0", "s1"]), "ends")
     texts = _texts(docs).join(ends.select(F.col("least").alias("id")).distinct(), F.expr("doc_id <=> id"), "left_semi")
-    needed = _sets(texts, shingle).join(ends.select("s0", "s1"), ["s0", "s1"], "left_semi").groupBy("s0", "s1").agg(F.first("hashes").alias("hashes"))
-    sets = stage(needed, "sets", release=True)
+    texts = _named(texts, shingle).join(ends.select("s0", "s1"), ["s0", "s1"], "left_semi").groupBy("s0", "s1").agg(F.first("text").alias("text"))
+    texts = stage(texts, "texts")
+    _release(docs.sparkSession)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            sets = [[shingles(t, shingle) for t in utf8_rows(batch.column(k))] for k in (2, 3)]
+            keep = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+            return pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
         return each
 
-    of = lambda x: sets.select(_name().alias(x), F.col("hashes").alias(f"hashes_{x}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return map_arrow(met, make, pairs.schema)
+    of = lambda x: texts.select(_name().alias(x), F.col("text").alias(f"text_{x}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    found = stage(map_arrow(met, make, pairs.schema), "links")
+    del met
+    _release(docs.sparkSession, pairs, ends, texts)
+    return found
+
+
+_HEAD_SCHEMA = "key long, n int, place int, s0 long, s1 long, root long"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each head, with its place, of rows (s0, s1, root, n, head)."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        for part in in_groups(range(len(batch)), lambda i: int(sizes[i]), ROWS):
+            many = sizes[part]
+            at = np.repeat(np.array(part), many)
+            key = np.frombuffer(b"".join(batch.column(4)[i].as_py() for i in part), np.int64)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
+            s0, s1, root, n = (batch.column(k).to_numpy()[at] for k in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(s0), pa.array(s1), pa.array(root)], ["key", "n", "place", "s0", "s1", "root"])
+    give_back()
+
+
+def crossing(key: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, known: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key and different roots that may be similar, for rows sorted by key and n; not among the first known.
+
+    If a key's shingle is the first that two sets share, they share at most that and what follows it in the shorter rest.
+    """
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([first, [len(key)]]))
+    mixed_roots = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first) if len(first) else np.zeros(0, bool)
+    i, step = np.flatnonzero(np.repeat(mixed_roots & (many > 1), many)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[(key[i + step] == key[i]) & (5 * n[i] >= 4 * n[i + step])]
+        j = i + step
+        shared = np.minimum(n[i] - place[i], n[j] - place[j])
+        good = (root[i] != root[j]) & (9 * shared >= 4 * (n[i] + n[j])) & (j >= known)
+        if good.any():
+            yield i[good], j[good]
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of names from the rows of heads that come sorted by key and n."""
+    kept = [np.zeros(0, _S)] * 6
+    held, many = [], 0
+
+    def out(found: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.stack([kept[3][a], kept[4][a], kept[3][b], kept[4][b]])
+        swap = (ends[0] > ends[2]) | ((ends[0] == ends[2]) & (ends[1] > ends[3]))
+        ends[:, swap] = ends[:, swap][[2, 3, 0, 1]]
+        ends = ends[:, np.unique(mixed(ends[0].view(_U) ^ mixed(ends[2].view(_U))), return_index=True)[1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in ends], _FIELDS[1:])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal kept
+        known = len(kept[0])
+        kept = [np.concatenate([kept[k], *(b.column(k).to_numpy().astype(_S) for b in held)]) for k in range(6)]
+        found, total = [], 0
+        for pair in crossing(kept[0], kept[1], kept[2], kept[5], known):
+            found.append(pair)
+            total += len(pair[0])
+            if total >= ROWS:
+                yield out(found)
+                found, total = [], 0
+        if found:
+            yield out(found)
+        open_ = (kept[0] == kept[0][-1]) & (5 * kept[1] >= 4 * kept[1][-1])
+        kept = [x[open_] for x in kept]
+
+    for batch in batches:
+        held.append(batch)
+        many += len(batch)
+        if many >= ROWS:
+            yield from flush()
+            held, many = [], 0
+    if many:
+        yield from flush()
+    give_back()
+
+
+def missed(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of shingle sets under different roots: all that are similar and some that are not."""
+    rows = rooted.where("n > 0").select("s0", "s1", F.col("root.s0").alias("root"), "n", "head").mapInArrow(_heads, _HEAD_SCHEMA)
+    found = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_cross, "a0 long, a1 long, b0 long, b1 long").distinct()
+    return found.select(F.struct(F.col("a0").alias("s0"), F.col("a1").alias("s1")).alias("a"), F.struct(F.col("b0").alias("s0"), F.col("b1").alias("s1")).alias("b"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -274,11 +415,26 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     cost one. Null or wordless texts are copies of one another, texts of fewer words than a shingle are copies of equal
     texts only; rows without an id stay and so do all rows of the smallest id; an empty table stays empty.
     """
-    own = stage(wide_fingerprints(docs, shingle), "wide")
-    folded = own.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*NAMES)).alias("print"))
+    spark = docs.sparkSession
+    wide = stage(wide_fingerprints(docs, shingle), "wide")
+    own = stage(wide.select("doc_id", "s0", "s1"), "own")
+    folded = wide.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*NAMES, "n", "head")).alias("print"))
     distinct = stage(folded.select("s0", "s1", "least", "print.*"), "distinct")
-    roots = components(links(docs, distinct, close_prints(distinct), shingle)).select("node.s0", "node.s1", "root")
-    rooted = distinct.select("s0", "s1", "least").join(roots, ["s0", "s1"], "left").withColumn("root", F.coalesce("root", F.struct("s0", "s1")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root").select("s0", "s1", "kept")
+    del folded
+    _release(spark, wide)
+
+    def under(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        roots = components(edges).select("node.s0", "node.s1", F.col("root").alias("found"))
+        return nodes.join(roots, ["s0", "s1"], "left").withColumn("root", F.coalesce("found", _name())).drop("found")
+
+    near = links(docs, distinct, close_prints(distinct), shingle)
+    rooted = stage(under(distinct.select("s0", "s1", "least", "n", "head"), near), "rooted")
+    _release(spark, distinct, near)
+    more = links(docs, rooted, missed(rooted), shingle)
+    stars = rooted.where(_name() != F.col("root")).select(_name().alias("a"), F.col("root").alias("b"))
+    grouped = stage(under(rooted.select("s0", "s1", "least"), stars.union(more)), "grouped")
+    del stars
+    _release(spark, rooted, more)
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("kept")), "root").select("s0", "s1", "kept")
     losers = own.select("doc_id", "s0", "s1").join(named, ["s0", "s1"]).where("doc_id != kept").select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti").select(docs.columns)

@@ -99,3 +99,32 @@ def test_similar_texts_below_the_threshold_stay(spark):
     assert sum(0.65 <= x < 0.8 for x in below) > 30 and sum(x >= 0.8 for x in below) > 3
     kept = {x.doc_id for x in simhash_similar.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert exact_groups(sets) <= kept and len(kept - exact_groups(sets)) <= 3
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    r, rows, sets = random.Random(6), [], {}
+    for base in range(400):
+        words = [f"b{base}w{k}" for k in range(364)]
+        at = [20 + 43 * k for k in range(8)]  # 40 of 360 shingles: a similarity of 320 to 400
+        other = [f"o{base}w{k}" if k in at else w for k, w in enumerate(words)]
+        rows += [" ".join(words), " ".join(other)]
+    rows = [(k, t, "en", "x", 1) for k, t in enumerate(rows)]
+    sets = {k: shingles(t) for k, t, *_ in rows}
+    assert all(jaccard(sets[k], sets[k + 1]) == 0.8 for k in range(0, len(rows), 2))
+    r.shuffle(rows)
+    kept = {x.doc_id for x in simhash_similar.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == set(range(0, len(rows), 2))
+
+
+def test_prefix_join_alone_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "ROWS", 50)
+    monkeypatch.setattr(simhash_similar, "close_prints", lambda distinct, own=simhash_similar.close_prints: own(distinct).where("false"))
+    r, rows = random.Random(8), []
+    shared = [f"c{k}" for k in range(60)]
+    for base in range(12):
+        words = [f"b{base}w{k}" for k in range(r.choice([5, 9, 60, 200]))] + shared * (base % 2)
+        rows += [edited(r, words, min(len(words), r.randrange(4))) for _ in range(8)]
+    rows = [(k, t, "en", "x", 1) for k, t in enumerate(rows)]
+    sets = {k: shingles(t) for k, t, *_ in rows}
+    kept = {x.doc_id for x in simhash_similar.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == exact_groups(sets) and len(kept) < len(rows)
