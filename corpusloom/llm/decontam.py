@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -109,11 +108,11 @@ class Index:
         return found[0], found[1], found[2]
 
 
-_SCHEMA = "doc_id long, n_words long, spans binary, items array<string>"
+_SCHEMA = "doc_id long, text string, n_words long, spans binary, items array<string>"
 
 
-def _block(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    """For every document: the hit word spans (pairs of 64-bit start and end) and the items that occur, of one block."""
+def _block(docs: DataFrame, items: list[tuple[str, bytes]], first: bool) -> DataFrame:
+    """docs with n_words, the hit word spans (pairs of 64-bit start and end) and the items that occur, of one block and those before it."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def make():
@@ -121,17 +120,21 @@ def _block(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_words, spans, names = [], [], []
-            for data in utf8_rows(batch.column(1)):
+            for i, data in enumerate(utf8_rows(batch.column(1))):
                 symbols = words_of(data)[0]
                 start, size, item = index.hits(symbols)
+                found, seen = np.stack([start, start + size], axis=1), {index.names[k] for k in np.unique(item).tolist()}
+                if not first:
+                    found = np.concatenate([np.frombuffer(batch.column(3)[i].as_py(), "<i8").reshape(-1, 2), found])
+                    seen.update(batch.column(4)[i].as_py())
                 n_words.append(len(symbols))
-                spans.append(np.unique(np.stack([start, start + size], axis=1), axis=0).astype("<i8").tobytes() if len(start) else b"")
-                names.append(sorted({index.names[k] for k in np.unique(item).tolist()}))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                spans.append(np.unique(found, axis=0).astype("<i8").tobytes() if len(found) else b"")
+                names.append(sorted(seen))
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_words, pa.int64()), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
 
         return each
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, _SCHEMA)
+    return map_arrow(docs, make, _SCHEMA)
 
 
 def covered(spans: bytes) -> int:
@@ -160,15 +163,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     Training and test texts are winnowed alike: 5-word hashes, the least of every 6 kept, so a shared span of 10 words
     holds a shared fingerprint; each joined fingerprint is extended to the maximal shared span, which is what counts.
     Items of fewer than 10 words are matched whole. The benchmark is measured first and sent in blocks of bounded size
-    (32 MB of text); with one block nothing is shuffled, with more the blocks' spans are united per document.
+    (32 MB of text); every row carries its spans and items from block to block, so nothing is shuffled.
     A null text has no words; null item texts are skipped; repeated items count once by their id; rows that share a
     doc_id and text give equal rows; an empty benchmark hits nothing.
     """
-    parts = [_block(docs, block) for block in blocks_of(benchmark, block_bytes)]
-    found = parts[0]
-    if len(parts) > 1:
-        found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "n_words").agg(F.array_join(F.collect_list(F.hex("spans")), "").alias("hex"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.select("doc_id", "n_words", F.unhex("hex").alias("spans"), "items")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for k, block in enumerate(blocks_of(benchmark, block_bytes)):
+        found = _block(found, block, not k)
+    found = found.drop("text")
+
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             hit = [covered(s) for s in batch.column(2).to_pylist()]

@@ -156,6 +156,17 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contamination(none, bench).count() == 0
 
 
+def test_decontamination_keeps_rows_in_any_number_of_blocks(spark):
+    leak = [" ".join(f"{x}{k}" for k in range(12)) for x in "abc"]
+    bench = spark.createDataFrame(list(zip("abc", leak, strict=True)), "item_id string, text string")
+    clean = " ".join(f"z{k}" for k in range(12))
+    rows = [(None, leak[0]), (None, clean), (None, leak[1]), (7, leak[0]), (7, clean), (7, clean), (7, leak[2]), (8, None), (8, None), (9, " ".join(leak))]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], SCHEMA)
+    found = [sorted(map(repr, decontam.contamination(docs, bench, block).collect())) for block in (decontam.BLOCK_BYTES, 40, 10)]
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    assert decontam.contamination(docs, bench, 40).where("contaminated").count() == 5
+
+
 def test_bpe_is_tiktoken(docs, rows, none):
     import tiktoken
 
