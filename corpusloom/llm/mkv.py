@@ -21,6 +21,10 @@ CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFEREN
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, TIMESTAMP_SCALE, DURATION = 0x4282, 0x2AD7B1, 0x4489
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, RATE, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0x23E383
+SEEK_HEAD, CHAPTERS, ATTACHMENTS, TAGS = 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367
+#: What ends an element of unknown size: what can stand at the top, and beside the parts of a segment.
+ROOTS = frozenset([EBML, SEGMENT])
+PARTS = frozenset([SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, ATTACHMENTS, TAGS])
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 PACKET = 576  # samples of 8 bits
@@ -121,12 +125,28 @@ def _vint(data: bytes, at: int, marker: bool) -> tuple[int, int, bool]:
     return value if marker else plain, at + w, plain == (1 << 7 * w) - 1
 
 
+def _unknown_end(data: bytes, name: int, at: int, end: int) -> int:
+    """Where a segment, or a part of one, whose size is unknown and whose body begins at at ends: before the next element that can't be in it, or at end."""
+    if name != SEGMENT and name not in PARTS:
+        raise ValueError(f"element {name:X} at {at} may not have an unknown size")
+    outside = ROOTS if name == SEGMENT else ROOTS | PARTS
+    while at < end:
+        inner, body, _ = _vint(data, at, True)
+        if inner in outside:
+            return at
+        size, body, unknown = _vint(data, body, False)
+        at = _unknown_end(data, inner, body, end) if unknown else body + size
+        if at > end:
+            raise ValueError(f"element {inner:X} at {body} is longer than what holds it")
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, first byte of the body, end of the body) of the elements from at to end. An element of unknown size reaches to end."""
+    """(id, first byte of the body, end of the body) of the elements from at to end, of known and unknown sizes."""
     while at < end:
         name, at, _ = _vint(data, at, True)
         size, at, unknown = _vint(data, at, False)
-        stop = end if unknown else at + size
+        stop = _unknown_end(data, name, at, end) if unknown else at + size
         if stop > end:
             raise ValueError(f"element {name:X} at {at} is longer than what holds it")
         yield name, at, stop

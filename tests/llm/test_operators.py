@@ -193,6 +193,22 @@ def test_lacing(lacing):
     assert found.packets[0][1] == 10 and found.doc_type == "matroska"
 
 
+@pytest.mark.parametrize("segments", [1, 2])
+def test_unknown_sizes(spark, segments):
+    def unknown(name, body):
+        return name.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+
+    head, packets = mkv.element(mkv.EBML, mkv.element(mkv.DOC_TYPE, b"matroska")), [bytes([65 + k]) * (5 + k) for k in range(6)]
+    clusters = [unknown(mkv.CLUSTER, mkv._uint(mkv.CLUSTER_TIME, 100 * k) + mkv.element(0xEC, b"void") + b"".join(mkv.simple_block(1, t, [p], mkv.NO_LACING) for t, p in enumerate(packets[2 * k : 2 * k + 2]))) for k in range(3)]
+    cues = [mkv.element(mkv.CUE_POINT, mkv._uint(mkv.CUE_TIME, 100 * k) + mkv.element(mkv.CUE_POSITIONS, mkv._uint(mkv.CUE_TRACK, 1) + mkv._uint(mkv.CUE_CLUSTER, sum(map(len, clusters[:k]))))) for k in range(3)]
+    data = (head + unknown(mkv.SEGMENT, b"".join(clusters) + mkv.element(mkv.CUES, b"".join(cues)))) * segments
+    found = mkv.parse(data)
+    assert [data[a : a + n] for _, _, a, n, _, _ in found.packets] == packets * segments
+    assert [t for _, t, *_ in found.packets] == [0, 1, 100, 101, 200, 201] * segments and found.clusters == 3 * segments
+    assert [t for t, _, _ in found.cues] == [0, 100, 200] * segments and all(data[a : a + 4] == mkv.CLUSTER.to_bytes(4, "big") for _, _, a in found.cues)
+    assert mkv.packet_table(spark.createDataFrame([(1, data)], "doc_id long, media binary")).where("error is null").count() == 6 * segments
+
+
 def test_media(spark, docs, rows, none):
     found = mkv.store_texts(docs, keep_media=True)
     for k, t in rows:
