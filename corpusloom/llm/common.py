@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode (tests) a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,28 +33,51 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loom-{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    release lets Spark's cleaner delete the shuffle files behind the table now: it does so when the driver's JVM
-    collects garbage, which it may not do for long.
-    """
+
+@contextmanager
+def releasing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside deletes its shuffle files when it ends: nothing reads them again."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.parquet(path)
-    if release:
-        del df
-        gc.collect()
-        spark._jvm.System.gc()
+    with releasing_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.loom_path = path
     return out
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete a stage table that no later plan reads."""
-    path = getattr(df, "loom_path", None)
-    if path:
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete stage tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "loom_path", None)
+        if not path:
+            continue
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)

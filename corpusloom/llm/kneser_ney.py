@@ -79,7 +79,7 @@ def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
     are joined by (lang, gram), which spreads each language over all tasks. Below the highest order a gram counts the
     distinct characters before it, or its occurrences where it begins a word; each order has three discounts of its own.
     """
-    raw = stage(counts(texts, order), "grams", release=True)
+    raw = stage(counts(texts, order), "grams")
     size = raw.groupBy("lang").agg(F.countDistinct(F.substring("gram", -1, 1)).alias("v"))
     base = size.select("lang", (1 / (F.col("v") + 1)).alias("uniform"))
     levels = {order: raw.where(F.length("gram") == order)}
@@ -107,7 +107,7 @@ def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
         lower = found
         out.append(found.select("lang", "kind", "gram", "value"))
         out.append(found.groupBy("lang", F.col("context").alias("gram")).agg(F.first("gamma").alias("value")).select("lang", F.lit("g").alias("kind"), "gram", "value"))
-    return stage(reduce(DataFrame.union, out), "model", release=True)
+    return stage(reduce(DataFrame.union, out), "model")
 
 
 _KIND = {"p": 0, "g": 1, "v": 2}

@@ -239,12 +239,12 @@ def early_windows(docs: DataFrame, grain: Grain, resolve: Callable) -> DataFrame
     """
     cut = docs.select("doc", "text").mapInArrow(_folded(grain), "key long, content long, doc long, place long")
     sorted_ = cut.repartition("key").sortWithinPartitions("key", "content", "doc", "place")
-    found = stage(sorted_.mapInArrow(_compared, "doc long, place long, key long"), "compared", release=True)
+    found = stage(sorted_.mapInArrow(_compared, "doc long, place long, key long"), "compared")
     settled, open_ = found.where("key is null").select("doc", "place"), found.where("key is not null")
     heavy = open_.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.lit(True).alias("heavy"))
     listed = open_.join(heavy, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "place", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("rows"))
     texts = docs.join(listed, "doc").select("doc", "text", "rows")
-    fetched = stage(map_arrow(texts, lambda: _fetched(grain), "key long, doc long, place long, heavy boolean, symbols binary"), "fetched", release=True)
+    fetched = stage(map_arrow(texts, lambda: _fetched(grain), "key long, doc long, place long, heavy boolean, symbols binary"), "fetched")
     light = fetched.where("not heavy").select("key", "doc", "place", "symbols").repartition("key").sortWithinPartitions("key", "doc", "place")
     parts = settled.union(light.mapInArrow(_by_shard(resolve, grain), "doc long, place long"))
     if fetched.where("heavy").limit(1).count():
@@ -252,7 +252,7 @@ def early_windows(docs: DataFrame, grain: Grain, resolve: Callable) -> DataFrame
         first = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "at")).alias("first"))
         late = windows.join(first, ["one", "two"]).where(F.struct("doc", "at") > F.col("first"))
         parts = parts.union(late.select("doc", F.shiftleft("at", 16).bitwiseOR(F.lit(1 << 8)).alias("place")))
-    return stage(parts, "early", release=True)
+    return stage(parts, "early")
 
 
 def removed(places: np.ndarray, window: int, n: int) -> np.ndarray:

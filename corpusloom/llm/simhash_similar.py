@@ -1,22 +1,21 @@
-"""Near-duplicates at a similarity: wide SimHashes of distinct shingles by multi-index hashing, then an exact prefix join.
+"""Near-duplicates at a similarity: SimHashes of distinct shingles by multi-index hashing, then an exact prefix join.
 
-A Jaccard similarity of 0.8 is a cosine of 0.89 and puts about 15% of the bits apart, far beyond a radius of two bits.
-The fingerprint is therefore wide (1024 bits, so that its distance tells the similarity within about 0.013) and its
-first 126 bits serve as index: seven tables, one a segment of 18 bits, each entered under the radius-1 Hamming ball of
-the segment. Two fingerprints share a key of a table if their segments are at most two bits apart; at 0.8 they do so in
-0.99 of all cases in one table at least. What meets is compared by the first 128 bits, what is left by all 1024, and
-what is left then by the shingles themselves: a link is a Jaccard similarity of 0.8 or more of the two shingle sets.
+A Jaccard similarity of 0.8 is a cosine of 0.89 and puts about 15% of the bits of a SimHash apart. The fingerprint has 128
+bits, of which 72 serve as index: four tables, one a segment of 18 bits, each entered under the radius-1 Hamming ball of
+the segment, so two fingerprints share a key of a table if their segments are at most two bits apart. What meets is
+verified: by the complete distance, then by the shingle sets. A link is a Jaccard similarity of 0.8 or more.
 
 The fingerprints gather crowds cheaply but miss some links. The prefix join behind them misses none: all sets are put
 in one order of the shingles, and two sets of n and m shingles at 0.8 or more share one of the first n - ceil(0.8n) + 1
-of the one and of the first m - ceil(0.8m) + 1 of the other. Sets that meet so are compared whole unless the fingerprints'
-links join them already or their sizes or the places of the first shared shingle rule 0.8 out. The order puts shingles
-last that are common in a sample; any order gives the same links.
+of the one and of the first m - ceil(0.8m) + 1 of the other. Sets that meet so, and are not joined by links already, are
+tested where they meet by three bounds that 0.8 can't break: their sizes, the places of the shared shingle, and parity
+bitmaps (256 bits, each the parity of the shingles that fall on it), whose distance is at most the number of shingles that
+only one of the two has. What is left is compared whole. The order puts shingles last that are common in a sample; any
+order gives the same links.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,22 +25,23 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Rolling, drop_stage, give_back, in_groups, map_arrow, mixed, stage, utf8_rows, word_symbols
+from .common import LOWER, NOT_SPACE, Rolling, drop_stage, give_back, in_groups, map_arrow, mixed, stage, unused_names, utf8_rows, word_symbols
 from .components import components
 
 SHINGLE = 5  # words
-WORDS = 16  # 64-bit words of a fingerprint
-TABLES = 7
+TABLES = 4
 SEGMENT = 18  # bits
 ABSORB = 19  # of 128 bits: the mean distance at a similarity of 0.8
 MEET = 28  # of 128 bits: two deviations more
-LINK = 176  # of 1024 bits: 156 is the mean distance at a similarity of 0.8, the deviation 11.5
+PARITY = 256  # bits of a bitmap
 ROWS = 1 << 18  # rows of the index that a task holds at once
 SAMPLE = 1 << 15  # texts, about, that tell which shingles are common
 COMMON = 1 << 19  # shingles that are known as such at most
-NAMES = [f"w{k}" for k in range(WORDS)]
-_SALTS = np.random.default_rng(0x51A1).integers(0, 1 << 64, WORDS, dtype=np.uint64)
+PRINT = ["w0", "w1"]
+BITMAP = [f"b{k}" for k in range(PARITY // 64)]
+_SALTS = np.random.default_rng(0x51A1).integers(0, 1 << 64, len(PRINT), dtype=np.uint64)
 _NAMING = np.random.default_rng(0x5E75).integers(0, 1 << 64, 2, dtype=np.uint64)
+_U, _S = np.uint64, np.int64
 
 
 def shingles(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -55,34 +55,41 @@ def set_name(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(hashes ^ salt).sum(dtype=np.uint64)) for salt in _NAMING)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """The SimHash of a shingle set as WORDS words; zeros for the empty set."""
-    ones = np.zeros(64 * WORDS, np.int64)
+def simhash(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a shingle set as 64-bit words; zeros for the empty set."""
+    ones = np.zeros(64 * len(PRINT), np.int64)
     for at in range(0, len(hashes), 255):  # so many ones fit in a byte
         part = mixed(hashes[at : at + 255, None] ^ _SALTS).astype("<u8").view(np.uint8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap with the parity of the number of shingles that fall on each bit."""
+    return np.packbits(np.bincount((hashes >> _U(56)).astype(_S), minlength=PARITY) & 1, bitorder="little").view("<u8")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, h (a hash of the text, so that rows that share an id stay apart) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the commonest shingles of a sample of the texts and how many of its different texts hold each."""
-    texts = _texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(docs.count() // SAMPLE + 1)) == 0).select("text").distinct()
+    texts = _texts(docs).where(F.pmod("h", F.lit(docs.count() // SAMPLE + 1)) == 0).select("text").distinct()
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for group in in_groups(utf8_rows(batch.column(0)), lambda t: len(t or b"")):
                 found, many = np.unique(np.concatenate([shingles(t, shingle) for t in group]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many, pa.int64())], ["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(_S)), pa.array(many, pa.int64())], ["hash", "n"])
 
         return each
 
     seen = map_arrow(texts, make, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
     found = seen.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
-    hashes, many = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    hashes, many = found["hash"].to_numpy().view(_U), found["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], many[order]
 
@@ -97,41 +104,45 @@ def head(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return hashes[: n - (4 * n + 4) // 5 + 1]
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, the name s0, s1 of the shingle set, its words w0, w1 and so on (signed longs), its size n and its head, of every row."""
+def prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, h and, of the shingle set of every row: its name s0, s1, its fingerprint, its bitmap, its size n and its head."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    longs = ["s0", "s1", *PRINT, *BITMAP]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found, sizes, heads = [], [], []
-            for t in utf8_rows(batch.column(1)):
+            for t in utf8_rows(batch.column(2)):
                 x = shingles(t, shingle)
-                found.append([*set_name(x), *wide_fingerprint(x)])
+                found.append([*set_name(x), *simhash(x), *parities(x)])
                 sizes.append(len(x))
                 heads.append(head(x, sent.value).tobytes())
-            found = np.array(found, np.uint64).reshape(-1, 2 + WORDS).view(np.int64)
-            columns = [batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 + WORDS)), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "s0", "s1", *NAMES, "n", "head"])
+            found = np.array(found, _U).reshape(-1, len(longs)).view(_S)
+            columns = [*batch.columns[:2], *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(longs))), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", *longs, "n", "head"])
 
         return each
 
-    return map_arrow(_texts(docs), make, "doc_id long, s0 long, s1 long, " + ", ".join(f"{w} long" for w in NAMES) + ", n int, head binary")
+    return map_arrow(_texts(docs), make, "doc_id long, h long, " + ", ".join(f"{w} long" for w in longs) + ", n int, head binary")
 
 
-def _index_rows(w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, w0, w1) of every key of every fingerprint: each segment and its radius-1 ball."""
-    masks = np.concatenate([[0], 1 << np.arange(SEGMENT)]).astype(np.uint64)
-    low, keys = np.uint64((1 << SEGMENT) - 1), []
+# ---------------------------------------------------------------- multi-index hashing
+
+
+def _index_rows(w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """The keys of every fingerprint, table by table: each segment and its radius-1 ball."""
+    masks = np.concatenate([[0], 1 << np.arange(SEGMENT)]).astype(_U)
+    low, keys = _U((1 << SEGMENT) - 1), []
     for t in range(TABLES):
         at = t * SEGMENT
         if at + SEGMENT <= 64:
-            part = w0 >> np.uint64(at)
+            part = w0 >> _U(at)
         elif at < 64:
-            part = (w0 >> np.uint64(at)) | (w1 << np.uint64(64 - at))
+            part = (w0 >> _U(at)) | (w1 << _U(64 - at))
         else:
-            part = w1 >> np.uint64(at - 64)
-        keys.append((((part & low)[:, None] ^ masks) | np.uint64(t << SEGMENT)).ravel())
-    return np.concatenate(keys).astype(np.int64), np.tile(np.repeat(w0, SEGMENT + 1), TABLES), np.tile(np.repeat(w1, SEGMENT + 1), TABLES)
+            part = w1 >> _U(at - 64)
+        keys.append((((part & low)[:, None] ^ masks) | _U(t << SEGMENT)).ravel())
+    return np.concatenate(keys).astype(_S)
 
 
 def leaders(key: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,49 +166,48 @@ def leaders(key: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray
         near = apart <= MEET
         met.append(np.stack([lead[near], rows[near]], axis=1))
         rows = rows[apart > ABSORB]
-    lead = np.sort(np.concatenate(leading)) if leading else np.zeros(0, np.int64)
-    return lead, np.concatenate(met) if met else np.zeros((0, 2), np.int64)
+    lead = np.sort(np.concatenate(leading)) if leading else np.zeros(0, _S)
+    return lead, np.concatenate(met) if met else np.zeros((0, 2), _S)
 
 
-_SCHEMA = "key long, a0 long, a1 long, b0 long, b1 long"
-_FIELDS = ["key", "a0", "a1", "b0", "b1"]
-_U, _S = np.uint64, np.int64
+#: A row of the index has a key, a fingerprint and its node a; a pair has the nodes a and b.
+_INDEX = "key long, w0 long, w1 long, a long, b long"
 
 
-def _batch(key, a0, a1, b0=None, b1=None) -> pa.RecordBatch:
-    absent = pa.nulls(len(a0), pa.int64())
-    columns = [absent if x is None else pa.array(np.ascontiguousarray(x).view(_S)) for x in (key, a0, a1, b0, b1)]
-    return pa.RecordBatch.from_arrays(columns, _FIELDS)
+def _batch(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    names = ["key", *PRINT, "a", "b"]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[x]).view(_S)) if x in columns else pa.nulls(n, pa.int64()) for x in names], names)
 
 
-def _pairs(w0: np.ndarray, w1: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
-    """The distinct pairs, the lesser end first. Their key is spread so that they travel evenly."""
-    a, b = met[:, 0], met[:, 1]
-    ends = np.stack([w0[a], w1[a], w0[b], w1[b]], axis=1)
-    swap = (ends[:, 0] > ends[:, 2]) | ((ends[:, 0] == ends[:, 2]) & (ends[:, 1] > ends[:, 3]))
-    ends[swap] = ends[swap][:, [2, 3, 0, 1]]
+def _pairs(node: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    """The distinct pairs of nodes, the lesser first. Their key is spread so that they travel evenly."""
+    ends = np.sort(node[met], axis=1)
     ends = np.unique(ends, axis=0) if len(ends) else ends
-    key = -1 - (mixed(ends[:, 0] ^ mixed(ends[:, 2])) >> _U(2)).astype(_S)
-    return _batch(key, *(ends[:, k] for k in range(4)))
+    a, b = ends[:, 0].astype(_U), ends[:, 1].astype(_U)
+    return _batch(len(ends), key=-1 - (mixed(a ^ mixed(b)) >> _U(2)).astype(_S), a=a, b=b)
 
 
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of fingerprints. What a crowd shares is resolved here, before the shuffle, over some rows at a time."""
+    """Index rows of (node, fingerprint). What a crowd shares is resolved here, before the shuffle, over some rows at a time."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.stack([np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)])
-        w = w[:, np.lexsort((w[1], w[0]))].view(_U)
-        key, w0, w1 = _index_rows(w[0], w[1])
+        x = np.stack([np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3)])
+        node, w0, w1 = x[:, np.lexsort((x[2], x[1]))]
+        w0, w1 = w0.view(_U), w1.view(_U)
+        key, row = _index_rows(w0, w1), np.tile(np.repeat(np.arange(len(node)), SEGMENT + 1), TABLES)
         order = np.argsort(key, kind="stable")
-        key, w0, w1 = key[order], w0[order], w1[order]
-        lead, met = leaders(key, w0, w1)
-        yield _pairs(w0, w1, met)
+        key, row = key[order], row[order]
+        lead, met = leaders(key, w0[row], w1[row])
+        yield _pairs(node[row], met)
         for at in range(0, len(lead), 1 << 16):
             part = lead[at : at + (1 << 16)]
-            yield _batch(key[part], w0[part], w1[part])
+            own = row[part]
+            yield _batch(len(part), key=key[part], w0=w0[own], w1=w1[own], a=node[own])
 
     held, n = [], 0
     for batch in batches:
+        if not len(batch):
+            continue
         held.append(batch)
         n += len(batch) * TABLES * (SEGMENT + 1)
         if n >= ROWS:
@@ -210,23 +220,24 @@ def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of index rows that come sorted by key. Of a key that goes on, only the leaders are carried along."""
-    key, w0, w1 = np.zeros(0, _S), np.zeros(0, _U), np.zeros(0, _U)
+    kept = [np.zeros(0, _S)] * 4
     held, n = [], 0
 
+    def out(pairs: pa.RecordBatch) -> pa.RecordBatch:
+        return pairs.select(["a", "b"])
+
     def flush() -> pa.RecordBatch:
-        nonlocal key, w0, w1
-        more = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3)]
-        key, w0, w1 = np.concatenate([key, more[0]]), np.concatenate([w0, more[1].view(_U)]), np.concatenate([w1, more[2].view(_U)])
-        lead, met = leaders(key, w0, w1)
-        out = _pairs(w0, w1, met)
+        nonlocal kept
+        key, w0, w1, node = (np.concatenate([kept[k], *(b.column(k).to_numpy() for b in held)]) for k in range(4))
+        lead, met = leaders(key, w0.view(_U), w1.view(_U))
         open_ = lead[key[lead] == key[-1]]
-        key, w0, w1 = key[open_], w0[open_], w1[open_]
-        return out
+        kept = [x[open_] for x in (key, w0, w1, node)]
+        return out(_pairs(node, met))
 
     for batch in batches:
-        done = batch.column(3).is_valid()
-        if batch.column(3).null_count < len(batch):
-            yield batch.filter(done)
+        done = batch.column(4).is_valid()
+        if batch.column(4).null_count < len(batch):
+            yield out(batch.filter(done))
             batch = batch.filter(pa.compute.invert(done))
         if len(batch):
             held.append(batch)
@@ -239,36 +250,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (a0, a1, b0, b1) of the fingerprints (w0, w1) that meet at a key within MEET bits.
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints meet at a key of a table and are within MEET bits.
 
     All keys have their rows in the order of the fingerprints, so that a crowd has the same few leaders at all its keys.
     """
-    entered = distinct.select("w0", "w1").mapInArrow(_enter, _SCHEMA)
-    ordered = entered.repartition("key").sortWithinPartitions("key", "a0", "a1")
-    return ordered.mapInArrow(_meet, _SCHEMA).select("a0", "a1", "b0", "b1").distinct()
-
+    entered = nodes.select("node", *PRINT).mapInArrow(_enter, _INDEX)
+    ordered = entered.repartition("key").sortWithinPartitions("key", *PRINT, "a")
+    return ordered.mapInArrow(_meet, "a long, b long").distinct()
 
-def _distance() -> Column:
-    return reduce(Column.__add__, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in NAMES])
 
-
-def _name(of: str = "") -> Column:
-    return F.struct(F.col(f"{of}s0").alias("s0"), F.col(f"{of}s1").alias("s1"))
-
-
-def close_prints(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of names of shingle sets whose fingerprints meet and have LINK or fewer of all bits apart.
-
-    Sets that agree in their first 128 bits are each paired with the least of them, which alone meets the others.
-    """
-    least = distinct.groupBy("w0", "w1").agg(F.min(F.struct("s0", "s1", *NAMES[2:])).alias("least"))
-    prints = stage(least.select("w0", "w1", "least.*"), "prints")
-    a, b = prints.alias("a"), prints.alias("b")
-    found = candidates(prints).join(a, (F.col("a0") == F.col("a.w0")) & (F.col("a1") == F.col("a.w1")))
-    found = found.join(b, (F.col("b0") == F.col("b.w0")) & (F.col("b1") == F.col("b.w1"))).where(_distance() <= LINK)
-    same = distinct.select("w0", "w1", _name().alias("b")).join(prints.select("w0", "w1", _name().alias("a")), ["w0", "w1"]).where("a != b")
-    return found.select(_name("a.").alias("a"), _name("b.").alias("b")).union(same.select("a", "b"))
+# ---------------------------------------------------------------- verification
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -277,36 +269,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _named(texts: DataFrame, shingle: int) -> DataFrame:
-    """The name s0, s1 of the shingle set and the text of every row."""
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            named = np.array([set_name(shingles(t, shingle)) for t in utf8_rows(batch.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), batch.column(1)], ["s0", "s1", "text"])
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and bitmaps don't rule 0.8 out: what only one has is at most a ninth of both sizes."""
+    of = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ["n", *BITMAP]))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart: Column = reduce(Column.__add__, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITMAP])
+    return both.where((apart * 9 <= F.col("n_a") + F.col("n_b")) & (F.least("n_a", "n_b") * 5 >= F.greatest("n_a", "n_b") * 4)).select("a", "b")
 
-        return each
 
-    return map_arrow(texts, make, "s0 long, s1 long, text string")
-
-
-def _release(spark, *tables: DataFrame) -> None:
-    """Delete stage tables, and let Spark's cleaner delete the shuffle files of plans that are gone."""
-    for table in tables:
-        drop_stage(table)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def links(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of names whose shingle sets are similar, each set compared whole. Only the texts that a pair needs are read again."""
-    pairs = stage(pairs, "pairs")
-    _release(docs.sparkSession)
-    ends = stage(pairs.select("a.*").union(pairs.select("b.*")).distinct().join(distinct.select("s0", "s1", "least"), ["s0", "s1"]), "ends")
-    texts = _texts(docs).join(ends.select(F.col("least").alias("id")).distinct(), F.expr("doc_id <=> id"), "left_semi")
-    texts = _named(texts, shingle).join(ends.select("s0", "s1"), ["s0", "s1"], "left_semi").groupBy("s0", "s1").agg(F.first("text").alias("text"))
-    texts = stage(texts, "texts")
-    _release(docs.sparkSession)
+def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar, each set compared whole. Only the texts that a pair needs are read again."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = ends.join(nodes.select("node", "least"), "node").select("node", F.col("least.doc_id").alias("id"), F.col("least.h").alias("hash"))
+    rows = _texts(docs)
+    found = rows.join(ends, rows["doc_id"].eqNullSafe(ends["id"]) & (rows["h"] == ends["hash"]))
+    texts = stage(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -316,37 +293,39 @@ def links(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int =
 
         return each
 
-    of = lambda x: texts.select(_name().alias(x), F.col("text").alias(f"text_{x}"))
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-    found = stage(map_arrow(met, make, pairs.schema), "links")
-    del met
-    _release(docs.sparkSession, pairs, ends, texts)
-    return found
+    out = stage(map_arrow(met, make, "a long, b long"), "links")
+    drop_stage(texts)
+    return out
+
 
+# ---------------------------------------------------------------- prefix join
 
-_HEAD_SCHEMA = "key long, n int, place int, s0 long, s1 long, root long"
+_HEAD = ["key", "n", "place", "node", "root", *BITMAP]
+_HEAD_SCHEMA = "key long, n int, place int, node long, root long, " + ", ".join(f"{b} long" for b in BITMAP)
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each head, with its place, of rows (s0, s1, root, n, head)."""
+    """A row for each shingle of each head, with its place, of rows (n, node, root, bitmap, head)."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        sizes = pa.compute.binary_length(batch.column(len(BITMAP) + 3)).to_numpy(zero_copy_only=False).astype(_S) // 8
         for part in in_groups(range(len(batch)), lambda i: int(sizes[i]), ROWS):
             many = sizes[part]
             at = np.repeat(np.array(part), many)
-            key = np.frombuffer(b"".join(batch.column(4)[i].as_py() for i in part), np.int64)
+            key = np.frombuffer(b"".join(batch.column(len(BITMAP) + 3)[i].as_py() for i in part), _S)
             place = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
-            s0, s1, root, n = (batch.column(k).to_numpy()[at] for k in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(s0), pa.array(s1), pa.array(root)], ["key", "n", "place", "s0", "s1", "root"])
+            n, *rest = (batch.column(k).to_numpy()[at] for k in range(len(BITMAP) + 3))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32()), pa.array(place, pa.int32()), *map(pa.array, rest)], _HEAD)
     give_back()
 
 
-def crossing(key: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, known: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def crossing(key: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bitmap: list[np.ndarray], known: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one key and different roots that may be similar, for rows sorted by key and n; not among the first known.
 
     If a key's shingle is the first that two sets share, they share at most that and what follows it in the shorter rest.
     """
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, _S)
     many = np.diff(np.concatenate([first, [len(key)]]))
     mixed_roots = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first) if len(first) else np.zeros(0, bool)
     i, step = np.flatnonzero(np.repeat(mixed_roots & (many > 1), many)), 0
@@ -357,29 +336,31 @@ def crossing(key: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray
         j = i + step
         shared = np.minimum(n[i] - place[i], n[j] - place[j])
         good = (root[i] != root[j]) & (9 * shared >= 4 * (n[i] + n[j])) & (j >= known)
+        a, b = i[good], j[good]
+        apart = np.zeros(len(a), _S)
+        for bits in bitmap:
+            apart += np.bitwise_count(bits[a] ^ bits[b])
+        good = 9 * apart <= n[a] + n[b]
         if good.any():
-            yield i[good], j[good]
+            yield a[good], b[good]
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of names from the rows of heads that come sorted by key and n."""
-    kept = [np.zeros(0, _S)] * 6
+    """Distinct pairs of nodes from the rows of heads that come sorted by key and n."""
+    kept = [np.zeros(0, _S)] * len(_HEAD)
     held, many = [], 0
 
     def out(found: list) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        ends = np.stack([kept[3][a], kept[4][a], kept[3][b], kept[4][b]])
-        swap = (ends[0] > ends[2]) | ((ends[0] == ends[2]) & (ends[1] > ends[3]))
-        ends[:, swap] = ends[:, swap][[2, 3, 0, 1]]
-        ends = ends[:, np.unique(mixed(ends[0].view(_U) ^ mixed(ends[2].view(_U))), return_index=True)[1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in ends], _FIELDS[1:])
+        pairs = np.concatenate([np.stack(x, axis=1) for x in found])
+        ends = np.unique(np.sort(kept[3][pairs], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], ["a", "b"])
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal kept
         known = len(kept[0])
-        kept = [np.concatenate([kept[k], *(b.column(k).to_numpy().astype(_S) for b in held)]) for k in range(6)]
+        kept = [np.concatenate([kept[k], *(b.column(k).to_numpy().astype(_S) for b in held)]) for k in range(len(_HEAD))]
         found, total = [], 0
-        for pair in crossing(kept[0], kept[1], kept[2], kept[5], known):
+        for pair in crossing(kept[0], kept[1], kept[2], kept[4], [x.view(_U) for x in kept[5:]], known):
             found.append(pair)
             total += len(pair[0])
             if total >= ROWS:
@@ -402,39 +383,46 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def missed(rooted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of names of shingle sets under different roots: all that are similar and some that are not."""
-    rows = rooted.where("n > 0").select("s0", "s1", F.col("root.s0").alias("root"), "n", "head").mapInArrow(_heads, _HEAD_SCHEMA)
-    found = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_cross, "a0 long, a1 long, b0 long, b1 long").distinct()
-    return found.select(F.struct(F.col("a0").alias("s0"), F.col("a1").alias("s1")).alias("a"), F.struct(F.col("b0").alias("s0"), F.col("b1").alias("s1")).alias("b"))
+    """Pairs (a, b) of nodes under different roots: all that are similar and some that are not."""
+    rows = rooted.where("n > 0").select("n", "node", "root", *BITMAP, "head").mapInArrow(_heads, _HEAD_SCHEMA)
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_cross, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, h and kept: the least id of the group of near copies that each row is in (null where the group has no id)."""
+    wide = stage(prints(docs, shingle), "wide")
+    own = stage(wide.select("doc_id", "h", "s0", "s1"), "own")
+    same = [F.min(c).alias(c) for c in [*PRINT, *BITMAP, "n"]]
+    folded = wide.groupBy("s0", "s1").agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("least"), *same, F.first("head").alias("head"))
+    nodes = stage(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    drop_stage(wide)
+
+    def under(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        return rows.join(components(edges).withColumnRenamed("root", "found"), "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found")
+
+    met = stage(possible(close_prints(nodes), nodes), "met")
+    near = links(docs, nodes, met, shingle)
+    rooted = stage(under(nodes, near), "rooted")
+    drop_stage(met, near, nodes)
+    met = stage(missed(rooted), "met")
+    more = links(docs, rooted, met, shingle)
+    stars = rooted.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    grouped = stage(under(rooted.select("node", "s0", "s1", "least"), stars.union(more)), "grouped")
+    drop_stage(met, more, rooted)
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least.doc_id").alias("kept")), "root").select("s0", "s1", "kept")
+    return own.join(named, ["s0", "s1"]).select("doc_id", "h", "kept")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those that are near copies (similarity 0.8 or more) of one with a smaller id.
 
-    Groups are the components of the links. Texts of equal shingle sets are folded to one row first, so exact copies
-    cost one. Null or wordless texts are copies of one another, texts of fewer words than a shingle are copies of equal
-    texts only; rows without an id stay and so do all rows of the smallest id; an empty table stays empty.
+    Groups are the components of the links, so they don't depend on the order of rows. Texts of equal shingle sets are
+    folded to one row first, so exact copies cost one. Null or wordless texts are copies of one another, texts of fewer
+    words than a shingle are copies of equal texts only; very long texts are taken whole. Rows without an id stay, and so
+    do all rows of a group that have its smallest id; rows that share an id but not a group are judged apart. An empty
+    table stays empty; extra columns stay, whatever their names.
     """
-    spark = docs.sparkSession
-    wide = stage(wide_fingerprints(docs, shingle), "wide")
-    own = stage(wide.select("doc_id", "s0", "s1"), "own")
-    folded = wide.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*NAMES, "n", "head")).alias("print"))
-    distinct = stage(folded.select("s0", "s1", "least", "print.*"), "distinct")
-    del folded
-    _release(spark, wide)
-
-    def under(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        roots = components(edges).select("node.s0", "node.s1", F.col("root").alias("found"))
-        return nodes.join(roots, ["s0", "s1"], "left").withColumn("root", F.coalesce("found", _name())).drop("found")
-
-    near = links(docs, distinct, close_prints(distinct), shingle)
-    rooted = stage(under(distinct.select("s0", "s1", "least", "n", "head"), near), "rooted")
-    _release(spark, distinct, near)
-    more = links(docs, rooted, missed(rooted), shingle)
-    stars = rooted.where(_name() != F.col("root")).select(_name().alias("a"), F.col("root").alias("b"))
-    grouped = stage(under(rooted.select("s0", "s1", "least"), stars.union(more)), "grouped")
-    del stars
-    _release(spark, rooted, more)
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("kept")), "root").select("s0", "s1", "kept")
-    losers = own.select("doc_id", "s0", "s1").join(named, ["s0", "s1"]).where("doc_id != kept").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    found = groups(docs, shingle).where("doc_id != kept").select("doc_id", "h").distinct()
+    id_, hash_ = unused_names(docs, "near_id", "near_hash")
+    losers = found.select(F.col("doc_id").alias(id_), F.col("h").alias(hash_))
+    return docs.join(losers, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_)), "left_anti").select(docs.columns)
