@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline{k}", release=True)
+            docs = stage(docs, f"pipeline{k}")
     return docs
