@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked through a ball index on fingerprint segments."""
+"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by lookups of Hamming balls in segment tables."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from .components import components
 SHINGLE = 3  # words, as the contract of the query has it
 SEED = 42
 BITS = 64
-SEGMENTS = 2
+SEGMENTS = 4
+RADIUS = 2  # differing bits of a link
 
 
 def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
@@ -49,27 +50,45 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, fp long")
 
 
-def _balls(fp: Column, segment: int) -> list[Column]:
-    """The fingerprints whose given segment is one bit away from fp's, the other segments being fp's own."""
+def _mask(segment: int) -> int:
+    """The bits of a segment, as a signed long."""
     width = BITS // SEGMENTS
-    masks = ((1 << bit) - (1 << 64 if bit == 63 else 0) for bit in range(segment * width, (segment + 1) * width))
-    return [fp.bitwiseXOR(F.lit(m).cast("long")) for m in masks]
+    mask = ((1 << width) - 1) << (segment * width)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _bit(k: int) -> int:
+    return 1 << k if k < 63 else -(1 << 63)
+
+
+def segment_keys(fp: Column) -> list[Column]:
+    """The tables' keys of a fingerprint: for each segment that is left out, the three others."""
+    return [F.struct(F.lit(out).cast("byte").alias("out"), fp.bitwiseAND(F.lit(~_mask(out))).alias("key")) for out in range(SEGMENTS)]
+
+
+def probes(fp: Column) -> list[Column]:
+    """The keys that a fingerprint is looked up under: its own, and in each table the radius-1 Hamming balls of the later segments."""
+    width, balls = BITS // SEGMENTS, []
+    for out in range(SEGMENTS):
+        for bit in range((out + 1) * width, BITS):
+            balls.append(F.struct(F.lit(out).cast("byte").alias("out"), fp.bitwiseXOR(F.lit(_bit(bit))).bitwiseAND(F.lit(~_mask(out))).alias("key")))
+    return segment_keys(fp) + balls
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints at two or fewer differing bits.
+    """Edges (a, b) between all fingerprints at two or fewer differing bits.
 
-    Multi-index hashing, seen from both sides: every fingerprint is entered in the table under itself and under the
-    radius-1 Hamming ball of each of its segments, the rest of the fingerprint completing the key. Two fingerprints
-    at distance 1 or 2 meet at a key (the point between them), and fingerprints that meet are at most 2 apart, so a
-    key never holds more than 65 of them whatever the data: there is no hot bucket and no pair list. Every member is
-    linked to the least one of its key after a full distance check.
+    Multi-index hashing over four segments of 16 bits. Two differing bits lie in one segment or in two: table k holds
+    every fingerprint under the segments other than k. If the bits lie in one segment, the others are equal and the
+    fingerprint's own key finds the match; if they lie in two, the table that leaves out the earlier one is looked up
+    under the Hamming ball of the later one. Every match is verified by the complete distance. A key fixes 48 bits, so
+    that at most 2**16 distinct fingerprints share one, however many documents there are.
     """
-    keys = [F.col("fp"), *(c for s in range(SEGMENTS) for c in _balls(F.col("fp"), s))]
-    table = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    met = table.groupBy("key").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    pairs = met.select(F.array_min("all").alias("b"), F.explode("all").alias("a")).where("a != b")
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
+    fp = distinct.select("fp").repartition("fp")
+    table = fp.select(F.col("fp").alias("b"), F.explode(F.array(*segment_keys(F.col("fp")))).alias("at")).select("b", "at.*")
+    asked = fp.select(F.col("fp").alias("a"), F.explode(F.array(*probes(F.col("fp")))).alias("at")).select("a", "at.*")
+    met = asked.join(table, ["out", "key"]).where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS) & (F.col("a") != F.col("b")))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -77,8 +96,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Equal fingerprints are folded to one row before any link is sought, so a group of copies costs one row, and the
     last join has the (possibly hot) fingerprint on its streamed side only, where adaptive execution splits it.
-    Null or wordless texts have fingerprint zero and are linked like any other; a null doc_id never names a component;
-    rows that share a doc_id are all returned; an empty table gives an empty result.
+    Null or wordless texts have fingerprint zero and are linked like any other; very long texts are taken whole; a null
+    doc_id never names a component (a component of null ids has none); rows that share a doc_id and repeated rows are all
+    returned; extra columns are not looked at; an empty table gives an empty result.
     """
     own = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
