@@ -232,7 +232,7 @@ def uncollected() -> Iterator[None]:
 class UnitCache:
     """Integer sequences of text units, worked out once for each distinct unit.
 
-    A text is cut into units by split(); encode(units) gives a sequence for each new unit. The table may be kept from
+    A text is cut into units by split(); encode(units) gives a sequence for each new unit, or all joined and their sizes. The table may be kept from
     task to task of a worker: it is emptied when, after a group of texts, it holds more than limit units, or 20 * limit characters or numbers,
     so a worker's memory is bounded whatever the vocabulary.
     """
@@ -249,15 +249,20 @@ class UnitCache:
     def _add(self, units: list[str], base: int) -> None:
         """Encode the units that are numbered from base on."""
         rows = self.encode(units)
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        total = int(sizes.sum())
+        if isinstance(rows, tuple):
+            joined, sizes = rows
+            total = len(joined)
+        else:
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            total = int(sizes.sum())
+            joined = np.fromiter(chain.from_iterable(rows), self.dtype, total)
         need, n = self.used + total, base + len(units)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), self.dtype)])
         if n > len(self.start):
             more = np.zeros(max(n, len(self.start)), np.int64)
             self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        self.flat[self.used : need] = np.fromiter(chain.from_iterable(rows), self.dtype, total)
+        self.flat[self.used : need] = joined
         self.length[base:n] = sizes
         self.start[base:n] = self.used + np.cumsum(sizes) - sizes
         self.used = need

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 from itertools import accumulate
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import unit_splitter
-from .common import UnitCache, map_arrow, new_path, stage, utf8_rows
+from .common import UnitCache, gather, map_arrow, new_path, stage, utf8_rows
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_IDS = 0x184D2A50
@@ -90,16 +91,78 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+def text_splitter(path: str, pattern: str) -> Callable[[str], list[str]]:
+    """Cuts a text into units that the tokenizer encodes one by one as it encodes the text.
+
+    The strings of added tokens are cut out first, as the library does; each is a unit. If an added token takes blanks
+    beside it or only counts as a word, texts are not cut.
+    """
+    split = unit_splitter(pattern)
+    added = list(_tokenizer(path).get_added_tokens_decoder().values())
+    if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added):
+        return lambda text: [text] if text else []
+    names = sorted((x.content for x in added if x.content), key=len, reverse=True)
+    if not names:
+        return split
+    cut = re.compile("(" + "|".join(map(re.escape, names)) + ")")
+
+    def units(text: str) -> list[str]:
+        if not any(x in text for x in names):
+            return split(text)
+        return [u for k, part in enumerate(cut.split(text)) if part for u in ([part] if k % 2 else split(part))]
+
+    return units
+
+
+TOGETHER = 1000  # units that are encoded as one string
 
 
 @lru_cache(maxsize=1)
 def unit_encoder(path: str, pattern: str) -> UnitCache:
-    """The tokenizers library's ids, asked for once for each distinct unit of text. A worker keeps the table between tasks."""
+    """The tokenizers library's ids, asked for once for each distinct unit of text. A worker keeps the table between tasks.
+
+    No match of the pattern reaches from a character that isn't white space to a blank behind it, so units that begin
+    with a blank and don't end in one are encoded many at once, joined; each token's bytes tell whose it is.
+    """
     t = _tokenizer(path)
-    return UnitCache(unit_splitter(pattern), lambda units: [e.ids for e in t.encode_batch_fast(units, add_special_tokens=False)])
+    size = t.get_vocab_size(with_added_tokens=True)
+    width = np.array([len(t.id_to_token(k) or "") for k in range(size)], np.int64)  # a character of a token is a byte
+    for k, token in t.get_added_tokens_decoder().items():
+        width[k] = len(token.content.encode())
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        apart, joined = [], []
+        for k, u in enumerate(units):
+            (joined if u[0] in " \n" and not u[-1].isspace() else apart).append(k)
+        flats, sizes, order = [], [], []
+        for at in range(0, len(joined), TOGETHER * 100):
+            group = joined[at : at + TOGETHER * 100]
+            parts = [group[k : k + TOGETHER] for k in range(0, len(group), TOGETHER)]
+            found = t.encode_batch_fast(["".join(map(units.__getitem__, x)) for x in parts], add_special_tokens=False)
+            for part, one in zip(parts, found, strict=True):
+                ids = np.array(one.ids, np.uint32)
+                ends = np.cumsum(width[ids])
+                borders = np.cumsum([len(units[k]) if units[k].isascii() else len(units[k].encode()) for k in part])
+                last = np.searchsorted(ends, borders)
+                if len(ids) == 0 or (last >= len(ends)).any() or (ends[last] != borders).any():
+                    apart += part  # not a tokenizer of bytes
+                    continue
+                flats.append(ids)
+                sizes.append(np.diff(last, prepend=-1))
+                order += part
+        alone = [e.ids for e in t.encode_batch_fast([units[k] for k in apart], add_special_tokens=False)]
+        flats += [np.array(x, np.uint32) for x in alone]
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        flat, many = np.concatenate([*flats, np.zeros(0, np.uint32)]), np.concatenate(sizes)
+        place = np.empty(len(units), np.int64)
+        place[np.array(order + apart, np.int64)] = np.arange(len(units))
+        start = (np.cumsum(many) - many)[place]
+        return gather(flat, start, many[place]), many[place]
+
+    return UnitCache(text_splitter(path, pattern), encode, limit=1_200_000)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int | None = END_ID, level: int = 3) -> DataFrame:

@@ -4,11 +4,13 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bigru, bpe, components, decontam, kneser_ney, mkv, pii, seekable, simhash, substring_fm, suffix_dedup
@@ -90,6 +92,12 @@ def test_balls_are_complete(spark):
             assert found.get(s, s) == found.get(t, t)
 
 
+def test_simhash_keeps_repeated_rows(spark):
+    rows = [(5, "one two three four", 1), (5, "one two three four", 2), (None, "one two three four", 3), (9, None, 4), (None, "", 5)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp long")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 5), (0, 9), (5, 5), (5, 5), (9, 9)]
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (None, 3)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -259,20 +267,39 @@ def test_token_files(docs, rows, none, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
+    odd = ["<|endoftext|>", "a <|endoftext|> b", " <|endoftext|>  \n<|endoftext|>x<|endoftext", "tab\tand \x1c odd  \xa0 blanks \n", "it's we'll  3 4\n\n\nend  "]
+    rows = [*rows, *((100 + k, x) for k, x in enumerate(odd))]
+    docs = docs.union(docs.sparkSession.createDataFrame([(100 + k, x, "en", "x", 1) for k, x in enumerate(odd)], SCHEMA))
     shards = seekable.write_shards(docs, path, public_tokenizers.PATTERN, f"file://{tmp_path}/ids")
     found, at = by_id(seekable.read_shards(shards)), 0
     for k, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
-        assert (found[k].start, found[k].n_tokens) == (at, len(ids))
+        assert (found[k].start, found[k].n_tokens, found[k].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
         assert next(x for _, x in seekable.read_file(found[k].path, {k})).tolist() == ids
     broken = next(tmp_path.glob("ids/*.zst"))
+    whole = broken.read_bytes()
+    frame = bytearray(whole)
+    frame[20] ^= 1
+    broken.write_bytes(frame)
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        list(seekable.read_file(f"file://{broken}"))
+    broken.write_bytes(whole)
     broken.write_bytes(broken.read_bytes()[:-1] + b"?")
     with pytest.raises(ValueError, match="seek table"):
         list(seekable.read_file(f"file://{broken}"))
     assert seekable.token_files(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_units_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(7)
+    t, units = Tokenizer.from_file(path), seekable.unit_encoder(path, public_tokenizers.PATTERN)
+    mixed = ["".join(r.choice(["the", " ", "  ", "\n", "\t", "it's", "é", "漢", "1", "23", ",", ". ", "\u2003", "<|endoftext|>", "😀", "word", " \n "]) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    assert [x.tolist() for x in units.texts(mixed)] == [t.encode(x, add_special_tokens=False).ids for x in mixed]
+
+
 def test_perplexity(spark, none):
     r = random.Random(2)
     good = lambda: " ".join(r.choice(["the", "then", "there", "other", "mother"]) for _ in range(60))
