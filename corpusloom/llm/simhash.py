@@ -84,7 +84,8 @@ def links(distinct: DataFrame) -> DataFrame:
     under the Hamming ball of the later one. Every match is verified by the complete distance. A key fixes 48 bits, so
     that at most 2**16 distinct fingerprints share one, however many documents there are.
     """
-    fp = distinct.select("fp").repartition("fp")
+    spark = distinct.sparkSession
+    fp = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")  # a small table that grows a hundredfold in the next step
     table = fp.select(F.col("fp").alias("b"), F.explode(F.array(*segment_keys(F.col("fp")))).alias("at")).select("b", "at.*")
     asked = fp.select(F.col("fp").alias("a"), F.explode(F.array(*probes(F.col("fp")))).alias("at")).select("a", "at.*")
     met = asked.join(table, ["out", "key"]).where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS) & (F.col("a") != F.col("b")))
