@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage
+from .common import drop_stage, stage, unused_names
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"  # a kind that has seeds but no base shape
 
 # The shapes, with runs taken whole and begun only where a run begins (or where the last match ended), so that no
 # text costs more than linear time; the matches are those of the plain forms.
@@ -21,6 +22,11 @@ SHAPES = {
 #: What may be an identifier: a word with a digit or an at sign, with the words behind it that begin like a number.
 CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]{0,3}+[0-9]\S*+)*+"
 
+#: A seed of a secret: 32 or more hexadecimal digits, some of them letters and some not.
+HEX = "^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
+#: What may stand around an identifier without being part of it.
+BEFORE, BEHIND = "\"'`*_<[{(", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 ROUNDS = 3
 CONFIDENT = 0.75
 SUPPORT = 3  # distinct instances behind a pattern
@@ -45,9 +51,10 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """An array of (gap, match): the characters since the last match, and the match. Empty for a null text."""
+    """An array of (gap, match, rest): the characters since the last match, the match, and those up to the next. Empty for a null text."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.arrays_zip(gaps.alias("gap"), F.concat(matches, F.array(F.lit(None).cast("string"))).alias("match"))
+    none = F.array(F.lit(None).cast("string"))
+    return F.arrays_zip(gaps.alias("gap"), F.concat(matches, none).alias("match"), F.concat(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), none).alias("rest"))
 
 
 def _placed(rows: DataFrame, *by: str) -> DataFrame:
@@ -77,18 +84,29 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return _placed(rows, "kind").where(valid(F.col("kind"), F.col("match"))).select("doc_id", "h", "kind", "start", "end")
 
 
+def _contexts(gap: Column, rest: Column) -> Column:
+    """The lexical patterns around a match: one and two words on either side, and the nearest of both sides."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    left, right = words(gap), words(F.coalesce(rest, F.lit("")))
+    last = lambda n: F.when(F.size(left) >= n, F.array_join(F.slice(left, -n, n), " "))
+    first = lambda n: F.when(F.size(right) >= n, F.array_join(F.slice(right, 1, n), " "))
+    made = [F.concat(F.lit("L1 "), last(1)), F.concat(F.lit("L2 "), last(2)), F.concat(F.lit("R1 "), first(1)), F.concat(F.lit("R2 "), first(2)), F.concat(F.lit("LR "), last(1), F.lit(" _ "), first(1))]
+    return F.array_compact(F.array(*made))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, start, end, token, pattern, kind): identifiers and might-be ones with the two words before them; kind is null where no shape is in the token."""
+    """(doc_id, h, start, end, token, patterns, kind): identifiers and might-be ones with the contexts around them; kind is null where nothing seeds the token."""
     some = docs.where(F.col("text").rlike("[0-9@]"))
     rows = some.select("doc_id", "h", F.posexplode(_found(F.col("text"), CANDIDATE)).alias("pos", "row")).where("row.match is not null").dropDuplicates(["doc_id", "h", "pos"])
-    left = F.lower(F.regexp_extract(F.right(F.col("row.gap"), F.lit(60)), r"(\S+\s+\S+)\s+$", 1))
-    rows = rows.select("doc_id", "h", "pos", F.length("row.gap").alias("gap_n"), F.col("row.match").alias("match"), F.regexp_replace(left, r"\s+", " ").alias("pattern"))
-    placed = _placed(rows)
-    token = F.regexp_replace(F.col("match"), r"[\p{Punct}]++$", "")
+    placed = _placed(rows.select("doc_id", "h", "pos", F.length("row.gap").alias("gap_n"), F.col("row.match").alias("match"), _contexts(F.col("row.gap"), F.col("row.rest")).alias("patterns")))
+    open_ = F.ltrim(F.col("match"), F.lit(BEFORE))
+    out = placed.withColumn("start", F.col("start") + F.length("match") - F.length(open_)).withColumn("token", F.rtrim(open_, F.lit(BEHIND)))
     t, n = F.col("token"), F.length(_digits(F.col("token")))
-    kind = F.when(t.rlike(SHAPES["email"]), "email").when(t.rlike(SHAPES["ip"]), "ip").when(t.rlike(SHAPES["phone"]) & n.between(10, 15), "phone").when(t.rlike(f"^{SHAPES['card']}$") & n.between(14, 19), "card")
-    out = placed.withColumn("token", token).withColumn("end", F.col("start") + F.length("token"))
-    return out.withColumn("kind", kind).select("doc_id", "h", "start", "end", "token", "pattern", "kind")
+    is_ip = t.rlike(SHAPES["ip"]) & valid(F.lit("ip"), F.regexp_extract(t, SHAPES["ip"], 0))
+    is_card = t.rlike(f"^{SHAPES['card']}$") & n.between(14, 19) & _luhn(_digits(t))
+    kind = F.when(t.rlike(SHAPES["email"]), "email").when(is_ip, "ip").when(t.rlike(SHAPES["phone"]) & n.between(10, 15), "phone").when(is_card, "card").when(t.rlike(HEX), SECRET)
+    out = out.withColumn("end", F.col("start") + F.length("token")).withColumn("kind", kind)
+    return out.where("token != ''").select("doc_id", "h", "start", "end", "token", "patterns", "kind")
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -98,7 +116,8 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     more than their number, if the sum is SUPPORT or more; an instance's is that of the noisy-or of its patterns'.
     Links are distinct (pattern, instance) pairs, summed before they are shuffled; each round is written down.
     """
-    links = stage(found.where("pattern != ''").groupBy("pattern", "token").agg(F.min("kind").alias("kind")), "links")
+    each = found.select("token", "kind", F.explode("patterns").alias("pattern"))
+    links = stage(each.groupBy("pattern", "token").agg(F.min("kind").alias("kind")), "links")
     seeds = links.where("kind is not null").groupBy("token", "kind").agg(F.lit(1.0).alias("conf"))
     sizes = links.groupBy("pattern").agg(F.count("*").alias("n"))
     known, patterns = seeds, None
@@ -110,7 +129,8 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             drop_stage(last)
         new = links.where("kind is null").select("pattern", "token").join(patterns, "pattern").groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
         known = seeds.union(new)
-    return patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
+    drop_stage(links)
+    return patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"), F.max("conf").alias("conf"))
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -118,14 +138,17 @@ def all_spans(docs: DataFrame) -> DataFrame:
     base = stage(base_spans(docs), "base")
     found = stage(candidates(docs), "candidates")
     patterns = confident_patterns(found)
-    seen = found.where("kind is null").drop("kind").where(F.length(_digits(F.col("token"))) >= DIGITS).join(patterns, "pattern")
+    unseen = found.where("kind is null").drop("kind").where(F.length(_digits(F.col("token"))) >= DIGITS)
+    seen = unseen.withColumn("pattern", F.explode("patterns")).join(patterns, "pattern")
+    by_context = seen.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
+    secrets = found.where(F.col("kind") == SECRET).select("doc_id", "h", "start", "end", "kind")
     # A candidate without a shape can't hold a base span, but the kinds' spans are kept apart from it all the same.
-    new = seen.select("doc_id", "h", "kind", "start", "end").join(base.select("doc_id", "h", "kind", "start", "end"), ["doc_id", "h", "kind", "start", "end"], "left_anti")
+    new = by_context.unionByName(secrets).select("doc_id", "h", "kind", "start", "end").join(base, ["doc_id", "h", "kind", "start", "end"], "left_anti")
     return base.withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
 
 
 def _rank(kind: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+    return F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), kind)
 
 
 def _joined(spans: Column) -> Column:
@@ -136,10 +159,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (of the shapes), base_sha256, spans (all), n_found (that contexts added).
 
     Every expression is a DataFrame function. Only documents with a digit or an at sign are searched, and of them only
-    matches with their places are shuffled, not texts. Candidates that hold a shape seed the contexts: the two words
-    before them are patterns, patterns and instances score each other for three rounds, and confident patterns name
-    candidates of five digits or more that hold no shape. Null is the empty text, which has no span; spans of rows
-    equal in id and text are found once and given to each; extra columns are not looked at.
+    matches with their places are shuffled, not texts. Candidates that hold a shape, and hexadecimal secrets, seed the
+    contexts: one and two words on either side are patterns, patterns and instances score each other for three rounds,
+    and confident patterns name candidates of five digits or more that nothing seeds. Secrets and what contexts name are
+    added to spans under their kind. Null is the empty text, which has no span; very long texts and tokens cost linear
+    time; spans of rows equal in id and text are found once and given to each; extra columns are not looked at.
     """
     rows = keyed(docs)
     spans = all_spans(rows).withColumn("span", F.struct("start", _rank(F.col("kind")).alias("rank"), "end", "kind"))
@@ -152,7 +176,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets; spans that touch or overlap are one, under the kind of the first."""
+    """docs with every span in text replaced by its kind in brackets; spans that touch or overlap are one, under the kind of the first.
+
+    Null texts stay null, empty ones empty; rows equal in id and text are masked alike; other columns stay, whatever their names.
+    """
     rows = keyed(docs)
     spans = all_spans(rows).withColumn("rank", _rank(F.col("kind")))
     order = Window.partitionBy("doc_id", "h").orderBy("start", "rank", "end")
@@ -160,9 +187,10 @@ def masked(docs: DataFrame) -> DataFrame:
     spans = spans.withColumn("fresh", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))).withColumn("island", F.sum("fresh").over(order))
     merged = spans.groupBy("doc_id", "h", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank")).alias("kind"))
     before = F.lag("end", 1, 0).over(Window.partitionBy("doc_id", "h").orderBy("start"))
-    cut = merged.withColumn("from", before).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "kind"))).alias("_cuts"))
-    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_h")), "left")
-    pieces = F.transform("_cuts", lambda c: F.concat(F.substring(F.col("text"), c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]")))
-    tail = F.substring(F.col("text"), F.element_at("_cuts", -1)["end"].cast("int") + 1, F.length("text"))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    id_, hash_, cuts = unused_names(docs, "pii_id", "pii_hash", "pii_cuts")
+    cut = merged.withColumn("from", before).groupBy(F.col("doc_id").alias(id_), F.col("h").alias(hash_)).agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "kind"))).alias(cuts))
+    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(hash_)), "left")
+    pieces = F.transform(cuts, lambda c: F.concat(F.substring(F.col("text"), c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    tail = F.substring(F.col("text"), F.element_at(cuts, -1)["end"].cast("int") + 1, F.length("text"))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -262,6 +263,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {r.doc_id: r.text for r in pii.masked(docs).collect()}[50] == "please ring us on [PHONE] today"
 
 
+def test_contexts_on_both_sides_and_secrets(spark):
+    seeds = [(k, f"by token = \"{k:032x}ab{k}\" and so") for k in range(100, 120)] + [(k, f"mail{k}@x{k}.org signed it off") for k in range(200, 220)]
+    rows = [*seeds, (1, "TOKEN = \"12345678\"!! Ok"), (2, "joe99887@home signed it"), (3, "1999 and 12345 others"), (4, "in 10.5.2024 at")]
+    found = by_id(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[100].spans == "secret:12:49" and found[100].n_found == 1
+    assert found[1].spans == "secret:9:17" and found[2].spans == "email:0:13"
+    assert found[3].spans == found[4].spans == ""
+
+
+def test_long_tokens_are_linear(spark):
+    rows = [(1, "1" + "." * 1_000_000 + "x " + "@." * 200_000), (2, "7" * 300_000), (3, "+" + "(" * 500_000 + "9"), (4, "a" * 500_000 + "@" + "b." * 300_000)]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, _id long, pii_hash long, _cuts long")
+    began = time.time()
+    out = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert time.time() - began < 60 and out[2] == rows[1][1] and pii.masked(docs).columns == docs.columns
+
+
 def test_token_files(docs, rows, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -341,10 +359,10 @@ def test_languages(spark, none):
     r = random.Random(4)
     make = {"en": ["the", "thing", "with", "other"], "de": ["der", "schön", "nicht", "über"]}
     rows = [(k, " ".join(r.choice(make[lang]) for _ in range(30)), lang) for k in range(120) for lang in [["en", "de"][k % 2]]]
-    docs = spark.createDataFrame([*rows, (500, None, "en"), (501, "12 34 !", "en"), (None, "the other thing", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (500, None, "en"), (501, "12 34 !", "en"), (502, "½ ² 12 Ⅷ", "en"), (None, "the other thing", None)], "doc_id long, text string, lang string")
     found = bigru.identify(docs, steps=60).collect()
     truth = {k: lang for k, _, lang in rows}
     held = [x for x in found if x.held_out and x.doc_id in truth]
     assert held and all(x.lang_pred == truth[x.doc_id] for x in held)
-    assert {x.doc_id: x.lang_pred for x in found if x.doc_id in (500, 501)} == {500: "und", 501: "und"}
+    assert {x.doc_id: x.lang_pred for x in found if x.doc_id in (500, 501, 502)} == {500: "und", 501: "und", 502: "und"}
     assert bigru.identify(none).count() == 0
