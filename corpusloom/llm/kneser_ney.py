@@ -2,70 +2,78 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordTable, in_groups, map_arrow, mixed, stage, utf8_rows
+from .common import Rolling, drop_stage, in_groups, map_arrow, mixed, stage, unused_names, utf8_rows
 
 ORDER = 5
-START, END = "\x02", "\x03"
-QUANTILE = 0.9
-MARGIN = 1.4  # times the quantile
-SHORT = 2.0  # over the root of the number of characters: what the log-perplexity of a short text may be above the threshold's
-MODEL_ROWS = 4_000_000  # n-grams and contexts that are sent to the executors at once
-BROADCAST_IDS = 2_000_000  # trusted ids that are sent to the executors; more are joined by a shuffle
+START = "\x02"  # what stands before a text
+LEAST, MOST = 0.0025, 0.99  # quantiles of trusted text
+MODEL_ROWS = 6_000_000  # n-grams and contexts that a task holds at once; more are scored in as many passes as needed
 NO_LANGUAGE = ""
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
 
 
-def framed(word: str) -> str:
-    return START + word + END
+def normal(text: str) -> str:
+    """Lower case, one blank for every run of white space."""
+    return " ".join(text.replace(START, " ").lower().split())
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+def joined(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """The normal forms behind order - 1 starts each, joined; the places of their characters; whose they are."""
+    forms = [normal(t) for t in texts]
+    sizes = np.fromiter(map(len, forms), np.int64, len(forms))
+    ends = np.cumsum(sizes + order - 1)
+    place = np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)
+    return "".join(START * (order - 1) + f for f in forms), place, np.repeat(np.arange(len(forms)), sizes)
+
+
+def symbols(text: str) -> np.ndarray:
+    return mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+
+
+def gram_sums(s: np.ndarray, order: int) -> list[np.ndarray]:
+    """For m up to order: a 64-bit sum over the m symbols that end at each place (places before the m-th are not used)."""
+    out = [np.zeros(len(s), np.uint64)]
+    for m in range(order):
+        step = out[-1].copy()
+        step[m:] += s[: len(s) - m] * _POWERS[m]
+        out.append(step)
+    return out
 
 
 # ---------------------------------------------------------------- counts
 
 
 def _counted(order: int):
-    """Per task: how often each character follows its history (of order - 1 characters, or back to the start of the word)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for lang, seen in words.items():
-                grams: Counter = Counter()
-                for word, n in seen.items():
-                    w = framed(word)
-                    for i in range(1, len(w)):
-                        grams[w[max(0, i + 1 - order) : i + 1]] += n
-                rows += [(lang, g, n) for g, n in grams.items()]
-            words.clear()
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
-
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True):
-                words.setdefault(lang, Counter()).update(words_of((data or b"").decode()))
-            if sum(map(len, words.values())) > 500_000:
-                yield flush()
-        yield flush()
-
-    return run
+    """Per task: how often each character follows the order - 1 characters before it, over words and blanks alike."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True)
+        for group in in_groups(rows, lambda x: len(x[1] or b""), 4_000_000):
+            for lang in {x for x, _ in group}:
+                text, place, _ = joined([(t or b"").decode() for x, t in group if x == lang], order)
+                if not len(place):
+                    continue
+                sums = gram_sums(symbols(text), order)[order]
+                _, first, many = np.unique(sums[place], return_index=True, return_counts=True)
+                grams = [text[i - order + 1 : i + 1] for i in place[first].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(many, pa.int64())], ["lang", "gram", "n"])
+
+    return each
 
 
 def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, n) over all rows of (lang, text), summed in each task before the shuffle."""
-    return texts.select("lang", "text").mapInArrow(_counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(texts.select("lang", "text"), lambda: _counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- model
@@ -77,22 +85,24 @@ def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
     kind p: the probability of the gram's last character after the others; kind g: the weight of the next lower order
     after the context gram; kind v: one over the size of the alphabet (gram empty). Counts, contexts and lower orders
     are joined by (lang, gram), which spreads each language over all tasks. Below the highest order a gram counts the
-    distinct characters before it, or its occurrences where it begins a word; each order has three discounts of its own.
+    distinct characters before it, or its occurrences where it begins a text; each order has three discounts of its own.
     """
     raw = stage(counts(texts, order), "grams")
     size = raw.groupBy("lang").agg(F.countDistinct(F.substring("gram", -1, 1)).alias("v"))
     base = size.select("lang", (1 / (F.col("v") + 1)).alias("uniform"))
-    levels = {order: raw.where(F.length("gram") == order)}
+    levels = {order: raw}
     for m in range(order - 1, 0, -1):
-        wider = levels[m + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
-        levels[m] = wider.union(raw.where((F.length("gram") == m) & F.col("gram").startswith(START)))
+        wider = levels[m + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+        levels[m] = wider.select("lang", "gram", F.when(F.col("gram").startswith(START), F.col("n")).otherwise(F.col("kinds")).alias("n"))
     out, lower = [base.select("lang", F.lit("v").alias("kind"), F.lit("").alias("gram"), F.col("uniform").alias("value"))], None
     for m in range(1, order + 1):
         level = stage(levels[m].withColumn("context", F.expr(f"substring(gram, 1, {m - 1})")), f"level{m}")
         many = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in range(1, 5)]
         seen = level.groupBy("lang").agg(*many)
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-        discount = [F.coalesce(F.greatest(F.lit(0.1 * k), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
+        # Of a count that no gram has the discount is half of it.
+        share = lambda k: F.col(f"n{k + 1}") / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}"))
+        discount = [F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(0.1 * k), F.least(F.lit(float(k)), k - (k + 1) * y * share(k)))).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)]
         seen = seen.select("lang", *discount)
         of = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), *(F.count_if(F.least("n", F.lit(3)) == k).alias(f"c{k}") for k in (1, 2, 3)))
         of = of.join(F.broadcast(seen), "lang").withColumn("gamma", (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total"))
@@ -113,132 +123,151 @@ def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
 _KIND = {"p": 0, "g": 1, "v": 2}
 
 
-def gram_key(text: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | int, kind: int, rolling: Rolling | None = None) -> np.ndarray:
-    """64-bit keys of spans of a sequence of code points, for a language's seed and a kind."""
-    rolling = rolling or Rolling(mixed(text + np.uint64(1)))
-    return mixed(rolling.span(start, end) ^ mixed(np.atleast_1d(np.asarray(seed, np.uint64)) * np.uint64(8) + np.uint64(kind)) + (end - start).astype(np.uint64))
-
-
 def language_seed(lang: str) -> int:
     codes = np.frombuffer(lang.encode("utf-32-le"), "<u4").astype(np.uint64)
-    return int(mixed(Rolling(mixed(codes + np.uint64(1))).span(np.array([0]), np.array([len(codes)])))[0] >> np.uint64(8))
+    return int(mixed(Rolling(mixed(codes + np.uint64(1))).span(np.array([0]), np.array([len(codes)])))[0])
+
+
+def key_offset(lang: str, kind: str, size: int) -> np.uint64:
+    """What makes the sum of a gram of a size its key in the table of a language and a kind."""
+    return mixed(np.array([language_seed(lang) ^ (size * 4 + _KIND[kind] + 1)], np.uint64))[0]
 
 
 def _keyed(table: DataFrame) -> DataFrame:
-    """key, value and shard (by the character that stands before the predicted one) of each row of the model."""
+    """key, value (a logarithm) and before (the character before the predicted one, -1 for none) of each row of the model."""
 
     def make():
+        offsets: dict[tuple, np.uint64] = {}
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             grams = batch.column(2).to_pylist()
-            codes = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.uint64)
-            ends = np.cumsum([len(g) for g in grams], dtype=np.int64)
-            starts = ends - np.array([len(g) for g in grams], np.int64)
-            seed = np.array([language_seed(x) for x in batch.column(0).to_pylist()], np.uint64)
-            kind = np.array([_KIND[k] for k in batch.column(1).to_pylist()])
-            key = np.zeros(len(grams), np.uint64)
-            rolling = Rolling(mixed(codes + np.uint64(1)))
-            for k in range(3):
-                at = kind == k
-                key[at] = gram_key(codes, starts[at], ends[at], seed[at], k, rolling)
-            before = [ord(g[-2]) if k == 0 and len(g) > 1 else ord(g[-1]) if k == 1 and g else -1 for g, k in zip(grams, kind.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(3), pa.array(before, pa.int64())], ["key", "value", "before"])
+            s = symbols("".join(grams))
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            ends, key = np.cumsum(sizes), np.zeros(len(grams), np.uint64)
+            for m in range(int(sizes.max(initial=0))):
+                at = np.flatnonzero(sizes > m)
+                key[at] += s[ends[at] - 1 - m] * _POWERS[m]
+            which = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes.tolist(), strict=True))
+            for x in set(which) - offsets.keys():
+                offsets[x] = key_offset(*x)
+            key += np.fromiter(map(offsets.__getitem__, which), np.uint64, len(which))
+            before = [ord(g[-2]) if k == "p" and len(g) > 1 else ord(g[-1]) if k == "g" and g else -1 for (_, k, _), g in zip(which, grams, strict=True)]
+            value = np.log(np.maximum(batch.column(3).to_numpy(), 1e-300))
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value), pa.array(before, pa.int64())], ["key", "value", "before"])
 
         return each
 
     return map_arrow(table.select("lang", "kind", "gram", "value"), make, "key long, value double, before long")
 
 
-class Shard:
-    """A sorted part of the model; positions whose preceding character belongs to another part give nothing here."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, number: int, shards: int, order: int):
-        o = np.argsort(keys.view(np.uint64))
-        self.keys, self.values, self.number, self.shards, self.order = keys.view(np.uint64)[o], values[o], number, shards, order
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(key), bool), np.ones(len(key))
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.keys[at] == key, self.values[at]
-
-    def scores(self, lang: str, words: list[str]) -> np.ndarray:
-        """Summed log-probability and number of predicted characters of each word, of this part's positions."""
-        text = "".join(framed(w) for w in words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        sizes = np.array([len(w) + 2 for w in words], np.int64)
-        first = np.cumsum(sizes) - sizes
-        at = np.ones(len(codes), bool)
-        at[first] = False
-        place, owner = np.flatnonzero(at), np.repeat(np.arange(len(words)), sizes - 1)
-        if self.shards > 1:
-            mine = codes[place - 1] % np.uint64(self.shards) == self.number
+class Part:
+    """A part of the model, its keys sorted behind an index of their first bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, number: int = 0, parts: int = 1, order: int = ORDER):
+        keys = keys.view(np.uint64)
+        o = np.argsort(keys)
+        self.keys, self.values = np.append(keys[o], np.uint64(0)), np.append(values[o], 0.0)
+        self.number, self.parts, self.order = number, parts, order
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(keys[o], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(keys)))
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        slot = (key >> self.shift).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        hit = (self.keys[at] == key) & (at < end)
+        out = np.where(hit, at, -1)
+        open_ = np.flatnonzero(~hit & (at + 1 < end))
+        at, end, key = at[open_] + 1, end[open_], key[open_]
+        while len(open_):
+            hit = self.keys[at] == key
+            out[open_[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            open_, at, end, key = open_[more], at[more] + 1, end[more], key[more]
+        return out
+
+    def scores(self, lang: str, texts: list[str]) -> np.ndarray:
+        """Summed log-probability and number of predicted characters of each text, of this part's characters."""
+        out = np.zeros((len(texts), 2))
+        uniform = self.find(np.array([key_offset(lang, "v", 0)], np.uint64))[0]
+        text, place, owner = joined(texts, self.order)
+        if uniform < 0 or not len(place):  # no model of the language, or no character
+            return out
+        s = symbols(text)
+        if self.parts > 1:
+            before = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")[place - 1]
+            mine = before % self.parts == self.number
             place, owner = place[mine], owner[mine]
-        seed, rolling = language_seed(lang), Rolling(mixed(codes + np.uint64(1)))
-        key = lambda s, e, kind: gram_key(codes, s, e, seed, kind, rolling)
-        modelled, floor = self.find(key(place[:1], place[:1], 2))
-        if not modelled.any():  # no position here, or no model of the language
-            return np.zeros((len(words), 2))
-        p, weight, open_ = np.zeros(len(place)), np.ones(len(place)), np.arange(len(place))
+        sums = gram_sums(s, self.order)
+        found, open_ = np.zeros(len(place)), np.arange(len(place))
         for m in range(self.order, 0, -1):
-            begin = np.maximum(place[open_] - m + 1, first[owner[open_]])
-            fits = begin == place[open_] - m + 1  # shorter histories are those of the lower orders
-            known, value = self.find(key(begin, place[open_] + 1, 0))
-            known &= fits
-            p[open_[known]] = weight[open_[known]] * value[known]
-            rest, begin, fits = open_[~known], begin[~known], fits[~known]
-            has, gamma = self.find(key(begin, place[rest], 1))
-            weight[rest] *= np.where(has & fits, gamma, 1.0)
-            open_ = rest
-        p[open_] = weight[open_] * floor
-        out = np.zeros((len(words), 2))
-        np.add.at(out[:, 0], owner, np.log(np.maximum(p, 1e-300)))
-        np.add.at(out[:, 1], owner, 1)
+            here = place[open_]
+            at = self.find(sums[m][here] + key_offset(lang, "p", m))
+            known = at >= 0
+            found[open_[known]] += self.values[at[known]]
+            open_ = open_[~known]
+            at = self.find(sums[m - 1][place[open_] - 1] + key_offset(lang, "g", m - 1))
+            found[open_] += np.where(at >= 0, self.values[at], 0.0)
+        found[open_] += self.values[uniform]
+        out[:, 0] = np.bincount(owner, found, len(texts))
+        out[:, 1] = np.bincount(owner, minlength=len(texts))
         return out
 
 
-def shards_of(table: DataFrame, most: int = MODEL_ROWS, order: int = ORDER) -> Iterator[Shard]:
-    """The model in parts of about most rows, one on the driver at a time."""
+@lru_cache(maxsize=1)
+def load_part(path: str, number: int, parts: int, order: int) -> Part:
+    """A part from the shared folder. A worker keeps the last one."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    names = [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet")]
+    rows = [pq.read_table(x, columns=["key", "value"], filesystem=fs) for x in sorted(names)]
+    columns = [np.concatenate([t[c].to_numpy() for t in rows] + [np.zeros(0, kind)]) for c, kind in (("key", np.int64), ("value", np.float64))]
+    return Part(*columns, number, parts, order)
+
+
+def parts_of(table: DataFrame, most: int = MODEL_ROWS, order: int = ORDER) -> list[tuple[str, int, int, int]]:
+    """The model in parts of about most rows, written to the shared folder: (path, number, parts, order) of each. The driver sees no row.
+
+    A part holds what predicts a character after certain others; what looks at no character before is in all.
+    """
     keyed = stage(_keyed(table), "keyed")
     n = int(keyed.count() // most) + 1
-    for k in range(n):
-        part = keyed if n == 1 else keyed.where((F.col("before") < 0) | (F.pmod("before", F.lit(n)) == k))
-        rows = part.select("key", "value").toArrow()
-        yield Shard(rows["key"].to_numpy(), rows["value"].to_numpy(), k, n, order)
+    if n == 1:
+        return [(keyed.loom_path, 0, 1, order)]
+    out = [(stage(keyed.where((F.col("before") < 0) | (F.pmod("before", F.lit(n)) == k)), "part").loom_path, k, n, order) for k in range(n)]
+    drop_stage(keyed)
+    return out
 
 
-def perplexities(docs: DataFrame, shards: list[Shard]) -> DataFrame:
-    """docs (with text and lang) and, of every row, n_predicted and perplexity (null without predicted characters or for a language without a model)."""
-    columns = [c for c in docs.columns if c not in ("_logp", "_n")]
+def perplexities(docs: DataFrame, parts: list[tuple[str, int, int, int]], n_name: str = "n_predicted", name: str = "perplexity") -> DataFrame:
+    """docs (with text and lang) and, of every row, the number of predicted characters and the perplexity (null without any or for a language without a model)."""
+    columns, (logp, n) = docs.columns, unused_names(docs, "logp", "predicted")
     text, lang = columns.index("text"), columns.index("lang")
-    spark = docs.sparkSession
-    for k, shard in enumerate(shards):
-        sent = spark.sparkContext.broadcast(shard)
+    for k, one in enumerate(parts):
 
-        def make(sent=sent, k=k):
-            tables: dict[str, WordTable] = {}
+        def make(one=one, k=k):
+            part = load_part(*one)
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                part = sent.value
-                langs = [x or NO_LANGUAGE for x in batch.column(lang).to_pylist()]
-                sums = []
-                for group in in_groups(zip(langs, utf8_rows(batch.column(text)), strict=True), lambda x: len(x[1] or b"")):
+                langs, sums = [x or NO_LANGUAGE for x in batch.column(lang).to_pylist()], []
+                for group in in_groups(zip(langs, utf8_rows(batch.column(text)), strict=True), lambda x: len(x[1] or b""), 1_000_000):
                     own = np.zeros((len(group), 2))
-                    for one in {x for x, _ in group}:
-                        if one not in tables:
-                            tables[one] = WordTable(lambda words, one=one: part.scores(one, words), 2, 200_000)
-                        at = [i for i, (x, _) in enumerate(group) if x == one]
-                        own[at] = tables[one].sums([words_of((group[i][1] or b"").decode()) for i in at])
+                    for which in {x for x, _ in group}:
+                        at = [i for i, (x, _) in enumerate(group) if x == which]
+                        own[at] = part.scores(which, [(group[i][1] or b"").decode() for i in at])
                     sums.append(own)
                 sums = np.concatenate([*sums, np.zeros((0, 2))])
                 if k:
-                    sums += np.stack([batch.column(len(columns)).to_numpy(zero_copy_only=False), batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)], axis=1)
-                return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sums[:, 0]), pa.array(sums[:, 1])], [*columns, "_logp", "_n"])
+                    sums += np.stack([batch.column(len(columns) + j).to_numpy(zero_copy_only=False) for j in (0, 1)], axis=1)
+                return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sums[:, 0]), pa.array(sums[:, 1])], [*columns, logp, n])
 
             return each
 
-        schema = docs.select(*columns).schema.add("_logp", "double").add("_n", "double")
+        schema = docs.select(*(F.col(f"`{c}`") for c in columns)).schema.add(logp, "double").add(n, "double")
         docs = map_arrow(docs, make, schema)
-    return docs.select(*columns, F.col("_n").cast("long").alias("n_predicted"), F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n"))).alias("perplexity"))
+    own = [F.col(f"`{c}`") for c in columns]
+    return docs.select(*own, F.col(n).cast("long").alias(n_name), F.when(F.col(n) > 0, F.exp(-F.col(logp) / F.col(n))).alias(name))
 
 
 # ---------------------------------------------------------------- classifier
@@ -247,29 +276,56 @@ def perplexities(docs: DataFrame, shards: list[Shard]) -> DataFrame:
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang, text and held (a quarter of the ids, by hash) of documents that are labelled good and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    if good.count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
-    rows = docs.where("text is not null").join(good, "doc_id", "left_semi")
+    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(good, "doc_id", "left_semi")
     return rows.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """docs with n_predicted, perplexity, threshold and keep.
+def _deviation(n: str, perplexity: str) -> F.Column:
+    """How far the mean log-probability is from the language's middle, in units that don't depend on the length of the text."""
+    return (F.log(perplexity) - F.col("middle")) * F.sqrt(n)
 
-    The model is trained on three quarters of the trusted documents, all of them. The threshold of a language is the
-    quantile of the perplexity of the other quarter, times margin. Documents above it are rejected; chance weighs more
-    in short texts, so the logarithms may differ by SHORT over the root of the number of characters. A document
-    without a word, or of a language without trusted text, can't be judged and is kept. Null languages are a language of their own; labels of
-    one id are merged to the worst; extra columns stay. The columns n_predicted, perplexity, threshold and keep of docs
-    are replaced.
-    """
-    docs = docs.drop("n_predicted", "perplexity", "threshold", "keep", "_logp", "_n", "_lang")
+
+def limits(held: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
+    """Per language of held-out (lang, n_predicted, perplexity): middle, lowest and highest, the two quantiles of the deviation."""
+    held = held.where("perplexity is not null")
+    middle = held.groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("middle"))
+    apart = held.join(middle, "lang").withColumn("d", _deviation("n_predicted", "perplexity"))
+    return apart.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("d", least, 10_000).alias("lowest"), F.percentile_approx("d", most, 10_000).alias("highest"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the columns n_predicted, perplexity, threshold and keep under the given names."""
+    n, perplexity, threshold, keep = names
     trusted = trusted_texts(docs, labels)
-    shards = list(shards_of(model(trusted.where("not held"))))
-    held = perplexities(trusted.where("held").select("lang", "text"), shards).select("lang", F.round("perplexity", 3).alias("perplexity"))
-    limits = held.where("perplexity is not null").groupBy(F.col("lang").alias("_lang")).agg((F.expr(f"percentile(perplexity, {quantile})") * margin).alias("threshold"))
-    limits = stage(limits, "limits")
-    scored = perplexities(docs, shards).withColumn("_lang", F.coalesce("lang", F.lit(NO_LANGUAGE)))
-    joined = scored.join(limits, "_lang", "left").drop("_lang")
-    allowed = F.log("threshold") + SHORT / F.sqrt("n_predicted")
-    return joined.withColumn("keep", F.coalesce(F.log("perplexity") <= allowed, F.lit(True)))
+    parts = parts_of(model(trusted.where("not held")))
+    scored = perplexities(trusted.where("held").select("lang", "text"), parts).select("lang", "n_predicted", "perplexity")
+    known = stage(limits(stage(scored, "held")), "limits")
+    lang, *rest = unused_names(docs, "kn_lang", "kn_middle", "kn_lowest", "kn_highest")
+    known = known.select(F.col("lang").alias(lang), *(F.col(c).alias(x) for c, x in zip(("middle", "lowest", "highest"), rest, strict=True)))
+    out = perplexities(docs, parts, n, perplexity).join(known, F.coalesce("lang", F.lit(NO_LANGUAGE)) == F.col(lang), "left")
+    middle, lowest, highest = map(F.col, rest)
+    apart = (F.log(perplexity) - middle) * F.sqrt(n)
+    out = out.withColumn(threshold, F.exp(middle + F.try_divide(highest, F.sqrt(n)))).withColumn(keep, F.coalesce(apart.between(lowest, highest), F.lit(True)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *names)
+
+
+def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with n_predicted, perplexity, threshold (the highest perplexity kept for the text's length) and keep.
+
+    The model is trained on three quarters of the trusted documents, all of them. The log-perplexity of a text of n
+    characters strays from the language's middle by about one over the root of n, so that deviation, times the root of n,
+    is what the quantiles are of: those of the other quarter, by language. Documents above the higher quantile are
+    rejected, and so are those below the lower one, which are more predictable than trusted text ever is. A document
+    without a word, or of a language without trusted text, can't be judged and is kept. Null texts have no word; null
+    languages are a language of their own; labels of one id are merged to the worst; rows that share an id or repeat are
+    judged each; very long texts are taken whole; an empty table stays empty; extra columns stay, but columns of docs
+    named n_predicted, perplexity, threshold or keep are replaced.
+    """
+    names = ["n_predicted", "perplexity", "threshold", "keep"]
+    return _judged(docs.drop(*names), labels, names)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that classified() keeps, with all their own columns, whatever their names."""
+    names = unused_names(docs, "kn_n", "kn_perplexity", "kn_threshold", "kn_keep")
+    return _judged(docs, labels, names).where(F.col(names[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -318,23 +318,72 @@ def test_units_are_encoded_as_the_library_does():
     assert [x.tolist() for x in units.texts(mixed)] == [t.encode(x, add_special_tokens=False).ids for x in mixed]
 
 
+def brute_kneser_ney(texts, order):
+    """The probability of a character after a history, by the definition."""
+    counts = [None] + [{} for _ in range(order)]
+    padded = ["\x02" * (order - 1) + " ".join(t.lower().split()) for t in texts]
+    for t in padded:
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1 : i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for m in range(order - 1, 0, -1):
+        kinds, many = {}, {}
+        for g in {t[i - m : i + 1] for t in padded for i in range(order - 1, len(t))}:
+            kinds[g[1:]] = kinds.get(g[1:], 0) + 1
+        for t in padded:
+            for i in range(order - 1, len(t)):
+                many[t[i - m + 1 : i + 1]] = many.get(t[i - m + 1 : i + 1], 0) + 1
+        counts[m] = {g: many[g] if g[0] == "\x02" else kinds[g] for g in kinds}
+    discounts = [None]
+    for m in range(1, order + 1):
+        n = [sum(c == k for c in counts[m].values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        discounts.append([0.0] + [max(0.1 * k, min(k, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k for k in (1, 2, 3)])
+    alphabet = {g[-1] for g in counts[order]}
+
+    def p(c, h):
+        m = len(h) + 1
+        below = p(c, h[1:]) if h else 1 / (len(alphabet) + 1)
+        of = {g: n for g, n in counts[m].items() if g[:-1] == h}
+        if not of:
+            return below
+        total, d = sum(of.values()), discounts[m]
+        gamma = sum(d[min(n, 3)] for n in of.values()) / total
+        n = of.get(h + c, 0)
+        return (n - d[min(n, 3)]) / total + gamma * below
+
+    return p
+
+
+def test_perplexity_is_kneser_ney(spark):
+    r = random.Random(5)
+    train = [" ".join(r.choice(["ab", "abc", "bca", "é", "cab"]) for _ in range(r.randrange(1, 25))) for _ in range(12)] + [""]
+    seen = ["abc  cab", "zzz", "a", "", "ab ab\nbca é", "Ab \x02 cab" * 3]
+    table = kneser_ney.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string"), order=3)
+    p = brute_kneser_ney(train, 3)
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(seen)], "doc_id long, text string, lang string")
+    for most in (kneser_ney.MODEL_ROWS, 20):
+        found = by_id(kneser_ney.perplexities(docs, kneser_ney.parts_of(table, most, 3)))
+        for k, t in enumerate(seen):
+            s = "\x02\x02" + " ".join(t.replace("\x02", " ").lower().split())
+            logs = [np.log(p(s[i], s[i - 2 : i])) for i in range(2, len(s))]
+            assert found[k].n_predicted == len(logs)
+            assert found[k].perplexity is None if not logs else abs(found[k].perplexity - np.exp(-np.mean(logs))) < 1e-6
+
+
 def test_perplexity(spark, none):
     r = random.Random(2)
-    good = lambda: " ".join(r.choice(["the", "then", "there", "other", "mother"]) for _ in range(60))
-    rows = [(k, good(), "en") for k in range(80)] + [(90, "#$% @@! zzqx *** " * 20, "en"), (91, None, "en"), (92, "word", "xx"), (93, good(), None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
-    found = by_id(kneser_ney.classified(docs, labels))
-    assert {k for k, x in found.items() if not x.keep} == {90}
-    assert found[91].perplexity is None and found[92].perplexity is None
-    table = kneser_ney.model(docs.where("doc_id < 80").select("lang", "text"))
-    p = table.where("kind = 'p'").where(F.length("gram") == 5).groupBy("lang", F.substring("gram", 1, 4)).agg(F.sum("value").alias("s")).collect()
-    assert all(x.s <= 1 + 1e-9 for x in p)
-    one = kneser_ney.perplexities(docs, list(kneser_ney.shards_of(table)))
-    many = kneser_ney.perplexities(docs, list(kneser_ney.shards_of(table, most=20)))
-    near = lambda d: {k: x.perplexity and round(x.perplexity, 6) for k, x in by_id(d).items()}
-    assert near(one) == near(many)
-    assert kneser_ney.classified(none, labels).count() == 0
+    good = lambda: " ".join(r.choice(["the", "then", "there", "other", "mother"]) for _ in range(r.randrange(20, 60)))
+    rows = [(k, good(), "en", k, "x") for k in range(160)] + [(190, "#$% @@! zzqx *** " * 20, "en", 1, ""), (191, None, "en", 2, ""), (192, "word", "xx", 3, ""), (193, good(), None, 4, ""), (190, "qqqq " * 9, "en", 5, ""), (None, good(), "en", 6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, threshold long, _lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    found = kneser_ney.classified(docs, labels).collect()
+    gone = [x.doc_id for x in found if not x.keep]
+    assert len(found) == len(rows) and gone.count(190) == 2 and len(gone) <= 8 and not {191, 192, 193, None} & set(gone)
+    assert all(x.perplexity is None for x in found if x.doc_id in (191, 192))
+    kept = kneser_ney.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {x.doc_id: x.threshold for x in kept.collect() if x.doc_id in (191, 192)} == {191: 2, 192: 3}
+    assert kneser_ney.classified(none, labels).count() == 0 and kneser_ney.keep_good(docs, labels.where("false")).count() == len(rows)
 
 
 def test_gradients():
