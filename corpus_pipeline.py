@@ -14,11 +14,11 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality classifier keeps."""
-    return kneser_ney.classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(docs.columns)
+    return kneser_ney.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group of near copies (similarity of about 0.8 or more)."""
+    """Keep the document of the least id of each group of near copies (similarity of 0.8 or more)."""
     return simhash_similar.keep_one(docs, SHINGLE)
 
 
