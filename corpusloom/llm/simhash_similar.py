@@ -32,7 +32,7 @@ SHINGLE = 5  # words
 TABLES = 4
 SEGMENT = 18  # bits
 ABSORB = 19  # of 128 bits: the mean distance at a similarity of 0.8
-MEET = 28  # of 128 bits: two deviations more
+MEET = ABSORB  # pairs farther apart are left to the prefix join
 PARITY = 256  # bits of a bitmap
 ROWS = 1 << 18  # rows of the index that a task holds at once
 SAMPLE = 1 << 15  # texts, about, that tell which shingles are common
