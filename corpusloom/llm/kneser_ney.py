@@ -16,7 +16,7 @@ from .common import Rolling, drop_stage, in_groups, map_arrow, mixed, stage, unu
 
 ORDER = 5
 START = "\x02"  # what stands before a text
-LEAST, MOST = 0.0025, 0.99  # quantiles of trusted text
+QUANTILE = 0.99  # of trusted text
 MODEL_ROWS = 6_000_000  # n-grams and contexts that a task holds at once; more are scored in as many passes as needed
 NO_LANGUAGE = ""
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
@@ -285,12 +285,12 @@ def _deviation(n: str, perplexity: str) -> F.Column:
     return (F.log(perplexity) - F.col("middle")) * F.sqrt(n)
 
 
-def limits(held: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """Per language of held-out (lang, n_predicted, perplexity): middle, lowest and highest, the two quantiles of the deviation."""
+def limits(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """Per language of held-out (lang, n_predicted, perplexity): middle, and highest, the quantile of the deviation."""
     held = held.where("perplexity is not null")
     middle = held.groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("middle"))
     apart = held.join(middle, "lang").withColumn("d", _deviation("n_predicted", "perplexity"))
-    return apart.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("d", least, 10_000).alias("lowest"), F.percentile_approx("d", most, 10_000).alias("highest"))
+    return apart.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("d", quantile, 10_000).alias("highest"))
 
 
 def _judged(docs: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
@@ -300,12 +300,12 @@ def _judged(docs: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     parts = parts_of(model(trusted.where("not held")))
     scored = perplexities(trusted.where("held").select("lang", "text"), parts).select("lang", "n_predicted", "perplexity")
     known = stage(limits(stage(scored, "held")), "limits")
-    lang, *rest = unused_names(docs, "kn_lang", "kn_middle", "kn_lowest", "kn_highest")
-    known = known.select(F.col("lang").alias(lang), *(F.col(c).alias(x) for c, x in zip(("middle", "lowest", "highest"), rest, strict=True)))
+    lang, *rest = unused_names(docs, "kn_lang", "kn_middle", "kn_highest")
+    known = known.select(F.col("lang").alias(lang), *(F.col(c).alias(x) for c, x in zip(("middle", "highest"), rest, strict=True)))
     out = perplexities(docs, parts, n, perplexity).join(known, F.coalesce("lang", F.lit(NO_LANGUAGE)) == F.col(lang), "left")
-    middle, lowest, highest = map(F.col, rest)
+    middle, highest = map(F.col, rest)
     apart = (F.log(perplexity) - middle) * F.sqrt(n)
-    out = out.withColumn(threshold, F.exp(middle + F.try_divide(highest, F.sqrt(n)))).withColumn(keep, F.coalesce(apart.between(lowest, highest), F.lit(True)))
+    out = out.withColumn(threshold, F.exp(middle + F.try_divide(highest, F.sqrt(n)))).withColumn(keep, F.coalesce(apart <= highest, F.lit(True)))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), *names)
 
 
@@ -314,9 +314,8 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The model is trained on three quarters of the trusted documents, all of them. The log-perplexity of a text of n
     characters strays from the language's middle by about one over the root of n, so that deviation, times the root of n,
-    is what the quantiles are of: those of the other quarter, by language. Documents above the higher quantile are
-    rejected, and so are those below the lower one, which are more predictable than trusted text ever is. A document
-    without a word, or of a language without trusted text, can't be judged and is kept. Null texts have no word; null
+    is what the quantile is of: that of the other quarter, by language. Documents above it are rejected. Junk that
+    repeats an ordinary word is as predictable as text and is kept. A document without a word, or of a language without trusted text, can't be judged and is kept. Null texts have no word; null
     languages are a language of their own; labels of one id are merged to the worst; rows that share an id or repeat are
     judged each; very long texts are taken whole; an empty table stays empty; extra columns stay, but columns of docs
     named n_predicted, perplexity, threshold or keep are replaced.
