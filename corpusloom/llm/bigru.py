@@ -15,7 +15,6 @@ from .common import WordTable, in_groups, map_arrow, utf8_rows
 HIDDEN = 16
 LONGEST = 32  # bytes of a sequence; longer runs of letters are cut
 SAMPLE_ROWS = 400  # labelled rows of each language that are fitted, those of the least id hashes
-SAMPLE_CHARS = 4_000  # of each of them
 STEPS = 500
 BATCH = 256
 RATE = 0.01
@@ -149,7 +148,7 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
     net = Network.fresh(labels, seed=seed)
     runs, owner = [], []
     for text, lang in samples:
-        raw = [r.encode()[:LONGEST] for r in letter_runs(text)]
+        raw = [r[at : at + LONGEST] for r in map(str.encode, letter_runs(text)) for at in range(0, len(r), LONGEST)]
         runs += raw
         owner += [labels.index(lang)] * len(raw)
     if len(labels) < 2 or not runs:
@@ -173,9 +172,9 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
     return net
 
 
-def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: of each language the rows of the least id hashes, cut before they are shuffled."""
-    ranked = docs.where("text is not null and lang is not null").select(F.substring("text", 1, chars).alias("text"), "lang", F.xxhash64("doc_id").alias("h"))
+def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows, whole: of each language the rows of the least id hashes."""
+    ranked = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
     kept = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
     return [(r.text, r.lang) for r in kept.select("text", "lang").orderBy("lang", "text").collect()]
 
@@ -188,8 +187,8 @@ def held_out(doc_id) -> F.Column:
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
-    The network is fitted on a sample of the rows that are not held out (400 rows of each language, 4,000 characters of
-    each, both parameters). It reads each run of letters of the lower-cased text forwards and backwards and gives every
+    The network is fitted on a sample of the rows that are not held out (400 rows of each language, a
+    parameter). It reads each run of letters of the lower-cased text forwards and backwards and gives every
     byte in it a distribution over the languages; a document's language is that of the greatest sum of log-probabilities
     over all its positions, and score is the mean probability of it. Runs are read once for each distinct run. Only the
     text is read here; a null text or one without a letter is `und` with score 0, as is every text when no row is labelled.
