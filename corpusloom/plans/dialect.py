@@ -28,6 +28,8 @@ FORMS = {
     "keep": ("filter({0}, _x -> {1})", "list_filter({0}, lambda _x: {1})"),
     "map": ("transform({0}, _x -> {1})", "list_transform({0}, lambda _x: {1})"),
     "steps": ("(case when {1} >= {0} then sequence({0}, {1}) else array() end)", "range({0}, {1} + 1)"),
+    "greatest_of": ("array_max({0})", "list_max({0})"),
+    "any": ("exists({0}, _y -> {1})", "(len(list_filter({0}, lambda _y: {1})) > 0)"),
     "distinct": ("array_distinct({0})", "list_distinct({0})"),
     "common": ("size(array_intersect({0}, {1}))", "len(list_intersect({0}, {1}))"),
     "overlap": ("arrays_overlap({0}, {1})", "list_has_any({0}, {1})"),

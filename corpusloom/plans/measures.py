@@ -32,7 +32,7 @@ select label, count(*) as n, round(max(1 - cosine), 6) as furthest, round(avg(1
     # AG-05: is the corpus small, as a whole or for a platform.
     "small_corpus": f"with {POSTS}, n as (select platform, count(*) as n from posts where split = 'train' group by platform) select sum(n) as n_train, sum(n) < 24 or count_if(n > 0 and n < 6) > 0 as small from n",
     # AG-06: one fingerprint of the corpus, from its content hashes.
-    "corpus_hash": f"with {POSTS} select split, @sha(@join(@gather(sha), '\\n')) as corpus_sha from posts group by split".replace("'\\n'", "'|'"),
+    "corpus_hash": f"with {POSTS} select split, @sha(@join(@gather(sha), chr(10))) as corpus_sha from posts group by split",
     # AG-07: scoreboard of tags by mean rating.
     "scoreboard": f"with {RATED} select tag, source, round(avg(user_score), 2) as mean, count(*) as n, max(id) as latest from rated group by tag, source",
     # AG-08, WN-06, JN-16: the latest snapshot of each row, then groups of three or more with their best.
@@ -56,7 +56,7 @@ select tag, count(flagged) as evaluable, count_if(not flagged) as misses, round(
     "threshold_proposals": f"""with {RATED}, v as (select version as dimension, case when user_score >= 4 and dim_score < 3 then -1 when user_score <= 2 and dim_score >= 4 then 1 end as vote from rated)
 select dimension, count_if(vote = 1) as up, count_if(vote = -1) as down, case when count_if(vote = 1) >= 2 and count_if(vote = -1) >= 2 then 'anchor_text' when count_if(vote = 1) >= 3 then 'raise' when count_if(vote = -1) >= 3 then 'lower' end as proposal from v group by dimension""",
     # AG-14: groups far from the overall mean, over three keys.
-    "performance_proposals": """with p as (select 'priority' as key, o_orderpriority as value, o_totalprice as y from orders union all select 'status', o_orderstatus, o_totalprice from orders union all select 'month', @text(o_orderdate), o_totalprice from orders where o_orderkey % 50 = 0),
+    "performance_proposals": """with p as (select 'priority' as key, o_orderpriority as value, o_totalprice as y from orders union all select 'status', o_orderstatus, o_totalprice from orders union all select 'month', substring(@text(o_orderdate), 1, 7), o_totalprice from orders),
 m as (select avg(o_totalprice) as mean, count(*) as n from orders)
 select key, value, round(avg(y), 4) as mean, case when avg(y) >= 1.5 * max(m.mean) then 'prefer' when avg(y) <= 0.5 * max(m.mean) then 'avoid' else 'keep' end as proposal from p cross join m where m.n >= 20 group by key, value""",
     # AG-15: median and split of up to three votes in file order.
@@ -68,7 +68,7 @@ select run, cid, dimension, count(*) as votes, @quantile(@real(score), 0.5) as m
     "pairwise": f"""with {JUDGED}, o as (select run, cid, lens, max(case when round = 1 then case when score >= 3 then 1 else 0 end end) as ab, max(case when round = 2 then case when score >= 3 then 1 else 0 end end) as ba from judged group by run, cid, lens),
 t as (select *, case when ab is null or ba is null then 'none' when ab = 1 and ba = 1 then 'win' when ab = 0 and ba = 0 then 'loss' else 'tie' end as outcome from o)
 select run, cid, count_if(outcome = 'win') as wins, count_if(outcome = 'tie') as ties, count_if(outcome = 'loss') as losses, count_if(outcome in ('win', 'tie')) > 0 as pass from t group by run, cid""",
-    # AG-18, OR-01, FLT-03: the verdict of every candidate's newest round, by precedence.
+    # AG-18 (part), FLT-03: the verdict of every candidate's newest round, by precedence.
     "verdicts": f"""with {JUDGED}, m as (select run, cid, round, dimension, @quantile(@real(score), 0.5) as score, count(*) as n from judged group by run, cid, round, dimension),
 v as (select run, cid, round, count_if(score < 2) as hard, count_if(score >= 2 and score < 3) as soft, count_if(n = 1) as na, @gather(case when score < 3 then dimension end) as failing from m group by run, cid, round),
 r as (select *, row_number() over (partition by run, cid order by round desc) as k from v)
@@ -76,7 +76,7 @@ select run, cid, round, hard, soft, na, case when na >= 4 then 'hold' when na >=
     # AG-19, AG-20: flags, and clusters of rule hits over tiers.
     "rule_clusters": """with h as (select doc_id, @count_hits(lower(text), '\\\\b(delve|tapestry|landscape|the)\\\\b') as t1, @count_hits(lower(text), '\\\\b(moreover|furthermore|of)\\\\b') as t2, @count_hits(lower(text), '\\\\b(leverage|robust|and)\\\\b') as t3 from documents where text is not null)
 select doc_id, t1, t2, t3, t1 >= 3 or t1 + t2 + t3 >= 5 as fails from h""",
-    # AG-21, AG-22, AG-28: gates of a health run.
+    # AG-21, AG-22: gates of a health run.
     "health_gates": f"""with {RATED}, a as (select source, count(*) as n, avg(case when verdict = 'pass' then 1.0 else 0.0 end) as pass_rate, avg(case when dim_score = 1 then 1.0 else 0.0 end) as pick_rate, count_if(verdict = 'fail') as fails from rated group by source)
 select source, n, round(pass_rate, 6) as pass_rate, pass_rate >= 0.9 or (n < 10 and fails <= 1) as oracle_ok, pick_rate between 0.10 and 0.45 as lineup_ok from a""",
     # AG-23: authors recognised by two of three lenses.
@@ -102,7 +102,9 @@ select run, cid, count_if(event) as events, min(case when event then round end)
     "oscillation": f"""with {JUDGED}, r as (select run, cid, dimension, round, min(score) as score, max(lens) as fix from judged group by run, cid, dimension, round), l as (select *, lag(score) over (partition by run, cid, dimension order by round) as before, lag(fix) over (partition by run, cid, dimension order by round) as fix_before from r)
 select run, cid, count(*) as n from l where score < 3 and before < 3 and fix != fix_before group by run, cid""",
     # WN-08: longest run of one-line paragraphs, folded.
-    "paragraph_runs": """with p as (select doc_id, @map(@split(text, '\\\\n\\\\n+'), case when @hit(_x, '\\\\n') then 0 else 1 end) as ones from documents where text is not null) select doc_id, @size(ones) as paragraphs, @fold(ones, 0, _a + _x) as single from p""",
+    "paragraph_runs": """with p as (select doc_id, @keep(@split(text, '\\\\n\\\\n+'), trim(_x) != '') as parts from documents where text is not null),
+s as (select doc_id, @size(parts) as paragraphs, @join(@map(parts, case when @hit(trim(_x), '[^ \\\\n] *\\\\n[ \\\\n]*[^ \\\\n]') then '0' else '1' end), '') as ones from p)
+select doc_id, paragraphs, @greatest_of(@map(@split(ones, '0'), length(_x))) as longest from s""",
     # WN-10: ids of authors in sequence.
     "author_ids": "select doc_id, source || '-' || lpad(@text(row_number() over (partition by source order by doc_id)), 5, '0') as post_id from documents",
     # WN-12: what was used in the last three runs.
@@ -127,16 +129,16 @@ k as (select *, row_number() over (partition by id order by own, jitter) as k fr
     "hash_sample": "select doc_id, @hex_number(substring(@sha(text), 1, 8)) % 4 = 0 as heldout, substring(@sha(@text(doc_id) || '|' || source), 1, 8) as seed from documents where text is not null",
     # TK-10: assignments in a seeded order without recent or weak ones.
     "assignments": """with pool as (select p_type as move, p_brand as device, avg(p_retailprice) as score, count(*) as n from part group by p_type, p_brand), k as (select move, device, row_number() over (partition by device order by case when score >= 1500 then 0 else 1 end, @sha(move || device)) as k from pool where not (score <= 950 and n >= 3)) select device, move, k from k where k <= 3""",
-    # SNK-04, ST-04, OR-06: an upsert of new rows over old ones.
+    # SNK-04: an upsert of new rows over old ones.
     "upsert": """with old as (select o_orderkey as id, o_totalprice as price, o_orderstatus as status from orders where o_orderkey % 3 != 0), new as (select l_orderkey as id, sum(l_extendedprice) as price, max(l_linestatus) as status from lineitem where l_orderkey % 5 = 0 group by l_orderkey)
 select coalesce(o.id, n.id) as id, round(coalesce(n.price, o.price), 4) as price, coalesce(n.status, o.status) as status, o.id is null as inserted from old o full outer join new n on o.id = n.id""",
     # SNK-07: a snapshot's version goes up only when its content changed.
     "versions": """with s as (select o_custkey as id, o_orderdate as day, o_orderkey, o_orderstatus as content, lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from orders) select id, o_orderkey, content, sum(case when before is null or before != content then 1 else 0 end) over (partition by id order by day, o_orderkey rows between unbounded preceding and current row) as version from s""",
-    # OR-02, OR-03: the first stage that is not done.
+    # OR-03: the first stage that is not done.
     "next_stage": "select doc_id, case when quality is null then 'tier0' when toxic is null then 'tier1' when quality = 0 and toxic = 0 then 'jury' when quality = 0 then 'write' else 'deliver' end as stage from labels",
-    # FLT-01, FLT-02, FLT-06, FLT-07: actions after the downgrade by base rates.
+    # FLT-02, FLT-06: actions after the downgrade by base rates.
     "downgraded": f"""with {RATED}, b as (select lang, avg(case when toxic = 1 then 1.0 else 0.0 end) as rate from rated group by lang)
-select r.id, case when r.quality = 0 then 'hard' else 'soft' end as class_original, case when b.rate > 0.12 then case when r.quality = 0 then 'flag' else 'advisory' end else case when r.quality = 0 then 'hard' else 'soft' end end as class, r.toxic = 1 or r.verdict = 'fail' as needs_action from rated r join b on r.lang = b.lang""",
+select r.id, case when r.quality = 0 then 'hard' else 'soft' end as class_original, case when b.rate > 0.25 then case when r.quality = 0 then 'flag' else 'advisory' end else case when r.quality = 0 then 'hard' else 'soft' end end as class, r.toxic = 1 or r.verdict = 'fail' as needs_action from rated r join b on r.lang = b.lang""",
     # 2.11.1 E1, P14-P16: features against the band of their scope.
     "envelope": f"""with {POSTS}, s as (select lang, @quantile(@real(n_chars), 0.25) as c1, @quantile(@real(n_chars), 0.75) as c3, @quantile(@real(n_words), 0.25) as w1, @quantile(@real(n_words), 0.75) as w3 from posts group by lang)
 select p.id, p.n_chars between s.c1 - 1.5 * (s.c3 - s.c1) and s.c3 + 1.5 * (s.c3 - s.c1) as chars_in, round((2.0 * case when p.n_chars between s.c1 - 1.5 * (s.c3 - s.c1) and s.c3 + 1.5 * (s.c3 - s.c1) then 1 else 0 end + case when p.n_words between s.w1 - 1.5 * (s.w3 - s.w1) and s.w3 + 1.5 * (s.w3 - s.w1) then 1 else 0 end) / 3.0, 6) as share from posts p join s on p.lang = s.lang""",

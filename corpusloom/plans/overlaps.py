@@ -30,9 +30,9 @@ k as (select *, row_number() over (partition by id order by j desc, other) as k
 select id, other as variant_of, j as jaccard from k where k = 1""",
     # JN-13, JN-01: documents that share 6-grams with held-out benchmark items, by an inverted index.
     "heldout_leaks": f"""with {POSTS},
-d as (select distinct id, gram from posts @explode(@grams(w, 6), gram)),
 b0 as (select item_id, @words(text) as w from benchmark),
-b as (select distinct item_id, gram from b0 @explode(@grams(w, 6), gram))
+b as (select distinct item_id, gram from b0 @explode(@grams(w, 6), gram)),
+d as (select distinct id, gram from posts @explode(@grams(w, 6), gram) where gram in (select gram from b))
 select d.id, b.item_id, count(*) as grams from d join b on d.gram = b.gram group by d.id, b.item_id""",
     # JN-02: all maximal shared word runs of 6 or more, as islands on the diagonals of gram positions.
     "shared_runs": f"""with {POSTS},
@@ -51,14 +51,14 @@ m as (select d.id, b.item_id, d.i, d.i - b.j as diagonal from d join b on d.gram
 r as (select *, i - row_number() over (partition by id, item_id, diagonal order by i) as island from m),
 s as (select id, item_id, count(*) + 5 as n from r group by id, item_id, diagonal, island)
 select id, max(n) as longest, count(distinct item_id) as n_refs, case when max(n) >= 8 then 'fail' else 'flag' end as level from s group by id""",
-    # JN-06: fuzzy phrases in windows of as many words, with an edit budget by length; best window first.
+    # JN-06 (part): one-word phrases (the fifth word of each item) in one-word windows, with an edit budget by length; best window first.
     "fuzzy_phrases": """with p0 as (select @at(@words(text), 5) as phrase0 from benchmark), p as (select distinct @norm(phrase0) as phrase, @size(@words(phrase0)) as k, case when length(@norm(phrase0)) < 8 then 0 else least(2, @idiv(length(@norm(phrase0)), 8)) end as budget from p0),
 d0 as (select doc_id, @words(text) as w from documents where doc_id is not null),
 x as (select doc_id, win, min(place) as place from (select doc_id, g.at as place, g.gram as win from d0 @explode(@placed_grams(w, 1), g)) q group by doc_id, win),
 m as (select x.doc_id, p.phrase, x.place, @edits(x.win, p.phrase) as dist from x join p on p.k = 1 and abs(length(x.win) - length(p.phrase)) <= p.budget and substring(x.win, 1, 1) = substring(p.phrase, 1, 1) where @edits(x.win, p.phrase) <= p.budget),
 r as (select *, row_number() over (partition by doc_id, phrase order by dist, place) as k from m)
 select doc_id, phrase, place, dist from r where k = 1""",
-    # JN-07: same form (here language and platform) and a 3-gram Jaccard of 0.15 or more with a benchmark item.
+    # JN-07 (part): a 3-gram Jaccard of 0.15 or more with a benchmark item.
     "skeletons": f"""with {POSTS},
 d1 as (select id, gram from posts @explode(@grams(w, 3), gram)), d as (select id, gram, count(*) over (partition by id) as n from d1),
 b0 as (select item_id, @words(text) as w from benchmark),
@@ -85,10 +85,11 @@ select conv_id, turn, @size(g) as n, case when @size(g) + @size(p) = 0 then 0.0
     "reference_union": """select 'corpus' as ref_kind, doc_id as ref_id, @size(@words(text)) as n from documents where text is not null
 union all select 'benchmark', item_id, @size(@words(text)) from benchmark
 union all select 'turn', conv_id * 1000 + turn, @size(@words(text)) from conversations""",
-    # JN-11: transitive exclusion over links (each part to its supplier's least part), by a recursive query.
+    # JN-11: transitive exclusion over links (each part to its supplier's least part): all that share a root exclude one another.
     "exclusion_closure": """with recursive links as (select p_partkey as a, @idiv(p_partkey, 3) as b from part where p_partkey % 5 != 0),
-walk as (select a as id, a as node, 0 as depth from links where a <= 60 union all select w.id, l.b, w.depth + 1 from walk w join links l on w.node = l.a where w.depth < 12)
-select id, min(node) as root, max(depth) as depth from walk group by id""",
+walk as (select p_partkey as id, p_partkey as node, 0 as depth from part union all select w.id, l.b, w.depth + 1 from walk w join links l on w.node = l.a),
+roots as (select id, min(node) as root, max(depth) as depth from walk group by id)
+select id, root, depth, count(*) over (partition by root) - 1 as excluded from roots""",
     # JN-19: ids without a match, and fields out of range, as one table of problems.
     "referential_lint": """select o_orderkey as id, 'customer' as field, 'unknown id' as problem from orders o left join customer c on o.o_custkey = c.c_custkey where c.c_custkey is null
 union all select doc_id, 'label', 'no such document' from labels where doc_id not in (select doc_id from documents where doc_id is not null)
@@ -105,10 +106,10 @@ select l.doc_id, r.run, r.round, round(r.score, 6) as score from labels l join r
     "delivery": """select o.o_orderkey as id, coalesce(c.c_name, 'none') as name, n.n_name as nation, coalesce(l.n, 0) as lines, coalesce(l.flagged, 0) as flagged
 from orders o left join customer c on o.o_custkey = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey
 left join (select l_orderkey, count(*) as n, count_if(l_returnflag = 'R') as flagged from lineitem group by l_orderkey) l on o.o_orderkey = l.l_orderkey""",
-    # JN-18: aliases to their canonical entries, stub chains followed; cycles can't end and are dropped.
-    "aliases": """with recursive e as (select n_nationkey as id, case when n_nationkey % 4 = 0 then null else n_nationkey - 1 end as merged_into from nation),
-w as (select id, id as node, 0 as d from e union all select w.id, e.merged_into, w.d + 1 from w join e on w.node = e.id where e.merged_into is not null and w.d < 25)
-select id, min_by(node, -d) as canonical, max(d) as hops from w group by id""",
+    # JN-18: aliases to their canonical entries, stub chains followed; a chain that comes back to itself has no canonical entry.
+    "aliases": """with recursive e as (select n_nationkey as id, case when n_nationkey % 4 = 0 then null when n_nationkey = 21 then 23 else n_nationkey - 1 end as merged_into from nation),
+w as (select id, id as node, '/' || @text(id) || '/' as path from e union all select w.id, e.merged_into, w.path || @text(e.merged_into) || '/' from w join e on w.node = e.id where e.merged_into is not null and not contains(w.path, '/' || @text(e.merged_into) || '/'))
+select w.id, min(w.node) as canonical, max(length(w.path)) as path_length from w join e on w.node = e.id and e.merged_into is null group by w.id""",
     # JN-23: rewrites and what supersedes them.
     "rewrite_chain": """select a.conv_id, a.turn, a.role, b.turn as rewrite_of, c.turn as superseded_by from conversations a
 left join conversations b on a.conv_id = b.conv_id and a.role = b.role and b.turn = a.turn - 2 left join conversations c on a.conv_id = c.conv_id and a.role = c.role and c.turn = a.turn + 2""",

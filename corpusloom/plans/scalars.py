@@ -27,12 +27,14 @@ PLANS = {
     "rule_hits": r"select doc_id, @count_hits(lower(text), '\\b(in today.s|game.changer|the)\\b') as in_text, @count_hits(lower(@at(@split(text, '\\n'), 1)), '\\b(the|of)\\b') as in_line1 from documents where text is not null",
     # FN-16: specifics.
     "specifics": r"select doc_id, @count_hits(text, '[0-9]+') as numbers, @count_hits(text, '[$€£] ?[0-9]') as money, @count_hits(text, '(January|February|March|April|May|June|July|August)') as months, @count_hits(text, '`[^`]+`') as code from documents where text is not null",
-    # FN-17, PRJ-03, PRJ-07: hosts and platforms of links.
+    # FN-17: hosts and platforms of links.
     "link_hosts": r"select page_id, @host(url) as host, case when @hit(@host(url), '(^|\\.)linkedin\\.com$') then 'linkedin' when @hit(@host(url), '(^|\\.)(x|twitter)\\.com$') then 'x' end as platform from pages",
     # FN-18: what stands above the fold.
     "fold": r"select doc_id, length(@at(@split(substring(text, 1, 140), '\\n'), 1)) as line1, @hit(substring(text, 1, 140), '[.!?:;,]( |\\n|$)') as boundary from documents where text is not null",
-    # FN-19 (exact part): quotes found in the text they are said to be from.
-    "quotes": "select d.doc_id, b.item_id from documents d join benchmark b on contains(lower(d.text), lower(substring(b.text, 1, 40)))",
+    # FN-19 (exact part): whole quotes of six words or more found in the text they are said to be from.
+    "quotes": """with b as (select item_id, @norm(text) as quote, @at(@grams(@words(text), 6), 1) as gram from benchmark where @size(@words(text)) >= 6),
+w as (select doc_id, @words(text) as w from documents where text is not null), g as (select distinct doc_id, gram from w @explode(@grams(w, 6), gram) where gram in (select gram from b))
+select d.doc_id, b.item_id from g join b on g.gram = b.gram join documents d on d.doc_id = g.doc_id where contains(@norm(d.text), b.quote)""",
     # FN-21: wrapper tags neutralised.
     "escaped": r"select page_id, @sha(@replace(html, '<(/?)(post|candidate|context)', '<x')) as sha from pages",
     # FN-22: opaque tokens.
@@ -43,14 +45,14 @@ PLANS = {
     "rounding": "select l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 7) as unit from lineitem",
     # FN-26: parts of ids.
     "id_parts": r"with t as (select conv_id, turn, 'r' || @text(turn) || '-w' || @text(conv_id) || '-li' as cid from conversations) select conv_id, turn, @extract(cid, '^r([0-9]+)-w([0-9]+)-(li|x1|x)$', 1) as round, @extract(cid, '^r([0-9]+)-w([0-9]+)-(li|x1|x)$', 3) as platform from t",
-    # PRJ-02, PRJ-06, SRC-08: fields of JSON documents.
+    # PRJ-06 (part): fields of JSON documents.
     "json_fields": "select event_id, @json(props, k) as k, props is null as empty from events",
     # PRJ-05: text statistics.
     "text_stats": r"select doc_id, length(text) as chars, @size(@words(text)) as words, @size(@split(text, '\\n')) as lines, @size(@keep(@split(text, '\\n'), trim(_x) = '')) as blank_lines from documents where text is not null",
     # PRJ-04: slugs of names.
     "slugs": "select c_custkey, case when @hit(@replace(lower(c_name), '[^a-z0-9]+', '-'), '^[0-9]') then 'author-' else '' end || @replace(lower(c_name), '[^a-z0-9]+', '-') as slug from customer",
     # ST-06: items that no longer item of their row holds.
-    "dominance": "with t as (select p_type, @gather_set(p_name) as names from part group by p_type) select p_type, @size(names) as n, @size(@keep(names, not contains(@join(names, '|'), _x || ' '))) as kept from t",
+    "dominance": "with t as (select p_type, @gather_set(lower(p_name)) as names from part group by p_type) select p_type, @size(names) as n, @size(@keep(names, not @any(names, length(_y) > length(_x) and contains(_y, _x)))) as kept from t",
     # 2.11.2: line, sentence, point-of-view, punctuation and symbol features.
     "features": r"""with t as (select doc_id, lang, text, @words(text) as w, length(text) as n from documents where text is not null and length(text) > 0)
 select doc_id, round(1000.0 * @count_hits(text, '\\.') / n, 4) as period, round(1000.0 * @count_hits(text, ',') / n, 4) as comma, round(1000.0 * @count_hits(text, '!') / n, 4) as exclaim, round(1000.0 * @count_hits(text, '[?]') / n, 4) as question, round(1000.0 * @count_hits(text, ':') / n, 4) as colon,
