@@ -81,5 +81,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language)}
 
-#: DuckDB SQL for the operators that SQL can express.
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: DuckDB SQL for the operators that SQL can express in full.
+ORACLES: dict[str, str] = {
+    "op2_substring": r"""with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+h as (select doc_id, list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' '))) as hs from d where len(w) >= 20),
+u as (select doc_id, unnest(hs) as g, generate_subscripts(hs, 1) as i from h),
+e as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from u) q where k > 1),
+c as (select distinct doc_id, i + j as spot from e, range(0, 20) as t(j)),
+r as (select doc_id, list(spot) as gone from c group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed, sha256(array_to_string(list_filter(w, lambda x, k: not list_contains(coalesce(gone, []), k)), ' ')) as kept_sha256
+from d left join r on d.doc_id = r.doc_id""",
+    "op4_decontamination": f"""with d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) as w from documents),
+b as (select item_id, w, least(10, len(w)) as n from (select item_id, coalesce(regexp_extract_all({_LOWER}, '{_ALNUM}'), []) as w from benchmark) q where len(w) > 0),
+bw as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as g from b),
+dn as (select doc_id, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) as gs from d, (select distinct n from b) s where len(w) >= n),
+dw as (select doc_id, n, unnest(gs) as g, generate_subscripts(gs, 1) as i from dn),
+m as (select dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.g = bw.g),
+hit as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(i, i + n)) as spot from m) q group by doc_id),
+its as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from m group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit on d.doc_id = hit.doc_id left join its on d.doc_id = its.doc_id""",
+}
