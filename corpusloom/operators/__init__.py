@@ -1 +1 @@
-
+"""Operators on DataFrames: rows, spans, tables, comparisons."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basics, measures, overlaps, scalars
+from . import basics, library, measures, overlaps, scalars
 
-MODULES = [basics, overlaps, measures, scalars]
+MODULES = [basics, overlaps, measures, scalars, library]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
