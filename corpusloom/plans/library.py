@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from ..operators import compare, rows, spans, tables
+from ..operators import checks, compare, features, rows, spans, tables
 from ..sources.tables import table
 
 RULES = [{"id": "R1", "phrase": "in the", "rank": 1}, {"id": "R2", "pattern": r"\b(the|of) \w+", "rank": 2}, {"id": "R3", "phrase": "the", "rank": 0}]
@@ -144,7 +144,45 @@ def calibration_log(spark, sf_dir):
     return tables.upsert_newest(old, new, "ref", "event_id", ("view", "click"), "score").where("score is not null").select("ref", "event_id", "kind", "score")
 
 
-QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, rule_spans, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log)}
+CHECK_RULES = {"P7_bait": [{"phrase": "comment below"}], "P8_opener": [{"pattern": r"\b(the|is)\b"}], "P9_residue": [{"phrase": "as an ai"}], "P10_contrast_flip": [{"pattern": r"not (just|only) .{1,40} but"}], "P12_closer": [{"phrase": "let that sink in"}], "P19_clickbait": [{"phrase": "you won't believe"}], "t1": [{"pattern": r"\bdelv\w+"}], "t2": [{"phrase": "moreover"}], "t3": [{"phrase": "robust"}], "P17_lists": [{"pattern": r"\w+, \w+, and \w+"}], "P18_hedges": [{"phrase": "perhaps"}, {"phrase": "maybe"}], "P20_misc": [{"pattern": r"!{3,}"}]}
+
+
+def _candidates(spark, sf_dir):
+    return _posts(spark, sf_dir).select(F.col("post_id").alias("cid"), "platform", "text", (F.col("post_id") % 3 == 0).alias("media"))
+
+
+def feature_groups(spark, sf_dir):
+    """2.11.2: features of every document."""
+    found = features.features(_texts(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "size.*", F.col("line_words.median").alias("line_median"), F.col("line_words.max_run_single_line_paras").alias("single_run"), F.col("sent_words.mean").alias("sent_mean"), F.col("sent_words.cv").alias("sent_cv"), F.col("hook.line1_words").alias("line1_words"), F.col("pov.dominant").alias("pov"), F.col("punct_per_1k.comma").alias("commas"), F.col("lexicon.ttr").alias("ttr"), F.col("letter_case.pct_allcaps_tokens").alias("caps"), F.col("other.pct_single_sentence_paras").alias("single"))
+
+
+def check_rows(spark, sf_dir):
+    """ST-07: the checks of every document as a long table."""
+    return checks.check_table(_candidates(spark, sf_dir), CHECK_RULES)
+
+
+def check_summaries(spark, sf_dir):
+    """FLT-02, FLT-03, FLT-06, FLT-07: what asks for action, after the downgrade by the corpus's own rates."""
+    found = checks.check_table(_candidates(spark, sf_dir), CHECK_RULES)
+    rates = found.groupBy("check_id").agg(F.round(F.avg((~F.col("pass")).cast("double")), 6).alias("base_rate"))
+    low = checks.downgraded(found, rates, ("P6_emoji", "P8_opener", "P10_contrast_flip", "P17_lists"), ("P0_schema",))
+    out = checks.summary(low)
+    return out.select("cid", *(F.array_join(c, ",").alias(c) for c in ("hard", "soft", "flag", "advisory")))
+
+
+def merged_verdicts(spark, sf_dir):
+    """AG-18: verdicts of documents from their checks and judge rows."""
+    summaries = checks.summary(checks.check_table(_candidates(spark, sf_dir), CHECK_RULES))
+    events = table(spark, sf_dir, "events")
+    score = F.when(F.col("event_id") % 5 > 0, 1 + F.col("event_id") % 6)
+    judged = events.select((F.col("event_id") % 500).alias("cid"), F.col("event_type").alias("dimension"), (F.col("user_id") % 3).alias("seat"), F.col("event_id").alias("order"), score.alias("score"))
+    limits = events.groupBy(F.col("event_type").alias("dimension")).agg(F.lit(3.0).alias("threshold")).withColumn("class", F.when(F.col("dimension") == "view", "hard").otherwise("soft"))
+    found = checks.verdicts(summaries, judged, limits)
+    return found.select("cid", F.array_join("hard_fails", ",").alias("hard_fails"), F.array_join("soft_fails", ",").alias("soft_fails"), "splits", "status")
+
+
+QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, rule_spans, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries, merged_verdicts)}
 
 _PLAIN = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '„', '\"'), '‘', ''''), '’', ''''), '‚', ''''), '—', '-'), '–', '-'), '―', '-'), '…', '...'), chr(160), ' ')"
 

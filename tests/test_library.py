@@ -137,3 +137,40 @@ def test_inherited_splits_follow_chains(spark):
     assert found == {4: "heldout", 10: "heldout", 11: "heldout", 12: "self", 1: "heldout", 2: "train", 3: "train"}
     assert rows.assign_splits(df.where("false")).count() == 0
     assert {r.pool for r in tables.lineup_pool(df.select("platform", F.lit("train").alias("split"))).collect()} == {"train"}
+
+
+def test_features(spark):
+    from corpusloom.operators import features
+
+    text = "I like it. You do?\n\nOne line\n\nTWO, three! Pi is 3.14... ok"
+    r = features.features(spark.createDataFrame([(1, text), (2, None)], "k long, text string")).orderBy("k").collect()
+    a, b = r
+    assert (a["size"].n_lines, a["size"].n_blank, a["size"].n_sentences) == (3, 2, 6) and a.line_words.max_run_single_line_paras == 3
+    assert a.line_words.rhythm == "2/1/3"
+    assert (a.hook.line1_words, a.hook.is_question, a.hook.cut140_ends_sentence) == (5, True, True) and a.pov.dominant == "mixed"
+    assert a.punct_per_1k.comma == round(1000 / len(text), 4) and a.punct_per_1k.ellipsis == round(1000 / len(text), 4)
+    assert b["size"].n_words == 0 and b.lexicon.ttr is None and b.pov.dominant == "third"
+
+
+def test_checks_and_verdicts(spark):
+    from corpusloom.operators import checks
+
+    good = "We cut 40% of the build time in March. Then we wrote it down for the others to read."
+    rows_ = [("a", "linkedin", good, False), ("b", "x", "see https://x.co/a #tag", False), ("c", "linkedin", good + " **bold** link in the comments", False), ("d", "other", None, False)]
+    table = checks.check_table(spark.createDataFrame(rows_, "cid string, platform string, text string, media boolean"), {})
+    assert table.where("cid = 'a'").count() == table.select("check_id").distinct().count() and {r.check_id for r in table.collect()} <= set(checks.CLASSES)
+    found = {r.cid: r for r in checks.summary(table).collect()}
+    assert found["a"].hard == [] and found["b"].hard == ["P3_hashtags", "P4_links"] and found["c"].hard == ["P4_links", "P5_markup"] and "P0_schema" in found["d"].hard
+    rates = spark.createDataFrame([("P5_markup", 0.3), ("P4_links", 0.25)], "check_id string, base_rate double")
+    once = checks.downgraded(table, rates, ("P5_markup", "P4_links"))
+    low = {r.cid: r for r in checks.summary(once).collect()}
+    assert low["c"].hard == ["P4_links"] and low["c"].flag == ["P5_markup"]
+    twice = checks.downgraded(once, rates, ("P5_markup", "P4_links"))
+    assert sorted(map(str, twice.select(once.columns).collect())) == sorted(map(str, once.collect()))
+    judged = [("a", "voice", 0, 1, 4), ("a", "depth", 0, 1, None), ("a", "depth", 0, 2, 5), ("b", "voice", 0, 1, None), ("b", "voice", 0, 2, None), ("b", "depth", 0, 1, 5), ("c", "voice", 0, 1, 2), ("c", "voice", 1, 1, 4), ("c", "voice", 2, 1, 4), ("c", "depth", 0, 1, 1)]
+    limits = spark.createDataFrame([("voice", "hard", 3.0), ("depth", "soft", 3.0)], "dimension string, class string, threshold double")
+    out = {r.cid: r for r in checks.verdicts(checks.summary(table), spark.createDataFrame(judged, "cid string, dimension string, seat int, order int, score int"), limits).collect()}
+    assert out["a"].status == "pass" and out["b"].status == "hold" and (out["c"].status, out["c"].splits, out["c"].soft_fails) == ("fail", 1, ["depth"]) and out["d"].status == "fail"
+    past = [("a", 1, ["g"], [], False), ("a", 2, [], [], False), ("a", 3, ["g"], [], False), ("b", 1, [], ["s"], True), ("b", 2, [], ["s"], True), ("c", 1, [], [], False)]
+    df = spark.createDataFrame(past, "cid string, round int, hard array<string>, soft array<string>, overlap boolean").withColumn("gates", F.array(F.lit("g")))
+    assert {r.cid: (r.reason, r["round"]) for r in checks.stops(df).collect()} == {"a": ("oscillation", 3), "b": ("overlap_persistent", 2)}
