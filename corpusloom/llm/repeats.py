@@ -59,11 +59,11 @@ class Grain:
     symbols: Callable[[bytes], np.ndarray]
 
 
-def _pack(low: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
+def pack(low: np.ndarray, count: np.ndarray | int, offset: np.ndarray | int) -> np.ndarray:
     return low << 16 | count << 8 | offset
 
 
-def _rows(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+def packed(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
 
 
@@ -98,13 +98,13 @@ def _folded(grain: Grain):
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
             route = np.where(again, mixed((doc * 1_000_003 + place).astype(np.uint64)).view(np.int64), key)
-            return _rows("key content doc place", route, np.where(again, 0, content), doc, np.where(again, -place - 1, place))
+            return packed("key content doc place", route, np.where(again, 0, content), doc, np.where(again, -place - 1, place))
 
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True):
                 low, count, anchor, key, content = segments(grain.symbols(data or b""), grain.window, grain.gram)
                 if len(low):
-                    held.append((key, content, np.full(len(low), doc, np.int64), _pack(low, count, anchor - low)))
+                    held.append((key, content, np.full(len(low), doc, np.int64), pack(low, count, anchor - low)))
                     n += len(low)
                 if n >= FOLD_ROWS:
                     yield fold()
@@ -196,7 +196,7 @@ def _by_shard(resolve: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.n
             start = np.flatnonzero(early & ~(np.append(False, early[:-1]) & (np.append(-1, owner[:-1]) == owner)))
             stop = np.flatnonzero(early & ~(np.append(early[1:], False) & (np.append(owner[1:], -1) == owner)))
             own = owner[start]
-            return _rows("doc place", doc[own], _pack((place[own] >> 16) + start - first[own], stop - start + 1, np.zeros(len(own), np.int64)))
+            return packed("doc place", doc[own], pack((place[own] >> 16) + start - first[own], stop - start + 1, np.zeros(len(own), np.int64)))
 
         for batch in batches:
             if not batch.num_rows:
@@ -224,23 +224,30 @@ def _windows(grain: Grain):
             low, n = place >> 16, place >> 8 & 255
             rolling, at = Rolling(np.frombuffer(raw, "<u8").astype(np.uint64)), np.arange(n)
             one, two = rolling.span(at, at + half), rolling.span(at + half, at + grain.window)
-            yield _rows("one two doc at", one.view(np.int64), two.view(np.int64), np.full(n, doc, np.int64), at + low)
+            yield packed("one two doc at", one.view(np.int64), two.view(np.int64), np.full(n, doc, np.int64), at + low)
 
     return each
 
 
-def early_windows(docs: DataFrame, grain: Grain, resolve: Callable) -> DataFrame:
-    """(doc, place): runs of windows of documents (doc, doc_id, text) that also start earlier; place packs first window << 16 | count << 8.
+def opened(docs: DataFrame, grain: Grain) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) of documents (doc, doc_id, text): runs of windows that start earlier, as (doc, place); and (key, doc, place) of the segments left to compare.
 
     One shuffle carries the segments' hashes, folded in each task first, so a text that fills a third of the rows
-    gives a row a task. Segments of equal content settle each other there; those that share only their anchor gram
-    fetch their symbols and are compared by resolve(), groups of one key together. A key with more than GROUP_ROWS
-    segments is spread over tasks window by window.
+    gives a row a task. Segments of equal content settle each other there; open are those that share only their anchor gram.
     """
     cut = docs.select("doc", "text").mapInArrow(_folded(grain), "key long, content long, doc long, place long")
     sorted_ = cut.repartition("key").sortWithinPartitions("key", "content", "doc", "place")
     found = stage(sorted_.mapInArrow(_compared, "doc long, place long, key long"), "compared")
-    settled, open_ = found.where("key is null").select("doc", "place"), found.where("key is not null")
+    return found.where("key is null").select("doc", "place"), found.where("key is not null").select("key", "doc", "place")
+
+
+def early_windows(docs: DataFrame, grain: Grain, resolve: Callable) -> DataFrame:
+    """(doc, place): runs of windows of documents (doc, doc_id, text) that also start earlier; place packs first window << 16 | count << 8.
+
+    Open segments fetch their symbols and are compared by resolve(), groups of one key together. A key with more than
+    GROUP_ROWS segments is spread over tasks window by window.
+    """
+    settled, open_ = opened(docs, grain)
     heavy = open_.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.lit(True).alias("heavy"))
     listed = open_.join(heavy, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "place", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("rows"))
     texts = docs.join(listed, "doc").select("doc", "text", "rows")

@@ -3,52 +3,106 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_symbols, map_arrow, mixed, utf8_rows
-from .repeats import Grain, early_windows, identified, place_lists, removed, with_places
+from .common import Rolling, byte_symbols, map_arrow, mixed, stage, utf8_rows
+from .repeats import FOLD_ROWS, Grain, identified, opened, pack, packed, place_lists, removed, with_places
 
 WINDOW = 100  # bytes
-FIRST = 32  # bytes of the first sort
+FIRST = 32  # bytes of the first sort's ranks
+SECOND = 64  # bytes of the ranks that the last sort pairs
 
 GRAIN = Grain(WINDOW, FIRST, byte_symbols)
 
 
-def ranked(key: np.ndarray, count: np.ndarray, symbols: list[np.ndarray]) -> np.ndarray:
-    """The last doubling: of windows whose first ranks agree (equal key), the pair of the ranks of their halves is sorted.
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with the places of their open segments: a row (one, two, doc, place) for each position, of the ranks at 64 bytes of it and of the position 36 on.
 
-    The segments come in the order of their documents and places, so of equal pairs the first in a stable sort starts earliest.
+    Of a task's positions with the same pair of ranks only the first is sorted; the others start later for certain and
+    go through as runs, settled (place is negative) and routed by their own place. So a passage that a third of all
+    documents hold gives a row a task.
     """
-    half = WINDOW // 2
-    sizes = np.array([len(s) for s in symbols], np.int64)
-    rolling = Rolling(np.concatenate([*symbols, np.zeros(0, np.uint64)]))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    done = np.cumsum(count) - count
-    at = np.arange(int(count.sum())) + np.repeat(first - done, count)
-    one, two = rolling.span(at, at + half), rolling.span(at + half, at + WINDOW)
-    rank = mixed(mixed(one) + two) ^ np.repeat(key.view(np.uint64), count)
-    order = np.argsort(rank, kind="stable")
-    early = np.zeros(len(at), bool)
-    early[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    return early
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def fold() -> Iterator[pa.RecordBatch]:
+        one, two, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, doc, two, one))
+        late = np.zeros(len(at), bool)
+        late[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        next_ = np.zeros(len(at), bool)
+        next_[1:] = late[1:] & late[:-1] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1)
+        lead = np.flatnonzero(late & ~next_)
+        size = np.diff(np.append(np.cumsum(late)[lead], int(late.sum()) + 1))
+        for skip in range(0, int(size.max(initial=0)), 255):  # a place holds counts up to 255
+            some = size > skip
+            own = lead[some]
+            route = mixed((doc[own] * 1_000_003 + at[own] + skip).astype(np.uint64)).view(np.int64)
+            yield packed("one two doc place", route, np.zeros(len(own), np.int64), doc[own], -pack(at[own] + skip, np.minimum(size[some] - skip, 255), 0) - 1)
+        yield packed("one two doc place", one[~late], two[~late], doc[~late], at[~late])
+
+    for batch in batches:
+        for doc, data, places in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), place_lists(batch.column(2)), strict=True):
+            places = np.sort(places)
+            low, count = places >> 16, places >> 8 & 255
+            at = np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
+            ranks = Rolling(byte_symbols(data or b""))
+            one, two = ranks.span(at, at + SECOND), ranks.span(at + WINDOW - SECOND, at + WINDOW)
+            held.append((one.view(np.int64), two.view(np.int64), np.full(len(at), doc, np.int64), at))
+            n += len(at)
+            if n >= FOLD_ROWS:
+                yield from fold()
+                held, n = [], 0
+    if held:
+        yield from fold()
+
+
+def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From positions in the order of their pairs of ranks, documents and places: those that aren't the first of their pair, whose rank at 100 bytes is that of an earlier one."""
+    last = None
+    for batch in batches:
+        one, two, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        settled = place < 0
+        if settled.any():
+            yield packed("doc place", doc[settled], -place[settled] - 1)
+            one, two, doc, place = (x[~settled] for x in (one, two, doc, place))
+        if not len(one):
+            continue
+        again = np.empty(len(one), bool)
+        again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        again[0] = last == (one[0], two[0])
+        last = one[-1], two[-1]
+        if again.any():
+            yield packed("doc place", doc[again], pack(place[again], 1, 0))
+
+
+def early_positions(docs: DataFrame) -> DataFrame:
+    """(doc, place): runs of positions whose 100 bytes also start earlier, in documents (doc, doc_id, text); place packs first position << 16 | count << 8."""
+    settled, open_ = opened(docs, GRAIN)
+    listed = open_.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    pairs = docs.join(listed, "doc").select("doc", "text", "places").mapInArrow(_paired, "one long, two long, doc long, place long")
+    sorted_ = pairs.repartition("one", "two").sortWithinPartitions("one", "two", "doc", "place")
+    return stage(settled.union(sorted_.mapInArrow(_reranked, "doc long, place long")), "early")
 
 
 def repeated_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also spans (pairs of start and end) and kept (binary).
 
-    Prefix doubling with early exit, on the positions that content selects. The first sort, by Spark, is of 32-byte
-    ranks at the anchors of all 100-byte windows (one position in 35; equal windows have equal anchors); a position
-    whose rank is unique is done, and runs of windows of wholly equal content settle each other. What is left is
-    sorted by the rank pairs at offset 50, which is past the threshold. Ranks are 64-bit hashes, two of which must
-    agree. Null is the empty text; rows that share a doc_id count as documents in the order of a hash of their
+    Prefix doubling by two Spark sorts. The first is of 32-byte ranks at the anchors of all 100-byte windows (one
+    position in 35; equal windows have equal anchors): windows whose anchor has a unique rank are done, and runs of
+    windows of wholly equal content settle each other. Of every window left, the position is sorted by the pair of its
+    64-byte rank and the 64-byte rank 36 bytes on, which is past the threshold; it starts earlier unless it is the first
+    of its pair. Ranks are 64-bit hashes, named alike wherever they are worked out, so that the sorts at 1 to 16 and at
+    64 bytes, which would only number them, are left out. Texts of any length are read whole. Null is the empty text; rows that share a doc_id count as documents in the order of a hash of their
     texts, and rows equal in both as one document, returned as often as they came; texts under 100 bytes lose nothing.
     """
     search, whole = identified(docs)
-    marked = with_places(whole, early_windows(search, GRAIN, ranked))
+    marked = with_places(whole, early_positions(search))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

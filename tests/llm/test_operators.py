@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -119,7 +120,8 @@ def test_repeated_bytes(docs, rows, none):
     gone, found = covered(raw, 100), by_id(suffix_dedup.repeated_bytes(docs))
     for k, b in raw:
         kept = bytes(x for x, g in zip(b, gone[k], strict=True) if not g)
-        assert (found[k].n_bytes, found[k].n_removed, found[k].kept_sha256) == (len(b), sum(gone[k]), hashlib.sha256(kept).hexdigest())
+        spans = sum(g and not before for g, before in zip(gone[k], [False, *gone[k]], strict=False))
+        assert (found[k].n_bytes, found[k].n_removed, found[k].n_spans, found[k].kept_sha256) == (len(b), sum(gone[k]), spans, hashlib.sha256(kept).hexdigest())
     assert suffix_dedup.repeated_bytes(none).count() == 0
 
 
@@ -135,8 +137,39 @@ def test_heavy_keys_take_the_other_way(docs, rows, monkeypatch):
     from corpusloom.llm import repeats
 
     monkeypatch.setattr(repeats, "GROUP_ROWS", 1)
-    gone = covered([(k, (t or "").encode()) for k, t in rows], 100)
-    assert {k: r.n_removed for k, r in by_id(suffix_dedup.repeated_bytes(docs)).items()} == {k: sum(g) for k, g in gone.items()}
+    gone = covered([(k, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in rows], 20)
+    assert {k: r.n_removed for k, r in by_id(substring_fm.repeated_words(docs)).items()} == {k: sum(g) for k, g in gone.items()}
+
+
+@pytest.mark.parametrize("fold", [1, 700, 1_000_000])
+def test_pairs_of_ranks_in_any_folds(fold, monkeypatch):
+    """All positions of texts over few passages, folded in tasks of two documents, sorted and reranked, against the strings themselves."""
+    monkeypatch.setattr(suffix_dedup, "FOLD_ROWS", fold)
+    r = random.Random(11)
+    passages = ["".join(r.choices("abcd ", k=r.choice((40, 130, 400)))) for _ in range(6)] + ["z" * 300]
+    texts = ["".join(r.choices(passages, k=r.randrange(1, 6))) for _ in range(14)]
+
+    def places(n):  # runs of at most 69 windows, as segments have them
+        return [at << 16 | min(69, n - 99 - at) << 8 for at in range(0, n - 99, 69)]
+
+    moved = []
+    for at in range(0, len(texts), 2):
+        cols = [pa.array([at, at + 1]), pa.array(texts[at : at + 2]), pa.array([places(len(t)) for t in texts[at : at + 2]], pa.list_(pa.int64()))]
+        for batch in suffix_dedup._paired(iter([pa.RecordBatch.from_arrays(cols, ["doc", "text", "places"])])):
+            moved += batch.to_pylist()
+    moved.sort(key=lambda x: (x["one"], x["two"], x["doc"], x["place"]))
+    batches = [pa.RecordBatch.from_pylist(moved[k : k + 97], pa.schema([(c, pa.int64()) for c in ("one", "two", "doc", "place")])) for k in range(0, len(moved), 97)]
+    found = []
+    for batch in suffix_dedup._reranked(iter(batches)):
+        for row in batch.to_pylist():
+            found += [(row["doc"], (row["place"] >> 16) + k) for k in range(row["place"] >> 8 & 255)]
+    seen, want = set(), []
+    for k, t in enumerate(texts):
+        for at in range(len(t) - 99):
+            if t[at : at + 100] in seen:
+                want.append((k, at))
+            seen.add(t[at : at + 100])
+    assert sorted(found) == want
 
 
 def test_decontamination(spark, docs, rows, none):
