@@ -10,21 +10,29 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, in_groups, map_arrow, utf8_rows
+from .common import in_groups, map_arrow, utf8_rows
 
 HIDDEN = 16
-LONGEST = 32  # bytes of a sequence; longer runs of letters are cut
+CORE = 448  # bytes of a text that a sequence labels
+CONTEXT = 32  # bytes before and after them that are read on the way in and not labelled again
+LEARNT = 64  # bytes of a training sequence
 SAMPLE_ROWS = 400  # labelled rows of each language that are fitted, those of the least id hashes
-STEPS = 500
-BATCH = 256
+STEPS = 400
+BATCH = 128
+TOGETHER = 1024  # sequences that are read in step
 RATE = 0.01
 UNKNOWN = "und"
 
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def letter_runs(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+def windows(data: bytes) -> list[tuple[bytes, int, int]]:
+    """Sequences that cover a text: their bytes, and from where to where in them they label."""
+    out = []
+    for at in range(0, len(data), CORE):
+        low, stop = max(0, at - CONTEXT), min(len(data), at + CORE)
+        out.append((data[low : stop + CONTEXT], at - low, stop - low))
+    return out
 
 
 def padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +45,7 @@ def padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 @dataclass
@@ -122,35 +130,65 @@ class Network:
                 carried = np.where(on, inner * (1 - update) + d_past * reset + d_gates @ u.T, total)
         return loss, g
 
-    def pieces(self, runs: list[str]) -> np.ndarray:
-        """For each run of letters: summed log-probabilities, summed probabilities, and positions."""
-        pieces, owner = [], []
-        for k, run in enumerate(runs):
-            raw = run.encode()
-            for at in range(0, len(raw), LONGEST):
-                pieces.append(raw[at : at + LONGEST])
-                owner.append(k)
+    def _scores(self, d: str, data: np.ndarray, live: np.ndarray, out: np.ndarray) -> None:
+        """Add one direction's part of the scores. The sequences are ordered from long to short: live[t] of them have a byte t."""
+        w, u, v = (self.weights[k + d] for k in "WUV")
+        h = len(v)
+        o = self.weights["O"][:h] if d == "f" else self.weights["O"][h:]
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(w.dtype)  # a sigmoid is a tanh of half
+        w, u = w * half, u * half[: 2 * h]
+        state = np.zeros((data.shape[1], h), w.dtype)
+        for t in range(len(data)) if d == "f" else range(len(data) - 1, -1, -1):
+            on = state[: live[t]]
+            x = w[data[t, : live[t]]]
+            gates = x[:, : 2 * h]
+            gates += on @ u
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new = x[:, 2 * h :]
+            new += (gates[:, h:] * on) @ v
+            np.tanh(new, out=new)
+            new -= on
+            new *= gates[:, :h]
+            on += new
+            out[t, : live[t]] += on @ o
+
+    def texts(self, texts: list[bytes]) -> np.ndarray:
+        """For each text: summed log-probabilities, summed probabilities, and positions. Every byte is a position."""
+        cut = [(*piece, k) for k, t in enumerate(texts) for piece in windows(t)]
+        cut.sort(key=lambda x: -len(x[0]))
         n = len(self.labels)
-        out = np.zeros((len(runs), 2 * n + 1))
-        order = np.argsort([len(p) for p in pieces], kind="stable").tolist()
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            data, mask = padded([pieces[k] for k in part])
-            found = self.positions(data, mask) * mask[:, :, None]
-            rows = np.concatenate([found.sum(axis=0), (np.exp(found) * mask[:, :, None]).sum(axis=0), mask.sum(axis=0)[:, None]], axis=1)
-            np.add.at(out, [owner[k] for k in part], rows)
+        out = np.zeros((len(texts), 2 * n + 1))
+        for at in range(0, len(cut), TOGETHER):
+            raw, first, stop, owner = zip(*cut[at : at + TOGETHER], strict=True)
+            data, inside = padded(list(raw))
+            live = inside.sum(axis=1).tolist()
+            score = np.tile(self.weights["c"], (*data.shape, 1))
+            for d in "fb":
+                self._scores(d, data, live, score)
+            score -= score.max(axis=2, keepdims=True)
+            p = np.exp(score)
+            total = p.sum(axis=2, keepdims=True)
+            p /= total
+            score -= np.log(total)
+            step = np.arange(len(data))[:, None]
+            mine = (step >= np.array(first)) & (step < np.array(stop))
+            rows = [np.einsum("tbl,tb->bl", score, mine), np.einsum("tbl,tb->bl", p, mine), mine.sum(axis=0)[:, None]]
+            np.add.at(out, list(owner), np.concatenate(rows, axis=1))
         return out
 
 
 def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Network:
-    """Fit the network on (text, language) samples; every position of a run of letters has its text's language."""
+    """Fit the network on (text, language) samples, cut into sequences of LEARNT bytes; every position has its text's language."""
     labels = sorted({lang for _, lang in samples})
     net = Network.fresh(labels, seed=seed)
     runs, owner = [], []
     for text, lang in samples:
-        raw = [r[at : at + LONGEST] for r in map(str.encode, letter_runs(text)) for at in range(0, len(r), LONGEST)]
-        runs += raw
-        owner += [labels.index(lang)] * len(raw)
+        raw = text.lower().encode()
+        cut = [raw[at : at + LEARNT] for at in range(0, len(raw), LEARNT)]
+        runs += cut
+        owner += [labels.index(lang)] * len(cut)
     if len(labels) < 2 or not runs:
         return net
     owner = np.array(owner)
@@ -188,10 +226,11 @@ def identify(docs: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Da
     """Per document: doc_id, held_out, lang_pred, score.
 
     The network is fitted on a sample of the rows that are not held out (400 rows of each language, a
-    parameter). It reads each run of letters of the lower-cased text forwards and backwards and gives every
-    byte in it a distribution over the languages; a document's language is that of the greatest sum of log-probabilities
-    over all its positions, and score is the mean probability of it. Runs are read once for each distinct run. Only the
-    text is read here; a null text or one without a letter is `und` with score 0, as is every text when no row is labelled.
+    parameter). It reads the bytes of the whole lower-cased text forwards and backwards, across words and whatever
+    they are, and gives every byte a distribution over the languages; a document's language is that of the greatest
+    sum of log-probabilities over all its positions (of equal sums the first label), and score is the mean probability of it. Long texts are
+    read in sequences that label 448 bytes each and begin and end 32 bytes outside them. Only the text is read here, so
+    equal texts have equal predictions; a null text or one without a letter is `und` with score 0, as is every text when no row is labelled.
     """
     net = train(training_rows(docs.where(~held_out(F.col("doc_id"))), rows), steps)
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -199,20 +238,16 @@ def identify(docs: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Da
     def make():
         net = sent.value
         n = len(net.labels)
-        table = WordTable(net.pieces, 2 * n + 1)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = [], []
             for group in in_groups(((t or b"").decode() for t in utf8_rows(batch.column(1))), len):
-                sums = table.sums([letter_runs(t) for t in group])
-                for row in sums:
-                    if n and row[-1]:
-                        best = int(np.argmax(row[:n]))
-                        langs.append(net.labels[best])
-                        scores.append(min(1.0, float(row[n + best] / row[-1])))
-                    else:
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
+                lettered = [bool(n and _LETTER.search(t)) for t in group]
+                sums = net.texts([t.lower().encode() if on else b"" for t, on in zip(group, lettered, strict=True)])
+                for row, on in zip(sums, lettered, strict=True):
+                    best = int(np.argmax(row[:n])) if on else 0
+                    langs.append(net.labels[best] if on else UNKNOWN)
+                    scores.append(min(1.0, float(row[n + best] / row[-1])) if on else 0.0)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
         return each

@@ -299,37 +299,6 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.arange(int(ends[-1])) + np.repeat(start - (ends - length), length)]
 
 
-class WordTable:
-    """Rows of numbers for words, worked out once for each distinct word; sums over texts. Emptied beyond limit words."""
-
-    def __init__(self, score: Callable[[list[str]], np.ndarray], width: int, limit: int = 600_000):
-        self.score, self.width, self.limit = score, width, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1 << 14, self.width))
-
-    def sums(self, texts: list[list[str]]) -> np.ndarray:
-        """The summed rows of the words of each text."""
-        distinct = dict.fromkeys(w for words in texts for w in words)
-        new = [w for w in distinct if w not in self.index]
-        if len(self.index) + len(new) > self.limit:
-            self.clear()
-            new = list(distinct)
-        if new:
-            base, need = len(self.index), len(self.index) + len(new)
-            if need > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((max(need, len(self.rows)) - len(self.rows) + len(new), self.width))])
-            self.rows[base:need] = self.score(new)
-            self.index.update(zip(new, range(base, need), strict=True))
-        out = np.zeros((len(texts), self.width))
-        for k, words in enumerate(texts):
-            if words:
-                out[k] = self.rows[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        return out
-
-
 def in_groups(texts: Iterable, size: Callable, most: int = 2_000_000) -> Iterator[list]:
     """Successive items in lists of about most in summed size."""
     group, total = [], 0

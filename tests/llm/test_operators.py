@@ -437,14 +437,49 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4, k
 
 
+def test_network_reads_every_byte(monkeypatch):
+    """Labels and pooled probabilities of whole texts against the recurrences written out one position at a time."""
+    monkeypatch.setattr(bigru, "CORE", 9)
+    monkeypatch.setattr(bigru, "CONTEXT", 4)
+    monkeypatch.setattr(bigru, "TOGETHER", 3)
+    net = bigru.Network.fresh(["a", "b", "c"], hidden=3, seed=1)
+    w = net.weights = {k: x.astype(np.float64) for k, x in net.weights.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, data):
+        out, state = [], np.zeros(3)
+        for byte in data if d == "f" else data[::-1]:
+            x = w["W" + d][byte]
+            update, reset = sigmoid(x[:3] + state @ w["U" + d][:, :3]), sigmoid(x[3:6] + state @ w["U" + d][:, 3:])
+            state = (1 - update) * state + update * np.tanh(x[6:] + (reset * state) @ w["V" + d])
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    seen = [b"", b"x", b"nine byte", "zw\u00f6lf, ein langer Text mit 3 Zahlen: 1, 2".encode(), b"ten bytes.", b"x"]
+    found = net.texts(seen)
+    for text, row in zip(seen, found, strict=True):
+        want = np.zeros(7)
+        for at in range(0, len(text), 9):
+            low = max(0, at - 4)
+            part = text[low : at + 13]
+            both = np.concatenate([states("f", part), states("b", part)], axis=1)
+            for k in range(at - low, min(len(part), at - low + 9)):
+                p = np.exp(both[k] @ w["O"] + w["c"])
+                p /= p.sum()
+                want += np.concatenate([np.log(p), p, [1]])
+        assert np.allclose(row, want) and row[-1] == len(text)
+
+
 def test_languages(spark, none):
     r = random.Random(4)
     make = {"en": ["the", "thing", "with", "other"], "de": ["der", "schön", "nicht", "über"]}
     rows = [(k, " ".join(r.choice(make[lang]) for _ in range(30)), lang) for k in range(120) for lang in [["en", "de"][k % 2]]]
-    docs = spark.createDataFrame([*rows, (500, None, "en"), (501, "12 34 !", "en"), (502, "½ ² 12 Ⅷ", "en"), (None, "the other thing", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (500, None, "en"), (501, "12 34 !", "en"), (502, "½ ² 12 Ⅷ", "en"), (None, "the other thing", None), (600, "the other " * 40_000, None), (601, "the thing", None), (601, "the thing", None)], "doc_id long, text string, lang string")
     found = bigru.identify(docs, steps=60).collect()
     truth = {k: lang for k, _, lang in rows}
     held = [x for x in found if x.held_out and x.doc_id in truth]
     assert held and all(x.lang_pred == truth[x.doc_id] for x in held)
     assert {x.doc_id: x.lang_pred for x in found if x.doc_id in (500, 501, 502)} == {500: "und", 501: "und", 502: "und"}
+    assert {x.doc_id: x.lang_pred for x in found if x.doc_id in (600, 601)} == {600: "en", 601: "en"} and len(found) == len(rows) + 7
+    assert len({x.score for x in found if x.doc_id == 601}) == 1
     assert bigru.identify(none).count() == 0
