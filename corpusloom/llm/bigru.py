@@ -19,7 +19,7 @@ LEARNT = 64  # bytes of a training sequence
 SAMPLE_ROWS = 400  # labelled rows of each language that are fitted, those of the least id hashes
 STEPS = 400
 BATCH = 128
-TOGETHER = 1024  # sequences that are read in step
+TOGETHER = 512  # sequences that are read in step
 RATE = 0.01
 UNKNOWN = "und"
 
@@ -131,28 +131,41 @@ class Network:
         return loss, g
 
     def _scores(self, d: str, data: np.ndarray, live: np.ndarray, out: np.ndarray) -> None:
-        """Add one direction's part of the scores. The sequences are ordered from long to short: live[t] of them have a byte t."""
-        w, u, v = (self.weights[k + d] for k in "WUV")
-        h = len(v)
-        o = self.weights["O"][:h] if d == "f" else self.weights["O"][h:]
-        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(w.dtype)  # a sigmoid is a tanh of half
-        w, u = w * half, u * half[: 2 * h]
+        """Add one direction's part of the scores. The sequences are ordered from long to short: live[t] of them have a byte t.
+
+        A sigmoid is (1 + tanh(x / 2)) / 2, so 2 * reset * state is state + tanh * state, and alike for the update; buffers are reused from step to step.
+        """
+        v = self.weights["V" + d]
+        h, one_half = len(v), v.dtype.type(0.5)
+        cut = slice(0, h) if d == "f" else slice(h, 2 * h)
+        o, v = self.weights["O"][cut], v * one_half
+        w = self.weights["W" + d]
+        w_update, w_reset, w_new = w[:, :h] * one_half, w[:, h : 2 * h] * one_half, w[:, 2 * h :].copy()
+        u = self.weights["U" + d] * one_half
+        u_update, u_reset = u[:, :h].copy(), u[:, h:].copy()
         state = np.zeros((data.shape[1], h), w.dtype)
+        buffers = np.empty((4, *state.shape), w.dtype)
         for t in range(len(data)) if d == "f" else range(len(data) - 1, -1, -1):
-            on = state[: live[t]]
-            x = w[data[t, : live[t]]]
-            gates = x[:, : 2 * h]
-            gates += on @ u
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            new = x[:, 2 * h :]
-            new += (gates[:, h:] * on) @ v
+            m = live[t]
+            byte, on = data[t, :m], state[:m]
+            past, new, update, product = buffers[:, :m]
+            np.take(w_reset, byte, axis=0, out=past, mode="clip")
+            past += np.matmul(on, u_reset, out=product)
+            np.tanh(past, out=past)
+            past *= on
+            past += on
+            np.take(w_new, byte, axis=0, out=new, mode="clip")
+            new += np.matmul(past, v, out=product)
             np.tanh(new, out=new)
             new -= on
-            new *= gates[:, :h]
-            on += new
-            out[t, : live[t]] += on @ o
+            np.take(w_update, byte, axis=0, out=update, mode="clip")
+            update += np.matmul(on, u_update, out=product)
+            np.tanh(update, out=update)
+            update *= new
+            update += new
+            update *= one_half
+            on += update
+            out[t, :m] += on @ o
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """For each text: summed log-probabilities, summed probabilities, and positions. Every byte is a position."""
@@ -170,11 +183,10 @@ class Network:
             score -= score.max(axis=2, keepdims=True)
             p = np.exp(score)
             total = p.sum(axis=2, keepdims=True)
-            p /= total
-            score -= np.log(total)
             step = np.arange(len(data))[:, None]
-            mine = (step >= np.array(first)) & (step < np.array(stop))
-            rows = [np.einsum("tbl,tb->bl", score, mine), np.einsum("tbl,tb->bl", p, mine), mine.sum(axis=0)[:, None]]
+            mine = ((step >= np.array(first)) & (step < np.array(stop))).astype(score.dtype)
+            logs = np.einsum("tbl,tb->bl", score, mine) - np.einsum("tb,tb->b", np.log(total[..., 0]), mine)[:, None]
+            rows = [logs, np.einsum("tbl,tb->bl", p, mine / total[..., 0]), mine.sum(axis=0)[:, None]]
             np.add.at(out, list(owner), np.concatenate(rows, axis=1))
         return out
 
