@@ -21,6 +21,7 @@ STEPS = 400
 BATCH = 128
 TOGETHER = 512  # sequences that are read in step
 RATE = 0.01
+SALTS = 64
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -223,9 +224,21 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows, whole: of each language the rows of the least id hashes."""
+    """A bounded sample of labelled rows, whole: of each language the rows of the least id hashes.
+
+    The greatest hash of each sample is found from the hashes alone, first in SALTS parts of each language, so that a
+    language that most rows have is not one task's. The driver holds a number for each language, as the network does.
+    """
     ranked = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    kept = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
+    least = ranked.select("lang", "h", (F.spark_partition_id() % SALTS).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        least = least.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("k") <= rows)
+    last = {r.lang: r.h for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return []
+    bound = F.create_map(*(F.lit(x) for item in sorted(last.items()) for x in item))
+    near = ranked.where(F.col("h") <= F.element_at(bound, F.col("lang")))
+    kept = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
     return [(r.text, r.lang) for r in kept.select("text", "lang").orderBy("lang", "text").collect()]
 
 

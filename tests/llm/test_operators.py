@@ -437,6 +437,17 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4, k
 
 
+def test_training_rows(spark):
+    """The least hashes of each language; ties (repeated and null ids) by text."""
+    r = random.Random(8)
+    rows = [(r.choice([None, *range(40)]), r.choice(["x", "y", "z", None]) and f"text {r.random()}", r.choice(["en", "de", None])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    hashed = docs.select("lang", F.xxhash64("doc_id").alias("h"), "text").where("text is not null and lang is not null").collect()
+    want = [(x.text, x.lang) for lang in ("de", "en") for x in sorted((x for x in hashed if x.lang == lang), key=lambda x: (x.h, x.text))[:25]]
+    assert bigru.training_rows(docs, 25) == sorted(want, key=lambda x: (x[1], x[0]))
+    assert bigru.training_rows(docs.where("false")) == []
+
+
 def test_network_reads_every_byte(monkeypatch):
     """Labels and pooled probabilities of whole texts against the recurrences written out one position at a time."""
     monkeypatch.setattr(bigru, "CORE", 9)
