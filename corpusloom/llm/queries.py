@@ -79,7 +79,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language)}
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode_pieces
+
+    return encode_pieces(documents(spark, sf_dir), public_tokenizers.path(model))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language, op13_sentencepiece)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
