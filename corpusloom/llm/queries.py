@@ -79,6 +79,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +93,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
     return encode_pieces(documents(spark, sf_dir), public_tokenizers.path(model))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language, op11_whitening, op13_sentencepiece)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
