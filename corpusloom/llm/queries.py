@@ -85,6 +85,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import audits, damaged
+
+    return audits(*damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
@@ -93,7 +99,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
     return encode_pieces(documents(spark, sf_dir), public_tokenizers.path(model))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language, op11_whitening, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring, op3_suffix_array, op4_decontamination, op5_bpe, op6_media, op7_personal_data, op8_token_files, op9_quality, op10_language, op11_whitening, op12_conversations, op13_sentencepiece)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,4 +124,54 @@ hit as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest
 its as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from m group by doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit on d.doc_id = hit.doc_id left join its on d.doc_id = its.doc_id""",
+    # Rows are edited one after another; nodes hold the least (cost, audit) of each state. At most two turns are inserted before a row: a third would come
+    # back to a state. State 0: nothing yet, 1: a system turn, 2: the last turn is the user's, 3: the assistant's.
+    "op12_conversations": r"""with recursive src as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+crc as (
+    select list_transform(range(256), lambda b: list_reduce(list_prepend(b::ubigint, list_transform(range(8), lambda i: 0::ubigint)),
+        lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end)) as t),
+hit as (
+    select src.*, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(k, ''), lambda c: unicode(c)::ubigint)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::int + 1])), 4294967295::ubigint) % 20 as f from src, crc),
+damaged as (
+    select conv_id, turn, case when f = 4 then 'user' else role end as role,
+        case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when f = 3 then [1, 2] else [1] end) as copy
+    from hit where f <> 0),
+ordered as (
+    select *, left(role, 1) as who, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+        row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth
+    from damaged),
+lines as (
+    select *, case when body = '' then 'blank' when nth > 1 then 'duplicate' when right(body, 1) in ('.', '!', '?') then '' else 'truncated' end as fault,
+        lag(who) over (partition by conv_id order by i) || who as pair
+    from ordered),
+sums as (
+    select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+    from lines group by conv_id),
+inserts(s, t, paid, letters, said) as (values
+    (0, 0, 0, '', null), (1, 1, 0, '', null), (2, 2, 0, '', null), (3, 3, 0, '', null), (0, 2, 5, 'I', 'user:'), (1, 2, 5, 'I', 'user:'), (3, 2, 5, 'I', 'user:'),
+    (2, 3, 5, 'I', 'assistant:'), (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', 'user:' || chr(10) || 'assistant:')),
+edits(t, s, needs, role) as (values
+    (0, 0, 'D', null), (1, 1, 'D', null), (2, 2, 'D', null), (3, 3, 'D', null), (0, 1, 's', null), (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (3, 2, 'u', 'user'), (2, 3, 'a', 'assistant')),
+nodes(conv_id, i, s, best) as (
+    select distinct conv_id, 0::bigint, 0, {'cost': 0::bigint, 'audit': '', 'text': null::varchar} from src
+    union all
+    select n.conv_id, n.i + 1, e.s, min({
+        'cost': n.best.cost + p.paid + case when e.needs = 'D' then 2 else (l.who <> e.needs)::bigint + 5 * (l.fault = 'truncated')::bigint end,
+        'audit': n.best.audit || p.letters || case when e.needs = 'D' then 'D' when l.who = e.needs then 'K' else 'R' end,
+        'text': nullif(concat_ws(chr(10), n.best.text, p.said, case when e.needs = 'D' then null when l.who = e.needs then l.role || ':' || l.text else e.role || ':' || l.text end), '')})
+    from nodes n join lines l on l.conv_id is not distinct from n.conv_id and l.i = n.i + 1 join inserts p on p.s = n.s join edits e on e.t = p.t
+    where e.needs = 'D' or (l.fault in ('', 'truncated') and (e.needs <> 's' or l.who = 's'))
+    group by n.conv_id, n.i + 1, e.s),
+ends as (
+    select n.conv_id, min({'cost': n.best.cost + p.paid, 'audit': n.best.audit || p.letters, 'text': concat_ws(chr(10), n.best.text, p.said)}) as best
+    from nodes n left join sums on sums.conv_id is not distinct from n.conv_id join inserts p on p.s = n.s
+    where n.i = coalesce(sums.n, 0) and p.t in (0, 3) group by n.conv_id)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, e.best.cost as cost, e.best.audit as audit, sha256(coalesce(e.best.text, '')) as repaired_sha256
+from ends e left join sums on sums.conv_id is not distinct from e.conv_id""",
 }
