@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basics, library, measures, overlaps, scalars
+from . import basics, library, measures, overlaps, scalars, wording
 
-MODULES = [basics, overlaps, measures, scalars, library]
+MODULES = [basics, overlaps, measures, scalars, library, wording]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

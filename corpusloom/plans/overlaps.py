@@ -51,13 +51,6 @@ m as (select d.id, b.item_id, d.i, d.i - b.j as diagonal from d join b on d.gram
 r as (select *, i - row_number() over (partition by id, item_id, diagonal order by i) as island from m),
 s as (select id, item_id, count(*) + 5 as n from r group by id, item_id, diagonal, island)
 select id, max(n) as longest, count(distinct item_id) as n_refs, case when max(n) >= 8 then 'fail' else 'flag' end as level from s group by id""",
-    # JN-06 (part): one-word phrases (the fifth word of each item) in one-word windows, with an edit budget by length; best window first.
-    "fuzzy_phrases": """with p0 as (select @at(@words(text), 5) as phrase0 from benchmark), p as (select distinct @norm(phrase0) as phrase, @size(@words(phrase0)) as k, case when length(@norm(phrase0)) < 8 then 0 else least(2, @idiv(length(@norm(phrase0)), 8)) end as budget from p0),
-d0 as (select doc_id, @words(text) as w from documents where doc_id is not null),
-x as (select doc_id, win, min(place) as place from (select doc_id, g.at as place, g.gram as win from d0 @explode(@placed_grams(w, 1), g)) q group by doc_id, win),
-m as (select x.doc_id, p.phrase, x.place, @edits(x.win, p.phrase) as dist from x join p on p.k = 1 and abs(length(x.win) - length(p.phrase)) <= p.budget and substring(x.win, 1, 1) = substring(p.phrase, 1, 1) where @edits(x.win, p.phrase) <= p.budget),
-r as (select *, row_number() over (partition by doc_id, phrase order by dist, place) as k from m)
-select doc_id, phrase, place, dist from r where k = 1""",
     # JN-07 (part): a 3-gram Jaccard of 0.15 or more with a benchmark item.
     "skeletons": f"""with {POSTS},
 d1 as (select id, gram from posts @explode(@grams(w, 3), gram)), d as (select id, gram, count(*) over (partition by id) as n from d1),

@@ -1,0 +1,60 @@
+"""Queries over phrases, rules and quotes in texts, with SQL that takes the plain way."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import phrases
+from ..sources.tables import table
+
+
+def plain(text) -> F.Column:
+    """Words of ASCII letters and digits in lower case, joined by one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null")
+
+
+def fuzzy_phrases(spark, sf_dir):
+    """JN-06, O2: the phrases of the benchmark (its texts between full stops and commas) in all documents, a few edits apart."""
+    parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref"), F.explode(F.split("text", "[.,]")).alias("phrase"))
+    ours = parts.withColumn("norm", plain(F.col("phrase")))
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), plain(F.col("text")).alias("text"))
+    found = phrases.fuzzy_phrases(docs, ours)
+    return found.select(F.col("id").alias("doc_id"), "ref", F.col("n").alias("n_words"), "allowed", "distance", (F.col("start") + 1).alias("place"), "window")
+
+
+QUERIES = {f.__name__: f for f in (fuzzy_phrases,)}
+
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+ORACLES = {
+    "fuzzy_phrases": f"""with parts as (select item_id as ref, unnest(regexp_split_to_array(text, '[.,]')) as phrase from benchmark),
+ours as (
+    select norm, min(ref) as ref, len(string_split(norm, ' ')) as n, case when length(norm) < 8 then 0 else least(2, length(norm) // 8) end as allowed
+    from (select ref, {_PLAIN.format("phrase")} as norm from parts) q where regexp_matches(norm, '[a-z]') group by norm),
+docs as (select doc_id, string_split({_PLAIN.format("text")}, ' ') as w from documents where text is not null),
+short as (
+    select doc_id, n, place, array_to_string(w[place:place + n - 1], ' ') as win
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as place from docs, (select distinct n from ours where n <= 3) s where len(w) >= n) q),
+starts as (
+    select distinct t.doc_id, p.norm, t.at - p.at + moved + 1 as place
+    from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as at from docs) t
+    join (select norm, unnest(string_split(norm, ' ')) as word, generate_subscripts(string_split(norm, ' '), 1) as at from ours where n > 3) p on t.word = p.word, range(-1, 2) as m(moved)),
+windows as (
+    select s.doc_id, s.norm, place, array_to_string(w[place:place + n - 1], ' ') as win from starts s join docs d on s.doc_id = d.doc_id join ours o on s.norm = o.norm
+    where place >= 1 and place + n - 1 <= len(w)
+    union all
+    select doc_id, norm, place, win from short s join ours o on s.n = o.n and length(win) between length(norm) - allowed and length(norm) + allowed),
+near as (
+    select doc_id, ref, n, allowed, levenshtein(win, v.norm) as distance, place, win, v.norm
+    from windows v join ours o on v.norm = o.norm where abs(length(win) - length(v.norm)) <= allowed),
+good as (
+    select * from near where distance = 0 or (distance <= allowed
+        and list_filter(string_split(win, ' '), lambda x: regexp_matches(x, '[0-9]')) = list_filter(string_split(norm, ' '), lambda x: regexp_matches(x, '[0-9]'))))
+select doc_id, ref, n as n_words, allowed, distance, place, win as window
+from (select *, row_number() over (partition by doc_id, norm order by distance, place) as k from good) q where k = 1""",
+}
