@@ -36,7 +36,7 @@ def _limit(platform: Column, name: str) -> Column:
 
 def _hits(scope: Column, rules: list[dict]) -> Column:
     """How many matches of the rules' patterns a part of the text has."""
-    patterns = ["(?i)" + (r["pattern"] if "pattern" in r else spans.phrase_pattern(r["phrase"])) for r in rules]
+    patterns = ["(?i)" + (r["pattern"] if "pattern" in r else r"\b" + r["phrase"].replace(" ", r"\s+") + r"\b") for r in rules]
     return sum((F.regexp_count(scope, F.lit(p)) for p in patterns), F.lit(0))
 
 

@@ -1,60 +1,11 @@
-"""Rule hits with their spans, and folds over ordered arrays."""
+"""Folds over ordered arrays, and waivers of rule hits (which scan.py finds)."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def phrase_pattern(phrase: str) -> str:
-    """FN-14: the regular expression of a literal phrase: any white space between its words, no word character at its ends."""
-    body = r"\s+".join(map(re.escape, phrase.split()))
-    return (r"(?<!\w)" if phrase[:1].isalnum() else "") + body + (r"(?!\w)" if phrase[-1:].isalnum() else "")
-
-
-def _placed(name: str, rank: int):
-    """The step of a fold over (gap, span) that keeps the place reached and the hits so far."""
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["span"])
-        hit = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("stop"), F.lit(name).alias("id"), x["span"].alias("span"))
-        return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
-
-    return step
-
-
-def rule_hits(texts: DataFrame, rules: list[dict], text: str = "text") -> DataFrame:
-    """FN-15: texts with hits: array<struct<start,rank,stop,id,span>> of all rules (ids with a pattern or a phrase, and a rank), in order.
-
-    Matches and the gaps between them give the places, so it all is built-in expressions. Case is not looked at.
-    """
-    found = []
-    for r in rules:
-        pattern = "(?i)" + (r["pattern"] if "pattern" in r else phrase_pattern(r["phrase"]))
-        gaps, spans = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,stop:int,id:string,span:string>>").alias("hits"))
-
-        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(spans)).alias("gap"), spans.alias("span"))
-        found.append(F.aggregate(pairs, start, _placed(r["id"], int(r.get("rank", 2))), lambda acc: acc["hits"]))
-    return texts.withColumn("hits", F.array_sort(F.concat(*found)))
-
-
-def leftmost(hits: Column | str) -> Column:
-    """WN-11: hits that don't overlap: by start, then rank, then the longest; a hit stays if it begins where the last kept one ended or later."""
-    hits = F.col(hits) if isinstance(hits, str) else hits
-    order = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["rank"].alias("rank"), (-h["stop"]).alias("neg"), h["id"].alias("id"), h["span"].alias("span"))))
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,rank:int,stop:int,id:string,span:string>>").alias("kept"))
-
-    def step(acc: Column, h: Column) -> Column:
-        hit = F.struct(h["start"].alias("start"), h["rank"].alias("rank"), (-h["neg"]).alias("stop"), h["id"].alias("id"), h["span"].alias("span"))
-        return F.when(h["start"] >= acc["end"], F.struct((-h["neg"]).alias("end"), F.concat(acc["kept"], F.array(hit)).alias("kept"))).otherwise(acc)
-
-    return F.aggregate(order, start, step, lambda acc: acc["kept"])
-
-
 def triples(sizes: Column | str, most: int = 3) -> Column:
     """WN-09 (fragments): how often three in a row have one to most words, each fragment used once."""
     sizes = F.col(sizes) if isinstance(sizes, str) else sizes

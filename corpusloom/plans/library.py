@@ -9,9 +9,6 @@ from ..functions import canon
 from ..operators import checks, compare, features, rows, spans, tables
 from ..sources.tables import table
 
-RULES = [{"id": "R1", "phrase": "in the", "rank": 1}, {"id": "R2", "pattern": r"\b(the|of) \w+", "rank": 2}, {"id": "R3", "phrase": "the", "rank": 0}]
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null")
 
@@ -66,13 +63,6 @@ def inherited_splits(spark, sf_dir):
     return rows.assign_splits(_posts(spark, sf_dir).drop("text"), never=("src3",)).select("post_id", "split")
 
 
-def rule_spans(spark, sf_dir):
-    """FN-14, FN-15, WN-11: hits of rules that don't overlap."""
-    hits = spans.rule_hits(_texts(spark, sf_dir).select("doc_id", "text"), RULES)
-    kept = hits.select("doc_id", F.size("hits").alias("n_hits"), spans.leftmost("hits").alias("kept"))
-    return kept.select("doc_id", "n_hits", F.size("kept").alias("n_kept"), F.sha2(F.array_join(F.transform("kept", lambda h: F.concat_ws(":", h["id"], h["start"].cast("string"), h["stop"].cast("string"))), ","), 256).alias("sha"))
-
-
 def fragment_triples(spark, sf_dir):
     """WN-09: triples of short sentences."""
     words = F.transform(F.split("text", r"[.!?]\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
@@ -182,7 +172,7 @@ def merged_verdicts(spark, sf_dir):
     return found.select("cid", F.array_join("hard_fails", ",").alias("hard_fails"), F.array_join("soft_fails", ",").alias("soft_fails"), "splits", "status")
 
 
-QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, rule_spans, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries, merged_verdicts)}
+QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries, merged_verdicts)}
 
 _PLAIN = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '„', '\"'), '‘', ''''), '’', ''''), '‚', ''''), '—', '-'), '–', '-'), '―', '-'), '…', '...'), chr(160), ' ')"
 

@@ -74,16 +74,7 @@ def test_header_mapping_and_problems(spark):
     assert rows.accepted_batch(df).count() == 0 and rows.accepted_batch(df.where("author = 'a'")).count() == 1
 
 
-def test_leftmost_hits_and_waivers(spark):
-    text = "In the end, in  the game of the day"
-    rules = [{"id": "P", "phrase": "in the"}, {"id": "K", "pattern": r"the \w+", "rank": 0}, {"id": "L", "phrase": "in the end", "rank": 2}]
-    hits = spans.rule_hits(spark.createDataFrame([(text,)], "text string"), rules)
-    first = hits.first().hits
-    brute = sorted((m.start(), m.end(), r["id"]) for r in rules for m in re.finditer(r.get("pattern") or spans.phrase_pattern(r["phrase"]), text, re.IGNORECASE))
-    assert sorted((h.start, h.stop, h.id) for h in first) == brute and all(text[h.start : h.stop] == h.span for h in first)
-    kept = hits.select(spans.leftmost("hits").alias("k")).first().k
-    assert [(h.id, h.start, h.stop) for h in kept] == [("L", 0, 10), ("P", 12, 19), ("K", 28, 35)]
-    assert hits.select(spans.waived("hits", ("P", "K", "L")).alias("w")).first().w and not hits.select(spans.waived("hits", ("P",)).alias("w")).first().w
+def test_triples(spark):
     sizes = spark.createDataFrame([([1, 2, 3, 3, 2, 1, 1],), ([4, 1, 1],), ([],)], "s array<int>")
     assert [r.n for r in sizes.select(spans.triples("s").alias("n")).collect()] == [2, 0, 0]
 
