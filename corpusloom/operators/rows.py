@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closure import follow
+
 # The canonical fields with their headers, first matches first.
 SYNONYMS = {
     "author": ("author", "name", "poster", "creator", "author name", "full name", "display name", "writer", "by"),
@@ -114,24 +116,25 @@ def accepted_batch(rows: DataFrame, required: tuple[str, ...] = ("text", "author
     return checked.drop("problems").join(F.broadcast(bad), F.col("bad") == 0).drop("bad")
 
 
-def assign_splits(posts: DataFrame, modulo: int = 4, per_platform: int = 4, never: tuple[str, ...] = (), rounds: int = 64) -> DataFrame:
+def assign_splits(posts: DataFrame, modulo: int = 4, per_platform: int = 4, never: tuple[str, ...] = ()) -> DataFrame:
     """WN-13: posts (post_id, sha, platform, author, own, link) with split.
 
-    Own posts are `self`; others are held out by their hash, except the never-held authors. A linked post has the split
-    of the post it names, along the whole chain. A platform with too few held-out posts takes its train posts of the least hash.
+    Own posts are `self`; others are held out by their hash, except the never-held authors. A linked post has the split of the post at the end of its chain
+    of links; an own post ends a chain, and so does one whose link names no post. Posts on a circle of links keep their own. A platform with too few held-out
+    posts takes its train posts of the least hash.
     """
-    first = F.when(F.col("own"), "self").when(F.col("author").isin(*never) if never else F.lit(False), "train")
+    held_never = F.col("author").isin(*never) if never else F.lit(False)
+    first = F.when(F.col("own"), "self").when(held_never, "train")
     first = first.otherwise(F.when(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long") % modulo == 0, "heldout").otherwise("train"))
-    named = posts.select(F.col("post_id").alias("there"), F.when(~F.col("own"), F.col("link")).alias("next"), first.alias("there_split"))
-    rows = posts.withColumn("split", first).withColumn("at", F.when(~F.col("own"), F.col("link")))
-    for _ in range(rounds):
-        if not rows.where("at is not null").limit(1).count():
-            break
-        met = rows.join(named, F.col("at") == F.col("there"), "left")
-        onward = F.when(F.col("next") != F.col("post_id"), F.col("next"))
-        rows = met.withColumn("split", F.coalesce("there_split", "split")).withColumn("at", onward).drop("there", "next", "there_split")
-        rows = rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
-    held = F.count_if(F.col("split") == "heldout").over(Window.partitionBy("platform"))
-    free = (F.col("split") == "train") & F.col("link").isNull() & ~(F.col("author").isin(*never) if never else F.lit(False))
-    place = F.row_number().over(Window.partitionBy("platform", free).orderBy("sha", "post_id"))
-    return rows.withColumn("split", F.when(free & (place <= per_platform - held), "heldout").otherwise(F.col("split"))).drop("at")
+    links = posts.where(~F.col("own")).select(F.col("post_id").alias("id"), F.col("link").alias("next"))
+    known = links.join(posts.select(F.col("post_id").alias("next")), "next", "left_semi")
+    ends = follow(known).where("depth > 0").select(F.col("id").alias("post_id"), "root")
+    named = posts.select(F.col("post_id").alias("root"), first.alias("root_split"))
+    rows = posts.join(ends, "post_id", "left").join(named, "root", "left").withColumn("split", F.coalesce("root_split", first)).drop("root", "root_split")
+    # the least hashes of a platform are found before the shuffle, as their number is a constant
+    free = rows.where((F.col("split") == "train") & F.col("link").isNull() & ~F.coalesce(held_never, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("platform").orderBy("sha", "post_id"))
+    spare = free.select("post_id", "platform", "sha").withColumn("place", place).where(F.col("place") <= per_platform)
+    held = rows.groupBy("platform").agg(F.count_if(F.col("split") == "heldout").alias("held"))
+    moved = spare.join(held, "platform").where(F.col("place") <= per_platform - F.col("held")).select("post_id", F.lit(True).alias("moved"))
+    return rows.join(moved, "post_id", "left").withColumn("split", F.when(F.col("moved"), "heldout").otherwise(F.col("split"))).drop("moved").select(*posts.columns, "split")

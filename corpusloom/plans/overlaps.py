@@ -78,11 +78,6 @@ select conv_id, turn, @size(g) as n, case when @size(g) + @size(p) = 0 then 0.0
     "reference_union": """select 'corpus' as ref_kind, doc_id as ref_id, @size(@words(text)) as n from documents where text is not null
 union all select 'benchmark', item_id, @size(@words(text)) from benchmark
 union all select 'turn', conv_id * 1000 + turn, @size(@words(text)) from conversations""",
-    # JN-11: transitive exclusion over links (each part to its supplier's least part): all that share a root exclude one another.
-    "exclusion_closure": """with recursive links as (select p_partkey as a, @idiv(p_partkey, 3) as b from part where p_partkey % 5 != 0),
-walk as (select p_partkey as id, p_partkey as node, 0 as depth from part union all select w.id, l.b, w.depth + 1 from walk w join links l on w.node = l.a),
-roots as (select id, min(node) as root, max(depth) as depth from walk group by id)
-select id, root, depth, count(*) over (partition by root) - 1 as excluded from roots""",
     # JN-19: ids without a match, and fields out of range, as one table of problems.
     "referential_lint": """select o_orderkey as id, 'customer' as field, 'unknown id' as problem from orders o left join customer c on o.o_custkey = c.c_custkey where c.c_custkey is null
 union all select doc_id, 'label', 'no such document' from labels where doc_id not in (select doc_id from documents where doc_id is not null)
@@ -99,13 +94,6 @@ select l.doc_id, r.run, r.round, round(r.score, 6) as score from labels l join r
     "delivery": """select o.o_orderkey as id, coalesce(c.c_name, 'none') as name, n.n_name as nation, coalesce(l.n, 0) as lines, coalesce(l.flagged, 0) as flagged
 from orders o left join customer c on o.o_custkey = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey
 left join (select l_orderkey, count(*) as n, count_if(l_returnflag = 'R') as flagged from lineitem group by l_orderkey) l on o.o_orderkey = l.l_orderkey""",
-    # JN-18: aliases to their canonical entries, stub chains followed; a chain that comes back to itself has no canonical entry.
-    "aliases": """with recursive e as (select n_nationkey as id, case when n_nationkey % 4 = 0 then null when n_nationkey = 21 then 23 else n_nationkey - 1 end as merged_into from nation),
-w as (select id, id as node, '/' || @text(id) || '/' as path from e union all select w.id, e.merged_into, w.path || @text(e.merged_into) || '/' from w join e on w.node = e.id where e.merged_into is not null and not contains(w.path, '/' || @text(e.merged_into) || '/'))
-select w.id, min(w.node) as canonical, max(length(w.path)) as path_length from w join e on w.node = e.id and e.merged_into is null group by w.id""",
-    # JN-23: rewrites and what supersedes them.
-    "rewrite_chain": """select a.conv_id, a.turn, a.role, b.turn as rewrite_of, c.turn as superseded_by from conversations a
-left join conversations b on a.conv_id = b.conv_id and a.role = b.role and b.turn = a.turn - 2 left join conversations c on a.conv_id = c.conv_id and a.role = c.role and c.turn = a.turn + 2""",
     # FLT-04, FLT-05: fillers that are not excluded, and rows that nobody asked for.
     "contamination_filter": """select s.doc_id, s.quality from labels s where exists (select 1 from documents d where d.doc_id = s.doc_id and d.lang = 'en') and not exists (select 1 from benchmark b where b.item_id = s.doc_id)""",
 }
