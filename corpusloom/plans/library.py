@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from ..operators import checks, compare, features, rows, spans, tables
+from ..operators import checks, compare, features, materialise, rows, spans, tables
+from ..sources.store import shared_path
 from ..sources.tables import table
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,17 @@ def inherited_splits(spark, sf_dir):
     return rows.assign_splits(_posts(spark, sf_dir).drop("text"), never=("src3",)).select("post_id", "split")
 
 
+def feature_store(spark, sf_dir):
+    """SNK-06: features after a second run in which some texts have changed: only those are computed again."""
+    posts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("post_id"), F.lit("train").alias("split"), "text")
+    changed = posts.withColumn("text", F.when(F.col("post_id") % 7 == 3, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    path = shared_path(spark, "features")
+    for batch in (posts, changed):
+        materialise.update_features(batch, path, lambda df: df.withColumn("n_words", words))
+    return materialise.current_features(changed, path).select("post_id", "n_words", "batch")
+
+
 def fragment_triples(spark, sf_dir):
     """WN-09: triples of short sentences."""
     words = F.transform(F.split("text", r"[.!?]\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
@@ -172,7 +184,7 @@ def merged_verdicts(spark, sf_dir):
     return found.select("cid", F.array_join("hard_fails", ",").alias("hard_fails"), F.array_join("soft_fails", ",").alias("soft_fails"), "splits", "status")
 
 
-QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries, merged_verdicts)}
+QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, feature_store, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries, merged_verdicts)}
 
 _PLAIN = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '„', '\"'), '‘', ''''), '’', ''''), '‚', ''''), '—', '-'), '–', '-'), '―', '-'), '…', '...'), chr(160), ' ')"
 
@@ -195,6 +207,8 @@ s as (select f.*, (select arg_min(w.split, coalesce(w.at, -1)) from w where w.id
 c as (select *, split = 'train' and link is null and author != 'src3' as free, count(*) filter (split = 'heldout') over (partition by platform) as held from s),
 k as (select *, row_number() over (partition by platform, free order by sha, id) as k from c)
 select id as post_id, case when free and k <= 4 - held then 'heldout' else split end as split from k""",
+    "feature_store": """select doc_id as post_id, len(list_filter(string_split(text, ' '), lambda w: w != '')) + (doc_id % 7 = 3)::int as n_words, 1 + (doc_id % 7 = 3)::int as batch
+from documents where text is not null""",
     "pools": """with b as (select case when length(text) <= 280 and not contains(text, chr(10)) then 'x' else 'linkedin' end as platform, count(*) filter (doc_id % 4 != 0) as train, count(*) filter (doc_id % 4 = 0) as held from documents where text is not null group by 1)
 select platform, case when (select sum(train) from b) < 24 or train between 1 and 5 or held = 0 then 'train' else 'heldout' end as pool from b""",
     "profile_versions": "select n_name as scope, n_regionkey::varchar as content, 1 as version from nation union all select n_name, 'new', 2 from nation where n_nationkey % 3 = 0",

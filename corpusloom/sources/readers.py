@@ -82,6 +82,78 @@ def split_front_matter(text: str) -> tuple[dict[str, str], str]:
     return {x[1]: x[2].strip().strip("\"'") for x in found if x}, m[2]
 
 
+def _scalar(value: str) -> str:
+    """A plain or quoted value; the rest of the line behind ` #` is a comment."""
+    value = value.strip()
+    if value[:1] in ("'", '"'):
+        end = value.find(value[0], 1)
+        return value[1:end] if end > 0 else value[1:]
+    value = re.split(r"\s#", value)[0].strip()
+    return "" if value in ("~", "null") else value
+
+
+def _flow(value: str) -> list[str] | None:
+    """The items of `[a, "b, c"]`."""
+    if not (value.startswith("[") and value.endswith("]")):
+        return None
+    return [_scalar(x) for x in re.findall(r"""\s*("[^"]*"|'[^']*'|[^,]+)""", value[1:-1]) if x.strip()]
+
+
+def nested_matter(text: str) -> tuple[dict[str, str], str]:
+    """SRC-05: front matter with nested keys dotted (`lineage.rewrite_of`), lists as JSON arrays, and maps in lists numbered (`beats.0.lines`).
+
+    Indented maps, lists of `- ` items, `[a, b]` and text blocks after `|` and `>` are read; anchors and tags are not.
+    """
+    m = re.match(r"\ufeff?---[ \t]*\n(.*?)\n---[ \t]*(?:\n|$)\n?(.*)", text.replace("\r\n", "\n"), re.DOTALL)
+    if not m:
+        return {}, text
+    out: dict[str, str] = {}
+    lists: dict[str, list[str]] = {}
+    counts: dict[str, int] = {}
+    above: list[tuple[int, str]] = [(-1, "")]  # indents and the keys that stand over what is further in
+    lines = m[1].split("\n")
+    at = 0
+    while at < len(lines):
+        line = lines[at]
+        at += 1
+        body = line.strip()
+        if not body or body.startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        if body.startswith("- ") or body == "-":
+            while above[-1][0] > indent or (above[-1][0] == indent and above[-1][1].rpartition(".")[2].isdigit()):
+                above.pop()
+            holder, item = above[-1][1], body[1:].strip()
+            if re.match(r"[\w .\-]+:(\s|$)", item):
+                counts[holder] = counts.get(holder, -1) + 1
+                above.append((indent, f"{holder}.{counts[holder]}"))
+                indent, body = indent + len(body) - len(item), item
+            else:
+                lists.setdefault(holder, []).append(_scalar(item))
+                continue
+        else:
+            while above[-1][0] >= indent:
+                above.pop()
+        found = re.match(r"([\w .\-]+?)\s*:(?:\s+(.*))?$", body)
+        if not found:
+            continue
+        prefix = above[-1][1]
+        key, value = f"{prefix}.{found[1]}" if prefix else found[1], (found[2] or "").strip()
+        if value[:1] in ("|", ">") and len(value) <= 2:
+            block = []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > indent):
+                block.append(lines[at].strip())
+                at += 1
+            out[key] = ("\n" if value[0] == "|" else " ").join(block).strip()
+        elif not value or value.startswith("#"):
+            above.append((indent, key))
+        elif (items := _flow(value)) is not None:
+            lists.setdefault(key, []).extend(items)
+        else:
+            out[key] = _scalar(value)
+    return out | {k: json.dumps(v, ensure_ascii=False) for k, v in lists.items()}, m[2]
+
+
 def markdown_blocks(text: str, known: frozenset[str]) -> Iterator[tuple[dict[str, str], str]]:
     """SRC-03: blocks between lines of `---`, each with its header lines (`key: value`) and the text below.
 
@@ -118,7 +190,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [split_front_matter(v) for v in batch["value"]]
+            parts = [nested_matter(v) for v in batch["value"]]
             paths = [p.rsplit("/", 2) for p in batch["path"]]
             yield pd.DataFrame({"split": [p[1] for p in paths], "file": [p[2] for p in paths], "meta": [m for m, _ in parts], "text": [t.rstrip("\n") for _, t in parts]})
 
