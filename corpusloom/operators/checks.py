@@ -1,12 +1,12 @@
-"""Checks of candidates as a long table, their downgrade by base rates, their summary, and the verdict over judge rows."""
+"""Checks of candidates as a long table, their downgrade by base rates, and their summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
 from .features import sentences, words
+from .verdict import needs_action
 
 # The checks in their order with their classes.
 CLASSES = {
@@ -82,15 +82,10 @@ def check_table(candidates: DataFrame, rules: dict[str, list[dict]]) -> DataFram
     return candidates.select("cid", F.explode(F.array(*rows)).alias("c")).select("cid", "c.*").withColumn("place", order)
 
 
-def needs_action(pass_: Column, class_: Column, flag: Column) -> Column:
-    """FLT-02: it fails, or it is a flag that is up."""
-    return ~F.coalesce(pass_, F.lit(True)) | ((class_ == "flag") & F.coalesce(flag, F.lit(False)))
-
-
 def downgraded(checks: DataFrame, base_rates: DataFrame, applies: tuple[str, ...], never: tuple[str, ...] = (), limit: float = 0.25) -> DataFrame:
     """FLT-06: checks whose base rate in the corpus is strictly over the limit: hard becomes flag, soft advisory. A check that has a class_original is done already."""
     checks = checks if "class_original" in checks.columns else checks.withColumn("class_original", F.lit(None).cast("string"))
-    joined = checks.drop("base_rate").join(F.broadcast(base_rates.select("check_id", "base_rate").limit(len(CLASSES))), "check_id", "left")
+    joined = checks.drop("base_rate").join(base_rates.groupBy("check_id").agg(F.max("base_rate").alias("base_rate")), "check_id", "left")
     goes = F.col("check_id").isin(*applies) & ~F.col("check_id").isin(*never, "") & (F.col("base_rate") > limit) & F.col("class_original").isNull()
     lower = F.when(F.col("class") == "hard", "flag").when(F.col("class") == "soft", "advisory").otherwise(F.col("class"))
     out = joined.withColumn("goes", F.coalesce(goes, F.lit(False))).withColumn("class_original", F.when(F.col("goes"), F.col("class")).otherwise(F.col("class_original")))
@@ -99,64 +94,12 @@ def downgraded(checks: DataFrame, base_rates: DataFrame, applies: tuple[str, ...
 
 
 def summary(checks: DataFrame) -> DataFrame:
-    """FLT-03, FLT-07: per candidate the checks that ask for action, by class. Checks that never gate alone are advisory where nothing else gates."""
+    """FLT-03, FLT-07: per candidate the checks that ask for action, by class. Checks that never gate alone are advisory where no other check gates (verdict.merge() looks at all tiers)."""
     acts = needs_action(F.col("pass"), F.col("class"), F.col("flag"))
     of = lambda c: F.array_sort(F.collect_list(F.when(acts & (F.col("class") == c), F.struct("place", "check_id"))))
     lists = checks.groupBy("cid").agg(*(of(c).alias(c) for c in ("hard", "soft", "flag", "advisory")))
     named = lists.select("cid", *(F.transform(c, lambda x: x["check_id"]).alias(c) for c in ("hard", "soft", "flag", "advisory")))
-    alone = (F.size("hard") + F.size("soft") > 0) & (F.size(F.array_except(F.concat("hard", "soft"), F.array(*map(F.lit, NOT_ALONE)))) == 0)
+    gating = F.concat("hard", "soft", "flag")
+    alone = (F.size(gating) > 0) & (F.size(F.array_except(gating, F.array(*map(F.lit, NOT_ALONE)))) == 0)
     empty = F.array().cast("array<string>")
-    return named.select("cid", F.when(alone, empty).otherwise(F.col("hard")).alias("hard"), F.when(alone, empty).otherwise(F.col("soft")).alias("soft"), "flag", F.when(alone, F.concat("advisory", "hard", "soft")).otherwise(F.col("advisory")).alias("advisory"))
-
-
-def verdicts(summaries: DataFrame, judgements: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """AG-18: the status of each candidate from its checks and its judge rows.
-
-    summaries are those of summary(). judgements: cid, dimension, seat (0 the judge, 1 and 2 the jury), order, score (null
-    for a row that was rejected). thresholds: dimension, class (hard or soft), threshold. The first acceptable row of a seat
-    counts. Without one, two rejections make a hard dimension a hold and a soft one not available, one a rerun, none pending.
-    A jury of two or more further votes decides by the median; two or more apart is a split. Status, the first that holds:
-    hold, needs_your_call (something pending, or two soft dimensions not available), pass, fail.
-    """
-    seat = Window.partitionBy("cid", "dimension", "seat").orderBy(F.col("score").isNull(), "order")
-    first = judgements.withColumn("k", F.row_number().over(seat)).where("k = 1")
-    votes = first.groupBy("cid", "dimension").agg(F.array_sort(F.collect_list("score")).alias("votes"), F.max(F.when(F.col("seat") == 0, F.col("score"))).alias("own"))
-    rejected = judgements.where("score is null and seat = 0").groupBy("cid", "dimension").agg(F.count("*").alias("rejected"))
-    asked = summaries.select("cid").crossJoin(F.broadcast(thresholds.limit(1000)))  # a row for each candidate and dimension
-    rows = asked.join(votes, ["cid", "dimension"], "left").join(rejected, ["cid", "dimension"], "left").fillna(0, ["rejected"])
-    n = F.coalesce(F.size("votes"), F.lit(0))
-    middle = (F.try_element_at("votes", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("votes", F.ceil((n + 1) / 2).cast("int"))) / 2
-    score = F.when(n >= 3, middle).when((n >= 1) & F.col("own").isNotNull(), F.col("own").cast("double")).when(n >= 2, middle)
-    state = F.when(score.isNotNull(), F.when(score >= F.col("threshold"), "ok").otherwise("short")).when((F.col("rejected") >= 2) & (F.col("class") == "hard"), "hold").when(F.col("rejected") >= 2, "na").when(F.col("rejected") == 1, "rerun").otherwise("pending")
-    rows = rows.withColumn("state", state).withColumn("split", (n >= 2) & (F.array_max("votes") - F.array_min("votes") >= 2))
-    count = lambda s, c=None: F.count_if((F.col("state") == s) & (F.col("class") == c if c else F.lit(True)))
-    short = lambda c: F.array_sort(F.collect_list(F.when((F.col("state") == "short") & (F.col("class") == c), F.col("dimension"))))
-    judged = rows.groupBy("cid").agg(count("hold").alias("holds"), count("na").alias("na"), (count("rerun") + count("pending")).alias("open"), short("hard").alias("hard_dimensions"), short("soft").alias("soft_dimensions"), F.count_if("split").alias("splits"))
-    out = summaries.join(judged, "cid", "left")
-    fails = F.size("hard") + F.size("soft") + F.coalesce(F.size("hard_dimensions"), F.lit(0)) + F.coalesce(F.size("soft_dimensions"), F.lit(0))
-    skipped = (F.size("hard") > 0) & judged_nothing()
-    status = F.when(F.col("holds") > 0, "hold").when(~skipped & ((F.col("open") > 0) | (F.col("na") >= 2)), "needs_your_call").when(fails == 0, "pass").otherwise("fail")
-    return out.select("cid", F.concat("hard", F.col("hard_dimensions")).alias("hard_fails"), F.concat("soft", F.col("soft_dimensions")).alias("soft_fails"), F.col("flag").alias("flags"), F.coalesce("splits", F.lit(0)).alias("splits"), status.alias("status"))
-
-
-def judged_nothing() -> Column:
-    """No judge row came: with a hard check failing the judges were left out, so nothing is pending."""
-    return (F.size("hard_dimensions") + F.size("soft_dimensions") + F.col("na") + F.col("holds") == 0) & (F.col("splits") == 0)
-
-
-def stops(rounds: DataFrame) -> DataFrame:
-    """2.11.3, step 8: why a candidate's rewriting stops, from its rounds (cid, round, hard, soft, overlap, gates): the first of regression, overlap_persistent, oscillation, spent_gate.
-
-    Regression: more hard fails than the round before, twice. Overlap: an overlap fails in two rounds in a row. Oscillation:
-    the failing set is that of two rounds before but not of the one before. Spent gate: a gate passed, then failed.
-    """
-    by = Window.partitionBy("cid").orderBy("round")
-    past = by.rowsBetween(Window.unboundedPreceding, -1)
-    all_ = F.concat("hard", "soft")
-    rows = rounds.withColumn("failing", F.array_sort(all_)).withColumn("worse", F.coalesce(F.size("hard") > F.lag(F.size("hard")).over(by), F.lit(False)))
-    rows = rows.withColumn("regression", F.count_if("worse").over(by) >= 2).withColumn("overlap_persistent", F.col("overlap") & F.coalesce(F.lag("overlap").over(by), F.lit(False)))
-    rows = rows.withColumn("oscillation", F.coalesce((F.size("failing") > 0) & (F.lag("failing", 2).over(by) == F.col("failing")) & (F.lag("failing").over(by) != F.col("failing")), F.lit(False)))
-    passed = F.flatten(F.collect_list(F.array_except("gates", F.col("failing"))).over(past))
-    rows = rows.withColumn("spent_gate", F.size(F.array_intersect(F.coalesce(passed, F.array().cast("array<string>")), F.array_intersect("hard", "gates"))) > 0)
-    reason = F.coalesce(*(F.when(F.col(c), c) for c in ("regression", "overlap_persistent", "oscillation", "spent_gate")))
-    return rows.withColumn("reason", reason).where("reason is not null").groupBy("cid").agg(F.min_by("reason", "round").alias("reason"), F.min("round").alias("round"))
+    return named.select("cid", F.when(alone, empty).otherwise(F.col("hard")).alias("hard"), F.when(alone, empty).otherwise(F.col("soft")).alias("soft"), F.when(alone, empty).otherwise(F.col("flag")).alias("flag"), F.when(alone, F.concat("advisory", gating)).otherwise(F.col("advisory")).alias("advisory"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basics, library, links, measures, overlaps, scalars, wording
+from . import basics, library, links, measures, overlaps, scalars, verdicts, wording
 
-MODULES = [basics, overlaps, measures, scalars, library, links, wording]
+MODULES = [basics, overlaps, measures, scalars, library, links, wording, verdicts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -173,18 +173,7 @@ def check_summaries(spark, sf_dir):
     return out.select("cid", *(F.array_join(c, ",").alias(c) for c in ("hard", "soft", "flag", "advisory")))
 
 
-def merged_verdicts(spark, sf_dir):
-    """AG-18: verdicts of documents from their checks and judge rows."""
-    summaries = checks.summary(checks.check_table(_candidates(spark, sf_dir), CHECK_RULES))
-    events = table(spark, sf_dir, "events")
-    score = F.when(F.col("event_id") % 5 > 0, 1 + F.col("event_id") % 6)
-    judged = events.select((F.col("event_id") % 500).alias("cid"), F.col("event_type").alias("dimension"), (F.col("user_id") % 3).alias("seat"), F.col("event_id").alias("order"), score.alias("score"))
-    limits = events.groupBy(F.col("event_type").alias("dimension")).agg(F.lit(3.0).alias("threshold")).withColumn("class", F.when(F.col("dimension") == "view", "hard").otherwise("soft"))
-    found = checks.verdicts(summaries, judged, limits)
-    return found.select("cid", F.array_join("hard_fails", ",").alias("hard_fails"), F.array_join("soft_fails", ",").alias("soft_fails"), "splits", "status")
-
-
-QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, feature_store, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries, merged_verdicts)}
+QUERIES = {f.__name__: f for f in (canonical_text, x_lengths, folds, author_slugs, normal_rows, media_states, problem_rows, inherited_splits, feature_store, fragment_triples, common_strings, published_edits, lessons, exemplars, voices, pools, profile_versions, performance_log, calibration_log, feature_groups, check_rows, check_summaries)}
 
 _PLAIN = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '„', '\"'), '‘', ''''), '’', ''''), '‚', ''''), '—', '-'), '–', '-'), '―', '-'), '…', '...'), chr(160), ' ')"
 
