@@ -19,8 +19,10 @@ SHAPES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier: a word with a digit or an at sign, with the words behind it that begin like a number.
-CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]{0,3}+[0-9]\S*+)*+"
+#: What may be an identifier: a word with a digit or an at sign, with the words behind it that begin like a number. Quotes, brackets and markup end it.
+_INSIDE = r"[^\s\"'`<>{}\[\]|#*]"
+_PLAIN = r"[^\s\"'`<>{}\[\]|#*0-9@]"
+CANDIDATE = rf"(?:\G|(?<!{_INSIDE})){_PLAIN}*+[0-9@]{_INSIDE}*+(?:\x20{_PLAIN}{{0,3}}+[0-9]{_INSIDE}*+)*+"
 
 #: A seed of a secret: 32 or more hexadecimal digits, some of them letters and some not.
 HEX = "^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
@@ -29,8 +31,10 @@ BEFORE, BEHIND = "\"'`*_<[{(", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 ROUNDS = 3
 CONFIDENT = 0.75
-SUPPORT = 3  # distinct instances behind a pattern
+SUPPORT = 5  # distinct instances behind a pattern
 DIGITS = 5  # of an identifier that only its context shows
+LONG = 16  # characters of a secret that only its context shows; it needs a digit
+BLOCK = 1024  # characters of a text that are cut together
 
 
 def _digits(c: Column) -> Column:
@@ -86,7 +90,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _contexts(gap: Column, rest: Column) -> Column:
     """The lexical patterns around a match: one and two words on either side, and the nearest of both sides."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    words = lambda c: F.filter(F.split(F.translate(F.lower(c), "\"'`", ""), r"\s+"), lambda w: w != "")
     left, right = words(gap), words(F.coalesce(rest, F.lit("")))
     last = lambda n: F.when(F.size(left) >= n, F.array_join(F.slice(left, -n, n), " "))
     first = lambda n: F.when(F.size(right) >= n, F.array_join(F.slice(right, 1, n), " "))
@@ -138,15 +142,27 @@ def all_spans(docs: DataFrame) -> DataFrame:
     base = stage(base_spans(docs), "base")
     found = stage(candidates(docs), "candidates")
     patterns = confident_patterns(found)
-    unseen = found.where("kind is null").drop("kind").where(F.length(_digits(F.col("token"))) >= DIGITS)
+    unseen = found.where("kind is null").drop("kind").withColumns({"digits": F.length(_digits(F.col("token"))), "size": F.length("token")})
     seen = unseen.withColumn("pattern", F.explode("patterns")).join(patterns, "pattern")
-    by_context = seen.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
+    seen = seen.where((F.col("digits") >= DIGITS) | ((F.col("kind") == SECRET) & (F.col("size") >= LONG) & ~F.contains("token", F.lit(" "))))
+    named = seen.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
+    by_context = _apart(named, base)
     secrets = found.where(F.col("kind") == SECRET).select("doc_id", "h", "start", "end", "kind")
-    # A candidate without a shape can't hold a base span, but the kinds' spans are kept apart from it all the same.
     new = by_context.unionByName(secrets).select("doc_id", "h", "kind", "start", "end").join(base, ["doc_id", "h", "kind", "start", "end"], "left_anti")
     return base.withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
 
 
+def _apart(new: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows of new (doc_id, h, kind, start, end) that share no character with a row of base: base rows' reach before them and their beginnings behind."""
+    rows = new.withColumn("old", F.lit(False)).unionByName(base.select("doc_id", "h", "kind", "start", "end").withColumn("old", F.lit(True)))
+    order = Window.partitionBy("doc_id", "h").orderBy("start", "old", "end", "kind")
+    reach = F.max(F.when(F.col("old"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("doc_id", "h").orderBy(F.desc("start"), F.desc("old"), F.desc("end"), F.desc("kind"))  # a frame that ends with the group costs its square
+    next_ = F.min(F.when(F.col("old"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    told = rows.withColumns({"reach": reach, "next": next_}).where("not old")
+    return told.where("coalesce(reach <= start, true) and coalesce(next >= end, true)").select("doc_id", "h", "start", "end", "kind")
+
+
 def _rank(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), kind)
 
@@ -161,8 +177,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Every expression is a DataFrame function. Only documents with a digit or an at sign are searched, and of them only
     matches with their places are shuffled, not texts. Candidates that hold a shape, and hexadecimal secrets, seed the
     contexts: one and two words on either side are patterns, patterns and instances score each other for three rounds,
-    and confident patterns name candidates of five digits or more that nothing seeds. Secrets and what contexts name are
-    added to spans under their kind. Null is the empty text, which has no span; very long texts and tokens cost linear
+    and confident patterns name candidates of five digits or more (a secret: of 16 characters) that nothing seeds and that
+    share no character with a shape. Secrets and what contexts name are added to spans under their kind. Null is the empty text, which has no span; very long texts and tokens cost linear
     time; spans of rows equal in id and text are found once and given to each; extra columns are not looked at.
     """
     rows = keyed(docs)
@@ -190,7 +206,16 @@ def masked(docs: DataFrame) -> DataFrame:
     id_, hash_, cuts = unused_names(docs, "pii_id", "pii_hash", "pii_cuts")
     cut = merged.withColumn("from", before).groupBy(F.col("doc_id").alias(id_), F.col("h").alias(hash_)).agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "kind"))).alias(cuts))
     joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(hash_)), "left")
-    pieces = F.transform(cuts, lambda c: F.concat(F.substring(F.col("text"), c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]")))
-    tail = F.substring(F.col("text"), F.element_at(cuts, -1)["end"].cast("int") + 1, F.length("text"))
+    # A substring is sought from the text's beginning, so texts are cut in blocks first: a piece costs its own length and a block at most.
+    (blocks,) = unused_names(joined, "pii_blocks")
+    joined = joined.withColumn(blocks, F.when(F.col(cuts).isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+    def between(low: Column, high: Column) -> Column:
+        first = F.floor(low / BLOCK).cast("int")
+        near = F.array_join(F.slice(F.col(blocks), first + 1, F.greatest(F.floor((high - 1) / BLOCK).cast("int") - first + 1, F.lit(0))), "")
+        return F.substring(near, (low - first * BLOCK + 1).cast("int"), (high - low).cast("int"))
+
+    pieces = F.transform(cuts, lambda c: F.concat(between(c["from"], c["start"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    tail = between(F.element_at(cuts, -1)["end"], F.length("text").cast("long"))
     text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -305,6 +305,45 @@ def test_contexts_on_both_sides_and_secrets(spark):
     assert found[3].spans == found[4].spans == ""
 
 
+def test_contexts_find_secrets_of_other_shapes(spark):
+    """Planted tokens without a shape are found by what stands around them; numbers elsewhere and glued cards are left alone."""
+    key = lambda k: "".join(random.Random(k).choice("GHJKLMNPQRSTUVWXYZ") for _ in range(20)) + str(k)
+    rows = [(k, f'set api token = "{hashlib.md5(str(k).encode()).hexdigest()}"### 4785380592391139 and go') for k in range(40)]
+    planted = {100 + k: f'set api token = "{key(k)}" and go' for k in range(10)}
+    clean = {200 + k: f"order {10_000_000 + k * 7} of the year and set 2{k:05} pieces" for k in range(30)} | {300: 'token = "short7"', 301: "set api token = none"}
+    found = by_id(pii.personal_data(spark.createDataFrame(rows + list((planted | clean).items()), "doc_id long, text string")))
+    for k, text in rows:
+        secret = text.index('"') + 1
+        assert found[k].spans.startswith(f"secret:{secret}:{secret + 32}") and found[k].n_found == 1
+    assert {k: found[k].spans for k in planted} == {k: f"secret:17:{17 + len(key(k - 100))}" for k in planted}
+    assert all(found[k].spans == "" for k in clean)
+
+
+def test_masked_text_is_the_text_cut_at_its_spans(spark):
+    r = random.Random(9)
+    pieces = ["a1@b.co", "10.0.0.1", "+1 (644) 555-7859", "word", "é😀", " ", "\n", "x" * 1023, "y" * 1024, "z" * 3000, ". "]
+    rows = [(k, "".join(r.choice(pieces) + r.choice(["", " "]) for _ in range(r.randint(1, 30)))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {x.doc_id: [s.split(":") for s in x.spans.split(",") if s] for x in pii.personal_data(docs).collect()}
+    masked = {x.doc_id: x.text for x in pii.masked(docs).collect()}
+    for k, text in rows:
+        out, end = "", 0
+        for kind, low, high in ((s[0], int(s[1]), int(s[2])) for s in spans[k]):
+            if low < end:
+                end = max(end, high)
+                continue
+            out += text[end:low] + f"[{kind.upper()}]"
+            end = high
+        assert masked[k] == out + text[end:]
+
+
+def test_many_spans_are_linear(spark):
+    docs = spark.createDataFrame([(1, "a1@b.co é " * 60_000)], "doc_id long, text string")
+    began = time.time()
+    assert pii.masked(docs).first().text == "[EMAIL] é " * 60_000
+    assert time.time() - began < 60
+
+
 def test_long_tokens_are_linear(spark):
     rows = [(1, "1" + "." * 1_000_000 + "x " + "@." * 200_000), (2, "7" * 300_000), (3, "+" + "(" * 500_000 + "9"), (4, "a" * 500_000 + "@" + "b." * 300_000)]
     docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, _id long, pii_hash long, _cuts long")
