@@ -276,7 +276,8 @@ def perplexities(docs: DataFrame, parts: list[tuple[str, int, int, int]], n_name
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang, text and held (a quarter of the ids, by hash) of documents that are labelled good and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(good, "doc_id", "left_semi")
+    # the labels grow with the documents, so the join is the same at every size
+    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(good.hint("merge"), "doc_id", "left_semi")
     return rows.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"))
 
 
