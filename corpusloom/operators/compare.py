@@ -97,13 +97,20 @@ def edits(pairs: DataFrame, draft: str = "draft", live: str = "live") -> DataFra
 def closest(candidates: DataFrame, exemplars: DataFrame, n: int = 2) -> DataFrame:
     """JN-15: the n exemplars of each candidate that agree in most of archetype, hook and ending, then by Jaccard of words, then by id.
 
-    Both have id, archetype, hook, ending and words (an array). Pairs are those that agree in a field at least.
+    Both have id, archetype, hook, ending and words (an array). Exemplars that agree in a field come first; a candidate that has fewer than n of them takes
+    those that share a word, and then the first by id, of which 2 n are enough.
     """
     fields = ("archetype", "hook", "ending")
     sides = [df.select(F.col("id").alias(f"{x}_id"), F.col("words").alias(f"{x}_words"), *(F.col(f).alias(f"{x}_{f}") for f in fields)) for df, x in ((candidates, "c"), (exemplars, "e"))]
-    tagged = [s.withColumn("on", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"{x}_{f}").alias("v")) for f in fields)))) for s, x in zip(sides, "ce", strict=True)]
-    met = tagged[0].join(tagged[1], "on").dropDuplicates(["c_id", "e_id"])
-    same = sum((F.col(f"c_{f}") == F.col(f"e_{f}")).cast("int") for f in fields)
+    tagged = [s.select(f"{x}_id", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"{x}_{f}").alias("v")) for f in fields))).alias("on")).where("on.v is not null") for s, x in zip(sides, "ce", strict=True)]
+    alike = tagged[0].join(tagged[1], "on").select("c_id", "e_id").distinct()
+    few = sides[0].select("c_id", "c_words").join(alike.groupBy("c_id").count().where(F.col("count") >= n), "c_id", "left_anti")
+    by_word = [few.select("c_id", F.explode(F.array_distinct("c_words")).alias("word")), sides[1].select("e_id", F.explode(F.array_distinct("e_words")).alias("word"))]
+    shared = by_word[0].join(by_word[1], "word").select("c_id", "e_id").distinct()
+    first = sides[1].select("e_id").distinct().orderBy("e_id").limit(2 * n).agg(F.collect_list("e_id").alias("ids"))
+    rest = few.select("c_id").crossJoin(first).select("c_id", F.explode("ids").alias("e_id"))
+    met = alike.unionByName(shared).unionByName(rest).distinct().join(sides[0], "c_id").join(sides[1], "e_id")
+    same = sum(F.coalesce((F.col(f"c_{f}") == F.col(f"e_{f}")).cast("int"), F.lit(0)) for f in fields)
     both = F.size(F.array_union("c_words", "e_words"))
     jaccard = F.when(both > 0, F.size(F.array_intersect("c_words", "e_words")) / both).otherwise(0.0)
     ranked = met.withColumn("same", same).withColumn("jaccard", jaccard)
