@@ -26,22 +26,75 @@ def _grams(df: DataFrame, name: str, text: str, k: int) -> DataFrame:
     return df.select(name, F.explode(hashes(text)).alias("gram"))
 
 
+class Substrings:
+    """All substrings of a text in one automaton: a text streams past it in linear time, whatever repeats in either."""
+
+    def __init__(self, text: str):
+        # state 0 is the empty string; each state has its longest string's size, the state of its longest other suffix, and where it first ends
+        self.size, self.link, self.end, self.go = [0], [-1], [0], [{}]
+        last = 0
+        for i, c in enumerate(text):
+            new = len(self.size)
+            self.size.append(self.size[last] + 1)
+            self.link.append(0)
+            self.end.append(i + 1)
+            self.go.append({})
+            at = last
+            while at >= 0 and c not in self.go[at]:
+                self.go[at][c] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.go[at][c]
+                if self.size[to] == self.size[at] + 1:
+                    self.link[new] = to
+                else:
+                    twin = len(self.size)
+                    self.size.append(self.size[at] + 1)
+                    self.link.append(self.link[to])
+                    self.end.append(self.end[to])
+                    self.go.append(dict(self.go[to]))
+                    while at >= 0 and self.go[at].get(c) == to:
+                        self.go[at][c] = twin
+                        at = self.link[at]
+                    self.link[to] = self.link[new] = twin
+            last = new
+
+    def longest(self, text: str) -> tuple[int, int, int]:
+        """(start, start in the automaton's text, length) of the longest common string: the first in text, then the first in the other."""
+        state = length = best = start = other = 0
+        go, link, size = self.go, self.link, self.size
+        for i, c in enumerate(text):
+            while state and c not in go[state]:
+                state = link[state]
+                length = size[state]
+            to = go[state].get(c)
+            if to is not None:
+                state, length = to, length + 1
+                if length > best:
+                    best, start, other = length, i + 1 - length, self.end[state] - length
+        return start, other, best
+
+
 def common_strings(texts: DataFrame, references: DataFrame, k: int = 40) -> DataFrame:
-    """JN-03: (id, ref, start, ref_start, length): the longest common string of each (id, text) and (ref, ref_text) if it has k characters or more.
+    """JN-03: (id, ref, start, ref_start, length): the longest common string of each (id, text) and (ref, ref_text) if it has k characters or more; of equal ones the first in the text, then in the reference.
 
-    Two texts have one exactly if they share a string of k characters: the hashes of these are joined, and only the pairs that meet are compared.
+    Two texts have one exactly if they share a string of k characters: the hashes of these are joined, and only the pairs that meet are compared, each in
+    time linear in both texts. Null texts have none.
     """
     rare = _grams(references, "ref", "ref_text", k)
     met = _grams(texts, "id", "text", k).join(rare, "gram").select("id", "ref").distinct()
-    pairs = met.join(texts.select("id", "text"), "id").join(references.select("ref", "ref_text"), "ref")
+    pairs = met.join(texts.select("id", "text"), "id").join(references.select("ref", "ref_text"), "ref").sortWithinPartitions("ref")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, strings = None, None
         for batch in batches:
             rows = []
             for one, two, a, b in zip(batch["id"], batch["ref"], batch["text"], batch["ref_text"], strict=True):
-                m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-                if m.size >= k:
-                    rows.append((one, two, m.a, m.b, m.size))
+                if held != b:
+                    held, strings = b, Substrings(b)
+                start, other, length = strings.longest(a)
+                if length >= k:
+                    rows.append((one, two, start, other, length))
             yield pd.DataFrame(rows, columns=["id", "ref", "start", "ref_start", "length"])
 
     kinds = dict(texts.dtypes)["id"], dict(references.dtypes)["ref"]
