@@ -140,7 +140,7 @@ def test_features(spark):
     assert a.line_words.rhythm == "2/1/3"
     assert (a.hook.line1_words, a.hook.is_question, a.hook.cut140_ends_sentence) == (5, True, True) and a.pov.dominant == "mixed"
     assert a.punct_per_1k.comma == round(1000 / len(text), 4) and a.punct_per_1k.ellipsis == round(1000 / len(text), 4)
-    assert b["size"].n_words == 0 and b.lexicon.ttr is None and b.pov.dominant == "third"
+    assert b["size"].n_words == 0 and b.lexicon.ttr == 0.0 and b.pov.dominant == "third"
 
 
 def test_checks_and_verdicts(spark):
@@ -159,3 +159,13 @@ def test_checks_and_verdicts(spark):
     assert low["c"].hard == ["P4_links"] and low["c"].flag == ["P5_markup"]
     twice = checks.downgraded(once, rates, ("P5_markup", "P4_links"))
     assert sorted(map(str, twice.select(once.columns).collect())) == sorted(map(str, once.collect()))
+
+
+def test_features_keep_columns_and_names(spark):
+    from corpusloom.operators import features
+
+    rows = [(1, "It's Ann's plan and we don't know. You and we.", 99, 98, 97, "mine"), (2, None, 99, 98, 97, "mine"), (3, "I, you.", 99, 98, 97, "mine")]
+    found = features.features(spark.createDataFrame(rows, "ft int, text string, fw int, sw int, lw int, size string")).orderBy("ft").collect()
+    assert [(r.ft, r.fw, r.sw, r.lw, r.text) for r in found] == [(r[0], 99, 98, 97, r[1]) for r in rows]
+    assert found[0].lexicon.contraction_rate == 0.2 and found[0].pov.dominant == "first_plural" and found[2].pov.dominant == "mixed"
+    assert found[1].lexicon.contraction_rate == found[1].pov.i_per100 == 0.0 and found[1].pov.dominant == "third" and found[1]["size"].n_words == 0
