@@ -80,11 +80,26 @@ def _arguments(text: str, at: int) -> tuple[list[str], int]:
         at += 1
 
 
+def _rounded(sql: str) -> str:
+    """round(x, k) as DuckDB computes it, on the scaled double; Spark's own rounds the shortest decimal of x, which is another at a tie."""
+    at = 0
+    while m := re.compile(r"(?<![\w@])round\(").search(sql, at):
+        args, end = _arguments(sql, m.end())
+        at = m.end()
+        if len(args) == 2:
+            by = f"1e{int(args[1])}D"
+            sql = f"{sql[: m.start()]}(round(({args[0]}) * {by}) / {by}){sql[end:]}"
+            at = m.start() + len("(round(")
+    return sql
+
+
 def render(sql: str, duck: bool) -> str:
     """The SQL of one engine."""
     while m := re.search(r"@([a-z_]+)\(", sql):
         args, end = _arguments(sql, m.end())
         sql = sql[: m.start()] + FORMS[m[1]][duck].format(*args, all=", ".join(args)) + sql[end:]
+    if not duck:
+        sql = _rounded(sql)
     # Numbers with a point are doubles in both. Spark reads a backslash in a string as an escape, DuckDB does not.
     parts = sql.split("'")
     parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1::double" if duck else r"\1D", x) for x in parts[::2]]
