@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import sentences, words
+from .features import WORD, sentences
 from .verdict import needs_action
 
 # The checks in their order with their classes.
@@ -47,39 +47,54 @@ def check_table(candidates: DataFrame, rules: dict[str, list[dict]]) -> DataFram
     tables (overlaps, envelope) come from there; they are not made up here. Null texts fail the schema.
     """
     t, platform = F.coalesce(F.col("text"), F.lit("")), F.col("platform")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-    scopes = {"text": t, "line1": F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))}
-    scopes["tail2"] = F.when(F.size(lines) >= 2, F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")).otherwise(scopes["line1"])
-    n_words, tags, links = F.size(words(t)), F.regexp_count(t, F.lit(r"(?<![\w&])#[A-Za-z]\w*")), F.regexp_count(t, F.lit(r"(?i)https?://\S+|www\.\S+"))
-    tag_lines = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(#[A-Za-z]\w*\s*)+$")))
-    in_comments = t.rlike(r"(?i)\blink\b.{0,20}\bcomments?\b")
-    head = F.substring(F.array_join(F.slice(F.split(t, "\n"), 1, 3), "\n"), 1, 140)
-    folded = (F.length(head) < F.length(t)) & ~head.rlike(r"[.!?…:;,](\s|$)|\n")
-    overrun = F.length(F.regexp_extract(F.substring(t, 141, 1_000_000_000), r"(?s)\A(.*?)([.!?…:;,](?=\s|\z)|\n|\z)", 1))
-    specific = F.regexp_count(t, F.lit(SPECIFIC))
+    df = candidates.select("cid", platform.alias("platform"), "media", F.col("text").isNotNull().alias("given"), t.alias("text"))
+    t = F.col("text")
+    # What several checks look at is a column of its own: an expression inside an exploded array is computed at each of its places.
+    df = df.withColumns({"lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""), "paras": F.filter(F.split(t, r"\n\s*\n"), lambda p: F.trim(p) != ""), "head": F.substring(F.array_join(F.slice(F.split(t, "\n"), 1, 3), "\n"), 1, 140)})
+    lines, paras, head = F.col("lines"), F.col("paras"), F.col("head")
+    line1 = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    tail2 = F.when(F.size(lines) >= 2, F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")).otherwise(line1)
+    scopes = {"text": t, "line1": line1, "tail2": tail2}
+    found = {
+        "n_words": F.regexp_count(t, F.lit(WORD)),
+        "n_tags": F.regexp_count(t, F.lit(r"(?<![\w&])#[A-Za-z]\w*")),
+        "n_links": F.regexp_count(t, F.lit(r"(?i)https?://\S+|www\.\S+")),
+        "tag_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(#[A-Za-z]\w*\s*)+$"))),
+        "in_comments": t.rlike(r"(?i)\blink\b.{0,20}\bcomments?\b"),
+        "folded": (F.length(head) < F.length(t)) & ~head.rlike(r"[.!?…:;,](\s|$)|\n"),
+        "overrun": F.length(F.regexp_extract(F.substring(t, 141, 1_000_000_000), r"(?s)\A(.*?)([.!?…:;,](?=\s|\z)|\n|\z)", 1)),
+        "specific": F.regexp_count(t, F.lit(SPECIFIC)),
+        "lists": _hits(t, rules.get("P17_lists", [])),
+        "misc": _hits(t, rules.get("P20_misc", [])),
+        "hedges": _hits(t, rules.get("P18_hedges", [])),
+        "single": F.size(F.filter(paras, lambda p: F.size(sentences(p)) == 1)),
+        "markup": F.greatest(*(t.rlike(p) for p in MARKUP)),
+        "emoji": F.regexp_count(t, F.lit(EMOJI)),
+        **{f"tier_{k}": _hits(t, rules.get(k, [])) for k in ("t1", "t2", "t3")},
+        **{f"rule_{c}": _hits(scopes[s], rules.get(c, [])) for c, s in SCANNED.items()},
+    }
+    df = df.select("cid", "platform", "media", "given", F.length(t).alias("size"), F.size(paras).alias("n_paras"), *(e.alias(k) for k, e in found.items()))
+    n_words, tags, links, tag_lines, in_comments, folded, overrun, specific, lists = (F.col(k) for k in ("n_words", "n_tags", "n_links", "tag_lines", "in_comments", "folded", "overrun", "specific", "lists"))
     floor = _limit(platform, "floor")
-    tier = lambda k: _hits(t, rules.get(k, []))
-    lists = _hits(t, rules.get("P17_lists", []))
-    paras = F.filter(F.split(t, r"\n\s*\n"), lambda p: F.trim(p) != "")
     rows = [
-        _check("P0_schema", F.col("cid").isNotNull() & platform.isin(*LIMITS) & F.col("text").isNotNull()),
-        _check("P1_length", F.length(t) <= _limit(platform, "chars")),
+        _check("P0_schema", F.col("cid").isNotNull() & platform.isin(*LIMITS) & F.col("given")),
+        _check("P1_length", F.col("size") <= _limit(platform, "chars")),
         _check("P2_fold", (platform == "x") | ~(folded & (overrun > 140)), (platform != "x") & folded & (overrun <= 140), F.when(folded & (overrun <= 140), "flag").otherwise("hard")),
         _check("P_min_words", n_words >= F.when(F.col("media"), 1).otherwise(_limit(platform, "words"))),
         _check("P3_hashtags", (tags <= _limit(platform, "hashtags")) & (tag_lines < 2)),
         _check("P4_links", ~in_comments & ~((platform == "x") & (links > 0)), class_=F.when(~in_comments & (platform != "x") & (links == 1), "advisory").otherwise("hard")),
-        _check("P5_markup", ~F.greatest(*(t.rlike(p) for p in MARKUP))),
-        _check("P6_emoji", F.regexp_count(t, F.lit(EMOJI)) <= _limit(platform, "emoji")),
-        *(_check(c, _hits(scopes[s], rules.get(c, [])) == 0, class_=F.when(platform == "x", "hard").otherwise("soft") if c == "P19_clickbait" else None) for c, s in SCANNED.items()),
-        _check("P11_cluster", ~((tier("t1") >= 3) | (tier("t1") + tier("t2") + tier("t3") >= 5))),
+        _check("P5_markup", ~F.col("markup")),
+        _check("P6_emoji", F.col("emoji") <= _limit(platform, "emoji")),
+        *(_check(c, F.col(f"rule_{c}") == 0, class_=F.when(platform == "x", "hard").otherwise("soft") if c == "P19_clickbait" else None) for c in SCANNED),
+        _check("P11_cluster", ~((F.col("tier_t1") >= 3) | (F.col("tier_t1") + F.col("tier_t2") + F.col("tier_t3") >= 5))),
         _check("P13_specifics", (n_words > 0) & ((n_words <= floor * 1.25) | (specific > 0)), (n_words > floor) & (n_words <= floor * 1.25) & (specific == 0), F.when((n_words > floor) & (n_words <= floor * 1.25), "flag").otherwise("hard")),
-        _check("P16_broetry", ~((F.size(paras) > 0) & (F.size(F.filter(paras, lambda p: F.size(sentences(p)) == 1)) > 0.8 * F.size(paras)) & (F.size(paras) >= 4))),
+        _check("P16_broetry", ~((F.col("single") > 0.8 * F.col("n_paras")) & (F.col("n_paras") >= 4))),
         _check("P17_lists", lists == 0, class_=F.when(lists == 1, "soft").otherwise("hard")),
-        _check("P18_hedges", _hits(t, rules.get("P18_hedges", [])) < 3),
-        _check("P20_misc", _hits(t, rules.get("P20_misc", [])) == 0, _hits(t, rules.get("P20_misc", [])) > 0),
+        _check("P18_hedges", F.col("hedges") < 3),
+        _check("P20_misc", F.col("misc") == 0, F.col("misc") > 0),
     ]
     order = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("check_id"))
-    return candidates.select("cid", F.explode(F.array(*rows)).alias("c")).select("cid", "c.*").withColumn("place", order)
+    return df.select("cid", F.explode(F.array(*rows)).alias("c")).select("cid", "c.*").withColumn("place", order)
 
 
 def downgraded(checks: DataFrame, base_rates: DataFrame, applies: tuple[str, ...], never: tuple[str, ...] = (), limit: float = 0.25) -> DataFrame:
