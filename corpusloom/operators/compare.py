@@ -4,26 +4,63 @@ from __future__ import annotations
 
 import difflib
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import dropped, kept
+
 PAIR_RATIO = 0.5
 LENGTH_CHANGE = 0.10
 SIMILAR = 0.6
+SHARED, SHARE = 4, 8  # rare tokens that two sets must share before they are compared: at least so many, and one of so many tokens of the smaller
+BLOCK = 4096
+SLICE = 64  # texts whose hashes are held together
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def window_keys(text: str, size: int, width: int) -> np.ndarray:
+    """Hashes of strings of size characters of a text: of every width strings in a row at least the one with the least hash.
+
+    Two texts that share size + width - 1 characters in a row share such a hash.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - size + 1
+    if n < width:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.full(len(codes) + 1, BASE, np.uint64)
+        powers[0] = 1
+        powers, back = np.cumprod(powers), np.full(n, INVERSE, np.uint64)
+        back[0] = 1
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:-1])))
+        keys = (sums[size:] - sums[:n]) * np.cumprod(back)
+        for shift in (33, 29, 32):
+            keys ^= keys >> np.uint64(shift)
+            keys *= MIX
+    return np.unique(np.lib.stride_tricks.sliding_window_view(keys, width).min(axis=1))
 
 
 def _grams(df: DataFrame, name: str, text: str, k: int) -> DataFrame:
-    """(name, gram) with a hash of each distinct k-character string of each text."""
+    """(name, gram) with hashes of strings of each text, chosen so that texts which share k characters in a row share one."""
+    width = k // 4 + 1
+    size = k - width + 1
 
-    @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list({zlib.crc32(t[i : i + k].encode()) for i in range(len(t) - k + 1)}), na_action="ignore")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.columns
+            for at in range(0, len(batch), SLICE):
+                found = [window_keys(t or "", size, width) for t in texts.slice(at, SLICE).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(at, at + len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([names.take(rows), pa.array(np.concatenate(found).view(np.int64))], [name, "gram"])
 
-    return df.select(name, F.explode(hashes(text)).alias("gram"))
+    return df.select(name, text).where(F.col(text).isNotNull()).mapInArrow(each, f"`{name}` {dict(df.dtypes)[name]}, gram long")
 
 
 class Substrings:
@@ -78,8 +115,8 @@ class Substrings:
 def common_strings(texts: DataFrame, references: DataFrame, k: int = 40) -> DataFrame:
     """JN-03: (id, ref, start, ref_start, length): the longest common string of each (id, text) and (ref, ref_text) if it has k characters or more; of equal ones the first in the text, then in the reference.
 
-    Two texts have one exactly if they share a string of k characters: the hashes of these are joined, and only the pairs that meet are compared, each in
-    time linear in both texts. Null texts have none.
+    Two texts have one exactly if they share a string of k characters. Those that do share a hash of a shorter string (window_keys), so these hashes are
+    joined and only the pairs that meet are compared, each in time linear in both texts. Null texts have none.
     """
     rare = _grams(references, "ref", "ref_text", k)
     met = _grams(texts, "id", "text", k).join(rare, "gram").select("id", "ref").distinct()

@@ -32,3 +32,13 @@ def test_pairs(spark):
     found = {tuple(x) for x in compare.common_strings(texts, refs, 15).collect()}
     assert found == {(1, "a", 30, 4, 23), (1, "c", 30, 0, 15), (4, "a", 0, 4, 23), (4, "c", 0, 0, 15)}
     assert compare.common_strings(texts, refs.limit(0), 15).collect() == []
+
+
+def test_texts_that_share_k_characters_share_a_key():
+    r = random.Random(7)
+    for _ in range(300):
+        shared = "".join(r.choice("abé𝄞 ") for _ in range(40))
+        one, two = ("".join(r.choice("abcdé𝄞 ") for _ in range(r.randint(0, 60))) + shared + "".join(r.choice("xyz") for _ in range(r.randint(0, 60))) for _ in range(2))
+        assert set(compare.window_keys(one, 30, 11)) & set(compare.window_keys(two, 30, 11))
+    long = "".join(r.choice("abcdefgh ") for _ in range(100_000))
+    assert len(compare.window_keys(long, 30, 11)) < 20_000 and not len(compare.window_keys("a" * 39, 30, 11))
