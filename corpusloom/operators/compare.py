@@ -208,22 +208,92 @@ def closest(candidates: DataFrame, exemplars: DataFrame, n: int = 2) -> DataFram
     return ranked.withColumn("k", place).where(F.col("k") <= n).select(F.col("c_id").alias("id"), F.col("e_id").alias("exemplar"), "same", F.round("jaccard", 6).alias("jaccard"), "k")
 
 
+def _meeting(rows: pd.DataFrame, crossed: bool, least: float) -> Iterator[pd.DataFrame]:
+    """Pairs of rows (id, block, n, first) that share enough of their first tokens (see similar_sets): of two blocks or within one."""
+    left = rows[rows["block"] == rows["block"].min()] if crossed else rows
+    right = rows[rows["block"] != rows["block"].min()] if crossed else rows
+    flat = np.concatenate([*right["first"], np.empty(0, np.int64)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(right)), right["first"].map(len))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    sizes = right["n"].to_numpy(), left["n"].to_numpy()
+    must = [np.ceil(least * n - 1e-9).astype(np.int64) for n in sizes]
+    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    for at in range(0, len(left), 128):
+        firsts = list(left["first"].iloc[at : at + 128])
+        own = np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
+        mine = np.concatenate([*firsts, np.empty(0, np.int64)]).astype(np.int64)
+        low = np.searchsorted(flat, mine, "left")
+        many = np.searchsorted(flat, mine, "right") - low
+        where = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(np.repeat(own, many) * len(right) + owner[where], minlength=len(firsts) * len(right)).reshape(len(firsts), len(right))
+        n = sizes[1][at : at + 128, None]
+        need = np.minimum(np.maximum(SHARED, np.minimum(n, sizes[0]) // SHARE), np.maximum(must[1][at : at + 128, None], must[0]))
+        i, j = np.nonzero((shared >= need) & (np.minimum(n, sizes[0]) >= (least - 1e-9) * np.maximum(n, sizes[0])))
+        one, two = ids[at + i], others[j]
+        yield pd.DataFrame({"id": np.minimum(one, two), "other": np.maximum(one, two)})[(one != two) if crossed else (one < two)]
+
+
+def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(id, other) of the sets (id, scope, tokens: distinct ones) of one scope with a Jaccard of least or more, id < other.
+
+    Two such sets share at least ceil(least n) tokens; in any common order the first k of these are among the first n - ceil(least n) + k of each. Rare
+    tokens come first, so few pairs share k of those, which is SHARED or the SHARE-th part of n. A scope is dealt to blocks of about BLOCK sets, and a task counts for two blocks.
+    """
+    tokens = sets.select("id", "scope", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = tokens.groupBy("scope", "token").agg(F.count("*").alias("df"))
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h")))), lambda x: x["h"])
+    firsts = tokens.join(often, ["scope", "token"]).groupBy("id", "scope", "n").agg(ranked.alias("all"))
+    firsts = firsts.select("id", "scope", "n", F.slice("all", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + F.greatest(F.lit(SHARED), F.floor(F.col("n") / SHARE))).cast("int")).alias("first"))
+    blocks = sets.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = firsts.join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), "blocks").cast("int"))
+    dealt = dealt.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("scope", F.least("block", "beside").alias("low"), F.greatest("block", "beside").alias("high"), "id", "block", "n", "first")
+
+    def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [x for x in _meeting(rows, key[1] != key[2], least) if len(x)] if key[1] == key[2] or rows["block"].nunique() > 1 else []
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "other": []})
+
+    kind = dict(sets.dtypes)["id"]
+    met = dealt.groupBy("scope", "low", "high").applyInPandas(each, f"id {kind}, other {kind}")
+    whole = met.join(sets.select("id", F.col("tokens").alias("x")), "id").join(sets.select(F.col("id").alias("other"), F.col("tokens").alias("y")), "other")
+    common = F.size(F.array_intersect("x", "y"))
+    return whole.where(common / (F.size("x") + F.size("y") - common) >= least).select("id", "other")
+
+
+def _leaders(pairs: DataFrame) -> DataFrame:
+    """(id) of the ends of pairs (id < other) that no earlier leader is paired with. An end without an open earlier one is a leader, and closes those it is paired with."""
+    open_, found = pairs, None
+    while open_.limit(1).count():
+        first = kept(open_.select("id").join(open_.select(F.col("other").alias("id")), "id", "left_anti").distinct(), "leaders")
+        closed = open_.join(first, "id", "left_semi").select("other").distinct()
+        rest = open_.join(first, "id", "left_anti").join(closed.select(F.col("other").alias("id")), "id", "left_anti").join(closed, "other", "left_anti")
+        last, open_ = open_, kept(rest.select("id", "other"), "open")
+        found = first if found is None else found.unionByName(first)
+        if last is not pairs:
+            dropped(last)
+    return found if found is not None else pairs.select("id").limit(0)
+
+
 def consolidate(lessons: DataFrame) -> DataFrame:
-    """ST-03 (first part): lessons (id, section, tag, instruction, count) with merged_into: in order, each takes in the later ones of its section and tag with a token Jaccard of 0.6 or more."""
-
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id").reset_index(drop=True)
-        tokens = [set(re.findall(r"\w+", t.lower())) for t in group["instruction"]]
-        into: list = [None] * len(group)
-        for i in range(len(group)):
-            for j in range(i + 1, len(group)):
-                union = tokens[i] | tokens[j]
-                if into[i] is None and into[j] is None and union and len(tokens[i] & tokens[j]) / len(union) >= SIMILAR:
-                    into[j] = group["id"][i]
-        return group.assign(merged_into=into)
-
-    kinds = ", ".join(f"{c} {t}" for c, t in lessons.dtypes)
-    return lessons.groupBy("section", "tag").applyInPandas(each, f"{kinds}, merged_into {dict(lessons.dtypes)['id']}")
+    """ST-03 (first part): lessons (id, section, tag, instruction, count) with merged_into: in order, each takes in the later ones of its section and tag with a token Jaccard of 0.6 or more.
+
+    Equal sets of tokens are one to all others, so each is compared once, under its least id. What is taken in takes nothing in; of several that could
+    take a lesson the first does. Ids are of one section and tag.
+    """
+
+    @F.pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(set(re.findall(r"\w+", t.lower()))) if isinstance(t, str) else [])
+
+    scope = F.struct("section", "tag").alias("scope")
+    parsed = kept(lessons.select("id", scope, tokens("instruction").alias("tokens")).where("size(tokens) > 0"), "tokens")
+    sets = kept(parsed.groupBy("scope", "tokens").agg(F.min("id").alias("id")), "sets")
+    pairs = kept(similar_sets(sets), "similar")
+    into = pairs.join(_leaders(pairs), "id", "left_semi").groupBy("other").agg(F.min("id").alias("into"))
+    ends = sets.select("scope", "tokens", F.col("id").alias("first")).join(into, F.col("first") == F.col("other"), "left").select("scope", "tokens", "first", "into")
+    copies = parsed.join(ends, ["scope", "tokens"]).select("id", F.coalesce("into", F.when(F.col("id") != F.col("first"), F.col("first"))).alias("merged_into"))
+    return lessons.join(copies.where("merged_into is not null"), "id", "left")
 
 
 def resolve_draft(drafts: DataFrame, query: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The library's operators and readers on hand-made rows."""
 
 import difflib
+import random
 import re
 
 import pytest
@@ -169,3 +170,24 @@ def test_features_keep_columns_and_names(spark):
     assert [(r.ft, r.fw, r.sw, r.lw, r.text) for r in found] == [(r[0], 99, 98, 97, r[1]) for r in rows]
     assert found[0].lexicon.contraction_rate == 0.2 and found[0].pov.dominant == "first_plural" and found[2].pov.dominant == "mixed"
     assert found[1].lexicon.contraction_rate == found[1].pov.i_per100 == 0.0 and found[1].pov.dominant == "third" and found[1]["size"].n_words == 0
+
+
+def test_lessons_merge_as_each_with_each_does(spark, monkeypatch):
+    r, words = random.Random(3), [f"w{k}" for k in range(12)]
+    rows_ = [(k, r.choice(["s", "t", None]), "a", " ".join(r.choice(words) for _ in range(r.randint(0, 9)))) for k in r.sample(range(1000), 300)]
+    want = {}
+    for section in ("s", "t", None):
+        group = sorted((k, set(t.split())) for k, s, _, t in rows_ if s == section)
+        for n, (k, one) in enumerate(group):
+            want.setdefault(k, None)
+            for j, two in group[n + 1 :]:
+                if want[k] is None and want.get(j) is None and one | two and len(one & two) / len(one | two) >= 0.6:
+                    want[j] = k
+    monkeypatch.setattr(compare, "BLOCK", 40)
+    found = compare.consolidate(spark.createDataFrame(rows_, "id long, section string, tag string, instruction string"))
+    assert {x.id: x.merged_into for x in found.collect()} == want
+
+
+def test_lessons_are_not_gathered_by_group(spark):
+    plan = compare.consolidate(spark.createDataFrame([(1, "s", "t", "one two"), (2, "s", "t", "one two")], "id long, section string, tag string, instruction string"))
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
