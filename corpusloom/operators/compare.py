@@ -193,13 +193,21 @@ def closest(candidates: DataFrame, exemplars: DataFrame, n: int = 2) -> DataFram
     fields = ("archetype", "hook", "ending")
     sides = [df.select(F.col("id").alias(f"{x}_id"), F.col("words").alias(f"{x}_words"), *(F.col(f).alias(f"{x}_{f}") for f in fields)) for df, x in ((candidates, "c"), (exemplars, "e"))]
     tagged = [s.select(f"{x}_id", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"{x}_{f}").alias("v")) for f in fields))).alias("on")).where("on.v is not null") for s, x in zip(sides, "ce", strict=True)]
-    alike = tagged[0].join(tagged[1], "on").select("c_id", "e_id").distinct()
-    few = sides[0].select("c_id", "c_words").join(alike.groupBy("c_id").count().where(F.col("count") >= n), "c_id", "left_anti")
+    alike = tagged[0].join(tagged[1], "on").groupBy("c_id", "e_id").agg(F.count_distinct("on.f").cast("int").alias("same"))
+    # Words are looked at only where they can decide: a pair that agrees in fewer fields than n others of its candidate is none of the n.
+    levels = alike.groupBy("c_id").pivot("same", list(range(1, len(fields) + 1))).count().na.fill(0)
+    above, level = F.lit(0), F.lit(1)
+    for k in range(1, len(fields) + 1):
+        above = sum((F.col(str(j)) for j in range(k, len(fields) + 1)), F.lit(0))
+        level = F.when(above >= n, k).otherwise(level)
+    least = levels.select("c_id", level.alias("level"), sum((F.col(str(k)) for k in range(1, len(fields) + 1)), F.lit(0)).alias("count"))
+    kept = alike.join(least.select("c_id", "level"), "c_id").where("same >= level").select("c_id", "e_id")
+    few = sides[0].select("c_id", "c_words").join(least.where(F.col("count") >= n), "c_id", "left_anti")
     by_word = [few.select("c_id", F.explode(F.array_distinct("c_words")).alias("word")), sides[1].select("e_id", F.explode(F.array_distinct("e_words")).alias("word"))]
     shared = by_word[0].join(by_word[1], "word").select("c_id", "e_id").distinct()
     first = sides[1].select("e_id").distinct().orderBy("e_id").limit(2 * n).agg(F.collect_list("e_id").alias("ids"))
     rest = few.select("c_id").crossJoin(first).select("c_id", F.explode("ids").alias("e_id"))
-    met = alike.unionByName(shared).unionByName(rest).distinct().join(sides[0], "c_id").join(sides[1], "e_id")
+    met = kept.unionByName(shared).unionByName(rest).distinct().join(sides[0], "c_id").join(sides[1], "e_id")
     same = sum(F.coalesce((F.col(f"c_{f}") == F.col(f"e_{f}")).cast("int"), F.lit(0)) for f in fields)
     both = F.size(F.array_union("c_words", "e_words"))
     jaccard = F.when(both > 0, F.size(F.array_intersect("c_words", "e_words")) / both).otherwise(0.0)
