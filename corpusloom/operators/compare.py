@@ -138,14 +138,51 @@ def common_strings(texts: DataFrame, references: DataFrame, k: int = 40) -> Data
     return pairs.select("id", "ref", "text", "ref_text").mapInPandas(each, f"id {kinds[0]}, ref {kinds[1]}, start long, ref_start long, length long")
 
 
+def _longest_match(a: str, b: str) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common string, as difflib finds it: the first in a, then the first in b. Strings of one size are compared as a set."""
+    best, start, known, size = 0, 0, min(len(a), len(b)) + 1, 4
+    while best + 1 < known:
+        size = min(size, known - 1)
+        seen = {b[j : j + size] for j in range(len(b) - size + 1)}
+        at = next((i for i in range(len(a) - size + 1) if a[i : i + size] in seen), -1)
+        if at < 0:
+            known, size = size, (best + size) // 2
+            continue
+        best, start, there = size, at, b.find(a[at : at + size])
+        while at + best < len(a) and there + best < len(b) and a[at + best] == b[there + best]:
+            best += 1
+        size = max(best + 1, min(2 * best, (best + known) // 2))
+    return start, b.find(a[start : start + best]), best
+
+
+def line_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """difflib's ratio of two lines without junk; of those below least anything below least, as soon as no rest can lift them."""
+    both = len(a) + len(b)
+    if not both or a == b:
+        return 1.0
+    matched, open_ = 0, [(a, b)]
+    most = min(len(a), len(b))
+    while open_ and 2.0 * most / both >= least:
+        x, y = open_.pop(0)
+        i, j, k = _longest_match(x, y)
+        most -= min(len(x), len(y))
+        if k:
+            matched += k
+            parts = [p for p in ((x[:i], y[:j]), (x[i + k :], y[j + k :])) if p[0] and p[1]]
+            most += k + sum(min(map(len, p)) for p in parts)
+            open_ += parts
+    return 2.0 * (most if open_ else matched) / both
+
+
 def pair_lines(a: list[str], b: list[str], least: float = PAIR_RATIO) -> dict[int, int]:
     """JN-21: lines of a paired with lines of b, the most alike first, each used once."""
-    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-    ranked = sorted((-ratio(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
+    ranked = sorted((-r, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (r := line_ratio(x, y, least)) >= least)
     out: dict[int, int] = {}
-    for r, i, j in ranked:
-        if -r >= least and i not in out and j not in out.values():
+    taken: set[int] = set()
+    for _, i, j in ranked:
+        if i not in out and j not in taken:
             out[i] = j
+            taken.add(j)
     return out
 
 

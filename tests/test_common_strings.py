@@ -42,3 +42,12 @@ def test_texts_that_share_k_characters_share_a_key():
         assert set(compare.window_keys(one, 30, 11)) & set(compare.window_keys(two, 30, 11))
     long = "".join(r.choice("abcdefgh ") for _ in range(100_000))
     assert len(compare.window_keys(long, 30, 11)) < 20_000 and not len(compare.window_keys("a" * 39, 30, 11))
+
+
+def test_line_ratios_are_difflibs():
+    r = random.Random(8)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("ab" if r.random() < 0.4 else "abcdefgé ") for _ in range(r.randint(0, 30))) for _ in range(2))
+        b = a[: r.randint(0, 30)] + b if r.random() < 0.4 else b
+        ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert compare.line_ratio(a, b) == ratio and (compare.line_ratio(a, b, 0.5) == ratio if ratio >= 0.5 else compare.line_ratio(a, b, 0.5) < 0.5)
