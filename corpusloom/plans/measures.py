@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import quantiles as exact
+from ..sources.tables import table
 from .dialect import both
 
 POSTS = "posts as (select doc_id as id, source as author, lang, case when n_chars <= 280 then 'x' else 'linkedin' end as platform, n_chars, text, @sha(text) as sha, case when doc_id % 10 = 0 then 'self' when doc_id % 4 = 0 then 'heldout' else 'train' end as split, @size(@words(text)) as n_words from documents where text is not null)"
@@ -145,3 +149,14 @@ select p.id, p.n_chars between s.c1 - 1.5 * (s.c3 - s.c1) and s.c3 + 1.5 * (s.c3
 }
 
 QUERIES, ORACLES = both(PLANS)
+
+
+def quantiles(spark, sf_dir):
+    """AG-27: quantiles and means with zero for nothing."""
+    mean = F.coalesce(F.round(F.avg("l_discount") * 1e6) / 1e6, F.lit(0.0)).alias("mean")
+    found = exact.exact_quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", (0.25, 0.5, 0.75), mean)
+    return found.select(F.col("l_returnflag").alias("flag"), *(F.col("quantiles")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))), "mean")
+
+
+# The SQL says the same in the plain way.
+QUERIES |= {f.__name__: f for f in (quantiles,)}
