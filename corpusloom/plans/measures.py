@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fillers as filling
 from ..operators import quantiles as exact
 from ..sources.tables import table
 from .dialect import both
@@ -151,6 +152,12 @@ select p.id, p.n_chars between s.c1 - 1.5 * (s.c3 - s.c1) and s.c3 + 1.5 * (s.c3
 QUERIES, ORACLES = both(PLANS)
 
 
+def fillers(spark, sf_dir):
+    """TK-03: fillers from the narrowest length band that has enough, one author first."""
+    posts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("author"), "n_chars")
+    return filling.fillers(posts, posts.where("id % 100 = 0"))
+
+
 def quantiles(spark, sf_dir):
     """AG-27: quantiles and means with zero for nothing."""
     mean = F.coalesce(F.round(F.avg("l_discount") * 1e6) / 1e6, F.lit(0.0)).alias("mean")
@@ -159,4 +166,4 @@ def quantiles(spark, sf_dir):
 
 
 # The SQL says the same in the plain way.
-QUERIES |= {f.__name__: f for f in (quantiles,)}
+QUERIES |= {f.__name__: f for f in (fillers, quantiles)}

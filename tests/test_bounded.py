@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import quantiles
+from corpusloom.operators import fillers, quantiles
 from corpusloom.plans import catalog
+from corpusloom.plans.dialect import spark_query
+from corpusloom.plans.measures import PLANS
 
 
 def test_quantiles_are_those_of_percentile(spark):
@@ -20,3 +22,14 @@ def test_quantiles_are_those_of_percentile(spark):
 def test_quantiles_gather_no_group(spark):
     plan = catalog.queries()["quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "percentile(" not in plan and "percentile_approx(" in plan
+
+
+def test_fillers_are_those_of_all_pairs(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(k, "t", r.choice("pq"), r.choice(["a", "b", "c", "d", None]), r.choice([None, 0, 1, r.randint(0, 60), r.randint(0, 3000)])) for k in range(600)] + [(700, "t", "few", "a", 5), (701, "t", "few", "b", 5), (702, "t", None, "b", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, spark_query(PLANS["fillers"].replace("% 100", "% 10"))(spark, str(tmp_path)).collect()))
+    posts = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id as id", "lang", "source as author", "n_chars")
+    found = fillers.fillers(posts, posts.where("id % 10 = 0"))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 200
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
