@@ -6,12 +6,14 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ FIELDS = ("id", "group", "rank", "phrase", "pattern", "flags", "scope", "anchore
 SCOPES = ("text", "line1", "tail2")
 #: The table of rules goes to every task, so it is measured; a larger one is refused, not cut.
 MOST_BYTES = 32 << 20
+SLICE = 64
+#: What str.split() calls a word in an ASCII text.
+_WORDS = re.compile(r"[^\x09-\x0d\x1c-\x20]+")
 
 _FLAGS = {"i": re.IGNORECASE, "s": re.DOTALL, "x": re.VERBOSE}
 
@@ -97,6 +102,17 @@ class Scanner:
 
     def _literal(self, text: Text) -> Iterator[tuple[int, int, int]]:
         """(start, stop, number of the phrase) in the folded text, in order of stop; white space counts as one blank."""
+        if text.folded.isascii():
+            # a character is one character in lower case, so only hits need their places: by the words they begin and end in
+            words = text.folded.lower().split()
+            ends = None
+            for end, (k, size) in self.automaton.iter(" ".join(words)):
+                if ends is None:
+                    ends = list(accumulate((len(w) + 1 for w in words)))
+                    places = [m.start() for m in _WORDS.finditer(text.folded)]
+                first, last = (bisect_right(ends, x) for x in (end - size + 1, end))
+                yield places[first] + end - size + 1 - (ends[first] - len(words[first]) - 1), places[last] + end + 1 - (ends[last] - len(words[last]) - 1), k
+            return
         plain, places, space = [], [], True
         for i, c in enumerate(text.folded):
             if c.isspace():
@@ -200,6 +216,22 @@ def taken(rules: DataFrame) -> tuple[str, tuple[tuple, ...]]:
     return hashlib.sha256(repr(found).encode()).hexdigest(), found
 
 
+def _slices(batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """A few rows of a batch at a time, so that only their hits are Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
+_HITS = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("stop", pa.int32()), ("id", pa.string()), ("span", pa.string()), ("group", pa.string()), ("line", pa.int32())]))
+
+
+def _hit_lists(rows: list[list[tuple]]) -> pa.Array:
+    flat = list(zip(*(h for hits in rows for h in hits), strict=True)) or [()] * 7
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _HITS.value_type, strict=True)], fields=list(_HITS.value_type))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), values)
+
+
 def rule_hits(texts: DataFrame, rules: DataFrame, text: str = "text", disjoint: bool = False, name: str = "hits") -> DataFrame:
     """FN-15: texts with hits: array<struct<start,rank,stop,id,span,group,line>> of all rules, by start, rank, stop, id.
 
@@ -211,11 +243,11 @@ def rule_hits(texts: DataFrame, rules: DataFrame, text: str = "text", disjoint:
     digest, found = taken(rules)
     shared = texts.sparkSession.sparkContext.broadcast(found)
 
-    @F.pandas_udf(f"array<{HIT}>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<{HIT}>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = _scanner(digest, shared.value)
-        for batch in batches:
-            yield batch.map(lambda t: scanner.hits(t if isinstance(t, str) else None, disjoint))
+        for part in _slices(batches):
+            yield _hit_lists([scanner.hits(t, disjoint) for t in part.to_pylist()])
 
     return texts.withColumn(name, scan(F.col(text)))
 
@@ -238,10 +270,24 @@ def register(spark: SparkSession, rules: DataFrame, name: str = "rule_hits") ->
 def leftmost(hits: Column | str) -> Column:
     """WN-11: the hits of an array (as rule_hits gives them) that don't overlap: by start, then rank, then the longest, whatever their group."""
 
-    @F.pandas_udf(f"array<{HIT}>")
-    def each(column: pd.Series) -> pd.Series:
-        names = ("start", "rank", "stop", "id", "span", "group", "line")
-        return column.map(lambda rows: disjoint_hits([(*(r[n] for n in names[:5]), None, r["line"], r["group"]) for r in rows]), na_action="ignore").map(lambda kept: [(*h[:5], h[7], h[6]) for h in kept], na_action="ignore")
+    @F.arrow_udf(f"array<{HIT}>")
+    def each(hits: pa.Array) -> pa.Array:
+        out = []
+        for part in _slices([hits]):
+            rows = part.flatten()
+            start, rank, stop = (rows.field(n).to_pylist() for n in ("start", "rank", "stop"))
+            at, lists, offsets = 0, [], [0]
+            for size in pc.fill_null(pc.list_value_length(part), -1).to_pylist():
+                last = -1
+                for k in sorted(range(at, at + max(size, 0)), key=lambda k: (start[k], rank[k], -stop[k])):
+                    if start[k] >= last:
+                        last = stop[k]
+                        lists.append(k)
+                at += max(size, 0)
+                offsets.append(len(lists))
+            mask = part.is_null() if part.null_count else None
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows.take(pa.array(lists, pa.int64())), mask=mask))
+        return pa.concat_arrays(out) if out else hits
 
     return each(F.col(hits) if isinstance(hits, str) else hits)
 

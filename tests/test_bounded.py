@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.operators import fillers, quantiles
+from corpusloom.operators import fillers, quantiles, scan
 from corpusloom.plans import catalog
 from corpusloom.plans.dialect import spark_query
 from corpusloom.plans.measures import PLANS
@@ -33,3 +34,25 @@ def test_fillers_are_those_of_all_pairs(spark, tmp_path):
     found = fillers.fillers(posts, posts.where("id % 10 = 0"))
     assert sorted(map(tuple, found.collect())) == want and len(want) > 200
     assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+def test_hits_go_through_slices(spark, monkeypatch):
+    texts = [None, "", "the end of the end", "no", "The\u00a0END the  end"] * 40
+    rules = spark.createDataFrame([("t1.a", "the end"), ("t2.b", "end of"), ("t1.c", "the")], "id string, phrase string")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    found = scan.rule_hits(df, rules).select("k", "text", "hits", scan.leftmost("hits").alias("kept")).collect()
+    scanner = scan.Scanner(tuple(tuple(r) for r in scan.filled(rules).collect()))
+    for row in found:
+        want = scanner.hits(row.text)
+        assert [tuple(h) for h in row.hits] == want
+        assert [tuple(h) for h in row.kept] == [(*h[:5], h[7], h[6]) for h in scan.disjoint_hits([(*h[:5], None, h[6], h[5]) for h in want])]
+    assert [len(x) for x in scan._slices([pa.array(range(150))])] == [64, 64, 22]
+
+
+def test_plain_texts_are_scanned_as_others_are():
+    r = random.Random(4)
+    scanner = scan.Scanner(tuple((f"r{k}", "g", 2, p, None, "i", "text", False) for k, p in enumerate(["ab", "a b", "b ab a", "ab-a"])))
+    for _ in range(2000):
+        text = "".join(r.choice("abAB-  \n\t\x1c\x0b") for _ in range(r.randint(1, 40)))
+        far = scanner.hits(text + " é")
+        assert scanner.hits(text + " e") == [h for h in far]
