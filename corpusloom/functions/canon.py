@@ -10,9 +10,12 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SLICE = 256
+
 # Fixed values.
 FOLDED = {"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "‚": "'", "—": "-", "–": "-", "―": "-", "…": "...", " ": " "}
 URL = re.compile(r"https?://\S+|www\.\S+", re.IGNORECASE)
@@ -98,9 +101,13 @@ def _above_fold(text: str, budget: int, lines: int) -> tuple[int, str | None, bo
 
 
 def _mapped(f: Callable, kind: str) -> Callable[[Column | str], Column]:
-    @F.pandas_udf(kind)
-    def each(texts: pd.Series) -> pd.Series:
-        return texts.map(f, na_action="ignore")
+    to = {"string": pa.string(), "long": pa.int64()}[kind]
+
+    @F.arrow_udf(kind)
+    def each(texts: pa.Array) -> pa.Array:
+        # a slice at a time becomes Python strings, so a batch of long texts is never held as such
+        parts = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
+        return pa.concat_arrays([pa.array([], to), *(pa.array([None if t is None else f(t) for t in part], to) for part in parts)])
 
     return each
 
