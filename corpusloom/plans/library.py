@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canon
 from ..operators import checks, compare, features, materialise, rows, spans, tables
-from ..sources.store import shared_path
+from ..sources.store import kept, shared_path
 from ..sources.tables import table
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def check_rows(spark, sf_dir):
 
 def check_summaries(spark, sf_dir):
     """FLT-02, FLT-03, FLT-06, FLT-07: what asks for action, after the downgrade by the corpus's own rates."""
-    found = checks.check_table(_candidates(spark, sf_dir), CHECK_RULES)
+    found = kept(checks.check_table(_candidates(spark, sf_dir), CHECK_RULES), "checks")  # read twice, scanned once
     rates = found.groupBy("check_id").agg(F.round(F.avg((~F.col("pass")).cast("double")), 6).alias("base_rate"))
     low = checks.downgraded(found, rates, ("P6_emoji", "P8_opener", "P10_contrast_flip", "P17_lists"), ("P0_schema",))
     out = checks.summary(low)
