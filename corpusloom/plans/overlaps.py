@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .dialect import both
+from pyspark.sql import functions as F
+
+from ..operators import similar
+from .dialect import both, spark_query
 
 POSTS = "posts as (select doc_id as id, source as author, lang, case when n_chars <= 280 and not @hit(text, '\\n') then 'x' else 'linkedin' end as platform, text, @sha(@norm(text)) as sha, @words(text) as w from documents where text is not null)"
 FIRST = "firsts as (select min(id) as id, lang, sha from posts group by lang, sha)"
@@ -99,3 +102,22 @@ left join (select l_orderkey, count(*) as n, count_if(l_returnflag = 'R') as fla
 }
 
 QUERIES, ORACLES = both(PLANS)
+
+_posts = spark_query(f"with {POSTS} select id, author, lang, platform, @join(w, ' ') as norm from posts where id is not null")
+
+
+def _rounded() -> F.Column:
+    """As dialect has it."""
+    return F.round(similar.jaccard() * 1e6) / 1e6
+
+
+def near_duplicates(spark, sf_dir):
+    """JN-10: the rows of its SQL, by a join of hashed grams; of equal texts of a language the first stands for all."""
+    posts = _posts(spark, sf_dir)
+    firsts = posts.join(similar.copies(posts, ["lang"]), "id", "left_anti")
+    found = similar.similar(firsts, ["lang"], 8, 0.8).withColumn("j", _rounded())
+    best = found.groupBy("b").agg(F.min(F.struct((-F.col("j")).alias("less"), "a")).alias("best"))
+    return best.select(F.col("b").alias("id"), F.col("best.a").alias("variant_of"), (-F.col("best.less")).alias("jaccard"))
+
+
+QUERIES |= {f.__name__: f for f in (near_duplicates,)}
