@@ -120,4 +120,18 @@ def near_duplicates(spark, sf_dir):
     return best.select(F.col("b").alias("id"), F.col("best.a").alias("variant_of"), (-F.col("best.less")).alias("jaccard"))
 
 
-QUERIES |= {f.__name__: f for f in (near_duplicates,)}
+def siblings(spark, sf_dir):
+    """JN-08: the rows of its SQL. Equal texts are compared as one and put in the pairs' places."""
+    posts, keys = _posts(spark, sf_dir), ["author", "platform"]
+    same = similar.copies(posts, keys)
+    found = similar.similar(posts.join(same, "id", "left_anti"), keys, 3, 0.5).select("a", "b", _rounded().alias("jaccard"))
+    own = posts.where("author is not null and size(split(norm, ' ')) >= 3").join(same, "id").select("id", "first")
+    classes = own.select("first", "id").unionByName(own.select("first", F.col("first").alias("id")).distinct())
+    members = lambda x: classes.select(F.col("first").alias(x), F.col("id").alias(f"{x}_of"))
+    of = [F.coalesce(f"{x}_of", x) for x in "ab"]
+    apart = found.join(members("a"), "a", "left").join(members("b"), "b", "left").select(F.least(*of).alias("a_id"), F.greatest(*of).alias("b_id"), "jaccard")
+    within = classes.alias("x").join(classes.alias("y"), F.expr("x.first = y.first and x.id < y.id")).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"), F.lit(1.0).alias("jaccard"))
+    return apart.unionByName(within)
+
+
+QUERIES |= {f.__name__: f for f in (near_duplicates, siblings)}
