@@ -181,13 +181,19 @@ class Network:
             score = np.tile(self.weights["c"], (*data.shape, 1))
             for d in "fb":
                 self._scores(d, data, live, score)
-            score -= score.max(axis=2, keepdims=True)
+            # Labels first: numpy goes along long rows, where a few labels each would be a short one.
+            score = np.ascontiguousarray(score.reshape(-1, n).T).reshape(n, *data.shape)
+            score -= score.max(axis=0)
             p = np.exp(score)
-            total = p.sum(axis=2, keepdims=True)
+            total = p.sum(axis=0)
             step = np.arange(len(data))[:, None]
             mine = ((step >= np.array(first)) & (step < np.array(stop))).astype(score.dtype)
-            logs = np.einsum("tbl,tb->bl", score, mine) - np.einsum("tb,tb->b", np.log(total[..., 0]), mine)[:, None]
-            rows = [logs, np.einsum("tbl,tb->bl", p, mine / total[..., 0]), mine.sum(axis=0)[:, None]]
+            share = np.divide(mine, total)
+            np.log(total, out=total)
+            total *= mine
+            gone = total.sum(axis=0)
+            logs = np.stack([np.einsum("tb,tb->b", x, mine) - gone for x in score], axis=1)
+            rows = [logs, np.stack([np.einsum("tb,tb->b", x, share) for x in p], axis=1), mine.sum(axis=0)[:, None]]
             np.add.at(out, list(owner), np.concatenate(rows, axis=1))
         return out
 
