@@ -1,4 +1,7 @@
-"""Closures of links by pointer jumping: rounds grow with the logarithm of the longest chain, and every round is a few joins of written tables."""
+"""Closures of links by pointer jumping: rounds grow with the logarithm of the longest chain, and every round is a few joins of written tables.
+
+Both sides of a join grow with the links and there are joins in every round, so they are merged: none is sent to all tasks by way of the driver.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,11 @@ from pyspark.sql import functions as F
 from ..sources.store import dropped, kept
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that goes by way of no driver."""
+    return df.hint("merge")
+
+
 def one_link(links: DataFrame) -> DataFrame:
     """(id, next) with one link for each id, the least; links without an end are left out."""
     return links.where("id is not null and next is not null").groupBy("id").agg(F.min("next").alias("next"))
@@ -17,8 +25,8 @@ def _first(links: DataFrame) -> DataFrame:
     """(id, at, depth, done) of every id and end: done where at has no link onward."""
     ours = one_link(links)
     ends = ours.select(F.col("next").alias("end")).distinct()
-    last = ends.join(ours.select(F.col("id").alias("end")), "end", "left_anti")
-    moved = ours.join(last.withColumn("stops", F.lit(True)), F.col("next") == F.col("end"), "left")
+    last = ends.join(merged(ours.select(F.col("id").alias("end"))), "end", "left_anti")
+    moved = ours.join(merged(last.withColumn("stops", F.lit(True))), F.col("next") == F.col("end"), "left")
     rows = moved.select("id", F.col("next").alias("at"), F.lit(1).cast("long").alias("depth"), F.coalesce("stops", F.lit(False)).alias("done"))
     return rows.unionByName(last.select(F.col("end").alias("id"), F.col("end").alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done")))
 
@@ -37,7 +45,7 @@ def follow(links: DataFrame) -> DataFrame:
         if reach > most or not open_.limit(1).count():
             break
         target = now.select(F.col("id").alias("there"), F.col("at").alias("onward"), F.col("depth").alias("more"), F.col("done").alias("ended"))
-        moved = open_.join(target, F.col("at") == F.col("there")).select("id", F.col("onward").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"))
+        moved = open_.join(merged(target), F.col("at") == F.col("there")).select("id", F.col("onward").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"))
         last, now = now, kept(now.where("done").unionByName(moved), "follow")
         dropped(last)
         reach *= 2
@@ -50,9 +58,9 @@ def chains(links: DataFrame, starts: DataFrame) -> DataFrame:
     rows = kept(starts.select(F.col("id").alias("start")).distinct().select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("place")), "chains")
     most, reach = now.count(), 1
     while now.limit(1).count():
-        step = rows.join(now, "id").select("start", F.col("next").alias("id"), (F.col("place") + reach).alias("place"))
+        step = rows.join(merged(now), "id").select("start", F.col("next").alias("id"), (F.col("place") + reach).alias("place"))
         last, rows = rows, kept(rows.unionByName(step).groupBy("start", "id").agg(F.min("place").alias("place")), "chains")
-        jump = now.alias("a").join(now.alias("b"), F.col("a.next") == F.col("b.id")).select("a.id", "b.next")
+        jump = now.alias("a").join(merged(now.alias("b")), F.col("a.next") == F.col("b.id")).select("a.id", "b.next")
         before, now, reach = now, kept(jump, "jumps"), reach * 2
         dropped(last, before)
         if reach > most:
@@ -71,12 +79,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = kept(ours.unionByName(ours.select(F.col("next").alias("id"), F.col("id").alias("next"))).distinct(), "edges")
     now = kept(edges.select("id").distinct().select("id", F.col("id").alias("f")), "components")
     while True:
-        grand = kept(now.alias("a").join(now.alias("b"), F.col("a.f") == F.col("b.id")).select("a.id", "a.f", F.col("b.f").alias("g")), "grand")
-        least = edges.join(grand.select(F.col("id").alias("next"), "g"), "next").groupBy("id").agg(F.min("g").alias("m"))
-        met = grand.join(least, "id")
+        grand = kept(now.alias("a").join(merged(now.alias("b")), F.col("a.f") == F.col("b.id")).select("a.id", "a.f", F.col("b.f").alias("g")), "grand")
+        least = edges.join(merged(grand.select(F.col("id").alias("next"), "g")), "next").groupBy("id").agg(F.min("g").alias("m"))
+        met = grand.join(merged(least), "id")
         offers = met.select("id", F.least("f", "g", "m").alias("f")).unionByName(met.select(F.col("f").alias("id"), F.col("m").alias("f")))
         new = kept(offers.groupBy("id").agg(F.min("f").alias("f")), "components")
-        changed = new.join(now, ["id", "f"], "left_anti").limit(1).count()
+        changed = new.join(merged(now), ["id", "f"], "left_anti").limit(1).count()
         dropped(now, grand)
         now = new
         if not changed:
@@ -89,5 +97,5 @@ def excluded(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """JN-11: (id) of the seeds and all that links join to one of them, over any number of links in both directions. Null seeds are none."""
     seeds = seeds.select("id").where("id is not null").distinct()
     found = components(links)
-    hit = found.join(seeds, "id", "left_semi").select("component").distinct()
-    return found.join(hit, "component", "left_semi").select("id").unionByName(seeds).distinct()
+    hit = found.join(merged(seeds), "id", "left_semi").select("component").distinct()
+    return found.join(merged(hit), "component", "left_semi").select("id").unionByName(seeds).distinct()

@@ -13,7 +13,7 @@ def exclusion_closure(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     links = part.where("p_partkey % 5 != 0").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("next"))
     out = closure.excluded(part.where("p_size = 1").select(F.col("p_partkey").alias("id")), links)
-    return part.select(F.col("p_partkey").alias("id")).join(out.withColumn("excluded", F.lit(True)), "id", "left").select("id", F.coalesce("excluded", F.lit(False)).alias("excluded"))
+    return part.select(F.col("p_partkey").alias("id")).join(closure.merged(out.withColumn("excluded", F.lit(True))), "id", "left").select("id", F.coalesce("excluded", F.lit(False)).alias("excluded"))
 
 
 def aliases(spark, sf_dir):
@@ -28,10 +28,10 @@ def rewrite_chain(spark, sf_dir):
     """JN-23: every turn with the first one of its chain of rewrites (the turn two before of the same role), how many lie between, and what takes its place."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.struct("conv_id", "turn").alias("id"))
     before = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), "role", F.col("id").alias("next"))
-    links = turns.join(before, ["conv_id", "turn", "role"], "left").select("id", "next")
+    links = turns.join(closure.merged(before), ["conv_id", "turn", "role"], "left").select("id", "next")
     found = closure.follow(links).select("id", F.col("root.turn").alias("first_turn"), "depth")
     after = links.where("next is not null").select(F.col("next").alias("id"), F.col("id.turn").alias("superseded_by"))
-    rest = turns.join(found, "id", "left").join(after, "id", "left")
+    rest = turns.join(closure.merged(found), "id", "left").join(closure.merged(after), "id", "left")
     return rest.select("conv_id", "turn", "role", F.coalesce("first_turn", "turn").alias("first_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "superseded_by")
 
 

@@ -92,3 +92,14 @@ def test_splits_along_long_chains_and_circles(spark):
     df = spark.createDataFrame(posts, "post_id long, sha string, platform string, author string, own boolean, link long")
     found = {x.post_id: x.split for x in rows.assign_splits(df, per_platform=0).collect()}
     assert {found[k] for k in range(75)} == {"heldout"} and (found[100], found[101], found[102], found[103]) == ("train", "heldout", "train", "self")
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Every table that a round writes comes of merged joins, whatever its size."""
+    plans, kept = [], closure.kept
+    monkeypatch.setattr(closure, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    links = spark.createDataFrame([(k, k + 1) for k in range(9) if k != 4], "id long, next long")
+    found = [closure.excluded(spark.createDataFrame([(2,)], "id long"), links), closure.follow(links), closure.chains(links, links.select("id"))]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in found]
+    assert len(plans) > 9 and not any("Broadcast" in p for p in plans)
+    assert sorted(r.id for r in found[0].collect()) == [0, 1, 2, 3, 4]
