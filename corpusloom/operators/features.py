@@ -51,16 +51,19 @@ def features(posts: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("fw", words(F.col("ft"))).withColumn("fs", sentences(F.col("ft"))).withColumn("fp", F.filter(F.split("ft", r"\n\s*\n", -1), lambda p: F.trim(p) != ""))
     counted = lambda c: F.transform(c, lambda x: F.size(words(x)).cast("double"))
     df = df.withColumn("lw", counted(F.col("fn"))).withColumn("sw0", counted(F.col("fs"))).withColumn("sw", F.when(F.exists("sw0", lambda x: x > 0), F.filter("sw0", lambda x: x > 0)).otherwise(F.col("sw0")))
-    n_words, n_chars, x, low = F.size("fw"), F.length("ft"), F.col("ft"), F.transform("fw", F.lower)
+    df = df.withColumn("low", F.transform("fw", F.lower))
+    n_words, n_chars, x, low = F.size("fw"), F.length("ft"), F.col("ft"), F.col("low")
     lines = F.transform("fp", lambda p: F.size(F.filter(F.split(p, "\n"), lambda y: F.trim(y) != "")))
     run = F.aggregate(lines, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, k: F.struct(F.when(k == 1, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["best"], F.when(k == 1, a["now"] + 1).otherwise(0)).alias("best")), lambda a: a["best"])
-    mean, n = _mean(F.col("sw")), F.size("sw")
+    df = df.withColumn("mean", _mean(F.col("sw")))  # a column: inside the lambda below it would be summed again for every sentence
+    mean, n = F.col("mean"), F.size("sw")
     sd = F.when(n > 0, F.sqrt(F.aggregate("sw", F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean)) / n))
     of = lambda names: F.size(F.filter(low, lambda w: w.isin(*names)))
     hits = lambda p: F.regexp_count(x, F.lit(p))
     first = F.coalesce(F.try_element_at("fn", F.lit(1)), F.lit(""))
     head = lambda k: F.when(n_chars <= k, F.lit(True)).otherwise(F.substring(x, 1, k).rlike(r"[.!?…][\"')\]]?\s*$") | F.substring(x, k + 1, 1).eqNullSafe("\n"))
-    i, you, we = of(FIRST), of(SECOND), of(PLURAL)
+    df = df.withColumns({"i": of(FIRST), "you": of(SECOND), "we": of(PLURAL)})
+    i, you, we = F.col("i"), F.col("you"), F.col("we")
     ranked = F.array_sort(F.array(*(F.struct((-c).alias("less"), F.lit(name).alias("name")) for c, name in ((i, "first_singular"), (you, "second"), (we, "first_plural")))))
     dominant = F.when(i + you + we == 0, "third").when((ranked[1]["less"] < 0) & (-ranked[0]["less"] < -1.25 * ranked[1]["less"]), "mixed").otherwise(ranked[0]["name"])
     marks = {"period": r"(?<![.0-9])\.(?![.0-9])|(?<=[0-9])\.(?![.0-9])", "comma": ",", "exclaim": "!", "question": r"\?", "colon": ":", "semicolon": ";", "em_dash": "—", "en_dash": "–", "ellipsis": r"…|\.{3,}", "paren": r"\(", "quote": "[\"“”]"}

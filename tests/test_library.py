@@ -191,3 +191,17 @@ def test_lessons_merge_as_each_with_each_does(spark, monkeypatch):
 def test_lessons_are_not_gathered_by_group(spark):
     plan = compare.consolidate(spark.createDataFrame([(1, "s", "t", "one two"), (2, "s", "t", "one two")], "id long, section string, tag string, instruction string"))
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+
+
+def test_mean_is_no_lambdas_own(spark):
+    """The mean of the sentences is summed once for a text, not again for each sentence, and the words are lowered once."""
+    from corpusloom.operators import features
+
+    df = spark.createDataFrame([(1, "One two. Three you we. I."), (2, None)], "id long, text string")
+    found = features.features(df).select("id", "sent_words.*", "pov.*")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    sd = next(line for line in plan.splitlines() if "sqrt" in line.lower())
+    inner = sd[sd.lower().index("sqrt") :][:400]
+    assert "- mean#" in inner
+    rows = {r.id: r for r in found.collect()}
+    assert (rows[1].mean, rows[1].sd, rows[1].max) == (2.0, 0.8165, 3.0) and rows[1].dominant == "mixed"
