@@ -112,30 +112,39 @@ class Substrings:
         return start, other, best
 
 
+def _distinct(df: DataFrame, name: str, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, text) of the distinct texts, and (key, name) of all rows that have one."""
+    digest = F.unhex(F.sha2(text, 256)).alias(key)
+    df = df.where(F.col(text).isNotNull())
+    return df.select(text).distinct().select(digest, text), df.select(digest, name)
+
+
 def common_strings(texts: DataFrame, references: DataFrame, k: int = 40) -> DataFrame:
     """JN-03: (id, ref, start, ref_start, length): the longest common string of each (id, text) and (ref, ref_text) if it has k characters or more; of equal ones the first in the text, then in the reference.
 
     Two texts have one exactly if they share a string of k characters. Those that do share a hash of a shorter string (window_keys), so these hashes are
-    joined and only the pairs that meet are compared, each in time linear in both texts. Null texts have none.
+    joined and only the pairs that meet are compared, each in time linear in both texts. Equal texts are compared once, and each of their rows gets what
+    was found. Null texts have none.
     """
-    rare = _grams(references, "ref", "ref_text", k)
-    met = _grams(texts, "id", "text", k).join(rare, "gram").select("id", "ref").distinct()
-    pairs = met.join(texts.select("id", "text"), "id").join(references.select("ref", "ref_text"), "ref").sortWithinPartitions("ref")
+    ours, rows = _distinct(texts, "id", "text", "one")
+    theirs, names = _distinct(references, "ref", "ref_text", "two")
+    met = _grams(ours, "one", "text", k).join(_grams(theirs, "two", "ref_text", k), "gram").select("one", "two").distinct()
+    pairs = met.join(ours, "one").join(theirs, "two").sortWithinPartitions("two")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, strings = None, None
         for batch in batches:
             rows = []
-            for one, two, a, b in zip(batch["id"], batch["ref"], batch["text"], batch["ref_text"], strict=True):
+            for one, two, a, b in zip(batch["one"], batch["two"], batch["text"], batch["ref_text"], strict=True):
                 if held != b:
                     held, strings = b, Substrings(b)
                 start, other, length = strings.longest(a)
                 if length >= k:
                     rows.append((one, two, start, other, length))
-            yield pd.DataFrame(rows, columns=["id", "ref", "start", "ref_start", "length"])
+            yield pd.DataFrame(rows, columns=["one", "two", "start", "ref_start", "length"])
 
-    kinds = dict(texts.dtypes)["id"], dict(references.dtypes)["ref"]
-    return pairs.select("id", "ref", "text", "ref_text").mapInPandas(each, f"id {kinds[0]}, ref {kinds[1]}, start long, ref_start long, length long")
+    found = pairs.select("one", "two", "text", "ref_text").mapInPandas(each, "one binary, two binary, start long, ref_start long, length long")
+    return found.join(names, "two").join(rows, "one").select("id", "ref", "start", "ref_start", "length")
 
 
 def _longest_match(a: str, b: str) -> tuple[int, int, int]:

@@ -5,6 +5,7 @@ import time
 from difflib import SequenceMatcher
 
 from corpusloom.operators import compare
+from corpusloom.plans import library
 
 
 def test_as_difflib_finds_them():
@@ -34,6 +35,18 @@ def test_pairs(spark):
     assert compare.common_strings(texts, refs.limit(0), 15).collect() == []
 
 
+def test_every_copy_has_its_pairs(spark, tmp_path):
+    """Copies, texts that differ in case only and rows without an id have what the first of them has."""
+    shared = "Forty characters and some more of one benchmark item"
+    docs = [(3, f"a {shared} b"), (1, f"a {shared} b"), (2, f"A {shared.upper()} B"), (5, f"c {shared[:45]}"), (None, f"a {shared} b"), (6, shared[:39]), (7, None), (8, None)]
+    items = [(10, f"x {shared}"), (11, f"X {shared}"), (12, "nothing of it"), (13, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = library.common_strings(spark, str(tmp_path)).collect()
+    want = [(d, i, SequenceMatcher(None, t.lower(), u.lower(), autojunk=False).find_longest_match().size) for d, t in docs for i, u in items if t and u]
+    assert sorted(map(tuple, found), key=str) == sorted((x for x in want if x[2] >= 40), key=str) and len(found) == 10
+
+
 def test_texts_that_share_k_characters_share_a_key():
     r = random.Random(7)
     for _ in range(300):
