@@ -17,8 +17,7 @@ from ..sources.store import dropped, kept
 PAIR_RATIO = 0.5
 LENGTH_CHANGE = 0.10
 SIMILAR = 0.6
-SHARED, SHARE = 4, 8  # rare tokens that two sets must share before they are compared: at least so many, and one of so many tokens of the smaller
-BLOCK = 4096
+BLOCK = 4096  # sets that have one token in front and are joined by it in one task
 SLICE = 64  # texts whose hashes are held together
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -262,57 +261,38 @@ def closest(candidates: DataFrame, exemplars: DataFrame, n: int = 2) -> DataFram
     return ranked.withColumn("k", place).where(F.col("k") <= n).select(F.col("c_id").alias("id"), F.col("e_id").alias("exemplar"), "same", F.round("jaccard", 6).alias("jaccard"), "k")
 
 
-def _meeting(rows: pd.DataFrame, crossed: bool, least: float) -> Iterator[pd.DataFrame]:
-    """Pairs of rows (id, block, n, first) that share enough of their first tokens (see similar_sets): of two blocks or within one."""
-    left = rows[rows["block"] == rows["block"].min()] if crossed else rows
-    right = rows[rows["block"] != rows["block"].min()] if crossed else rows
-    flat = np.concatenate([*right["first"], np.empty(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(right)), right["first"].map(len))
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    sizes = right["n"].to_numpy(), left["n"].to_numpy()
-    must = [np.ceil(least * n - 1e-9).astype(np.int64) for n in sizes]
-    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-    for at in range(0, len(left), 128):
-        firsts = list(left["first"].iloc[at : at + 128])
-        own = np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
-        mine = np.concatenate([*firsts, np.empty(0, np.int64)]).astype(np.int64)
-        low = np.searchsorted(flat, mine, "left")
-        many = np.searchsorted(flat, mine, "right") - low
-        where = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        shared = np.bincount(np.repeat(own, many) * len(right) + owner[where], minlength=len(firsts) * len(right)).reshape(len(firsts), len(right))
-        n = sizes[1][at : at + 128, None]
-        need = np.minimum(np.maximum(SHARED, np.minimum(n, sizes[0]) // SHARE), np.maximum(must[1][at : at + 128, None], must[0]))
-        i, j = np.nonzero((shared >= need) & (np.minimum(n, sizes[0]) >= (least - 1e-9) * np.maximum(n, sizes[0])))
-        one, two = ids[at + i], others[j]
-        yield pd.DataFrame({"id": np.minimum(one, two), "other": np.maximum(one, two)})[(one != two) if crossed else (one < two)]
-
-
 def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(id, other) of the sets (id, scope, tokens: distinct ones) of one scope with a Jaccard of least or more, id < other.
 
-    Two such sets share at least ceil(least n) tokens; in any common order the first k of these are among the first n - ceil(least n) + k of each. Rare
-    tokens come first, so few pairs share k of those, which is SHARED or the SHARE-th part of n. A scope is dealt to blocks of about BLOCK sets, and a task counts for two blocks.
+    Two such sets share c = ceil(least / (1 + least) (n + m)) tokens or more. In a common order, rare tokens first, the first shared one is then among the
+    first n - c + 1 of the one and m - c + 1 of the other, so these are joined. Of the pairs that meet, those whose parity bitmaps differ in more bits than
+    n + m - 2 c are none; the rest are compared whole. A token that more than BLOCK sets have in front is dealt to blocks, and a task counts for two of them.
     """
-    tokens = sets.select("id", "scope", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = tokens.groupBy("scope", "token").agg(F.count("*").alias("df"))
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h")))), lambda x: x["h"])
-    firsts = tokens.join(often, ["scope", "token"]).groupBy("id", "scope", "n").agg(ranked.alias("all"))
-    firsts = firsts.select("id", "scope", "n", F.slice("all", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + F.greatest(F.lit(SHARED), F.floor(F.col("n") / SHARE))).cast("int")).alias("first"))
-    blocks = sets.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = firsts.join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), "blocks").cast("int"))
-    dealt = dealt.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("scope", F.least("block", "beside").alias("low"), F.greatest("block", "beside").alias("high"), "id", "block", "n", "first")
-
-    def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [x for x in _meeting(rows, key[1] != key[2], least) if len(x)] if key[1] == key[2] or rows["block"].nunique() > 1 else []
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "other": []})
-
-    kind = dict(sets.dtypes)["id"]
-    met = dealt.groupBy("scope", "low", "high").applyInPandas(each, f"id {kind}, other {kind}")
-    whole = met.join(sets.select("id", F.col("tokens").alias("x")), "id").join(sets.select(F.col("id").alias("other"), F.col("tokens").alias("y")), "other")
+    share, bits = least / (1 + least), [f"bits{w}" for w in range(4)]
+    tokens = sets.select("id", F.xxhash64("scope").alias("at"), "scope", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
+    tokens = tokens.select("id", "at", "n", F.xxhash64("scope", "word").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    parity = [F.expr(f"bit_xor(if((token & 192) = {64 * w}, shiftleft(1L, cast(token & 63 as int)), 0L))").alias(x) for w, x in enumerate(bits)]
+    listed = tokens.join(often, "token").groupBy("id", "at", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), *parity)
+    front = F.slice("all", 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
+    firsts = listed.select("id", "n", *bits, F.posexplode(front).alias("p", "first")).select("id", "n", *bits, "p", "first.token", "first.df")
+    firsts = kept(firsts.where("df > 1").drop("df"), "firsts")
+    heavy = firsts.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = firsts.join(F.broadcast(heavy), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "beside").alias("low"), F.greatest("block", "beside").alias("high"), "id", "n", "p", "block", *bits)
+    few = dealt.where(F.col("p") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)).alias("x")  # p counts from 0; x is the smaller set
+    n, m, must = F.col("x.n"), F.col("y.n"), F.ceil(share * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    good = (n < m) | ((n == m) & (F.col("x.id") < F.col("y.id")))
+    good &= (F.col("x.p") <= n - must) & (F.col("y.p") <= m - must)
+    good &= (F.col("x.block") != F.col("y.block")) == (F.col("x.low") != F.col("x.high"))
+    good &= sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits), F.lit(0)) <= n + m - 2 * must
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "low", "high")]
+    met = few.join(dealt.alias("y"), [*same, good]).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct()
+    met = kept(met, "met")
+    whole = met.join(sets.select("id", F.col("scope").alias("a"), F.col("tokens").alias("x")), "id").join(sets.select(F.col("id").alias("other"), F.col("scope").alias("b"), F.col("tokens").alias("y")), "other")
     common = F.size(F.array_intersect("x", "y"))
-    return whole.where(common / (F.size("x") + F.size("y") - common) >= least).select("id", "other")
+    return whole.where(F.col("a").eqNullSafe(F.col("b")) & (common / (F.size("x") + F.size("y") - common) >= least)).select("id", "other")
 
 
 def _leaders(pairs: DataFrame) -> DataFrame:

@@ -98,9 +98,8 @@ def published_edits(spark, sf_dir):
 
 def lessons(spark, sf_dir):
     """ST-03: items of near-equal words merged in order."""
-    items = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("section"), F.when(F.col("turn") < 2, "early").otherwise("late").alias("tag"), F.coalesce("text", F.lit("")).alias("instruction"), (F.col("conv_id") % 10).alias("part"))
-    parted = items.withColumn("tag", F.concat_ws("-", "tag", F.col("part").cast("string"))).drop("part")
-    return compare.consolidate(parted).select("id", "merged_into")
+    items = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("section"), F.when(F.col("turn") < 2, "early").otherwise("late").alias("tag"), F.coalesce("text", F.lit("")).alias("instruction"))
+    return compare.consolidate(items).select("id", "merged_into")
 
 
 def exemplars(spark, sf_dir):

@@ -188,6 +188,38 @@ def test_lessons_merge_as_each_with_each_does(spark, monkeypatch):
     assert {x.id: x.merged_into for x in found.collect()} == want
 
 
+def test_lessons_of_different_conversations_merge(spark, tmp_path):
+    """No turn is left out for the number of its conversation: the query's pairs are those of all turns of one role, early or late."""
+    from corpusloom.plans import library
+
+    r, words = random.Random(5), [f"w{k}" for k in range(40)]
+    turns = [(c, t, ("user", "assistant")[t % 2], " ".join(r.choices(words, k=r.randint(1, 7)))) for c in range(60) for t in range(4)]
+    turns += [(61, 0, "user", "one two three four five"), (72, 0, "user", "one two three four six"), (83, 0, "assistant", "one two three four five"), (84, 0, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want, open_ = {c * 1000 + t: None for c, t, _, _ in turns}, [(c * 1000 + t, (role, t < 2), set((text or "").split())) for c, t, role, text in sorted(turns)]
+    for n, (k, scope, one) in enumerate(open_):
+        for j, other, two in open_[n + 1 :]:
+            if scope == other and want[k] is None and want[j] is None and one | two and len(one & two) / len(one | two) >= 0.6:
+                want[j] = k
+    found = {x.id: x.merged_into for x in library.lessons(spark, str(tmp_path)).collect()}
+    assert found == want and found[72_000] == 61_000 and any(j and k // 1000 % 10 != j // 1000 % 10 for k, j in found.items() if k < 61_000)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_similar_sets_are_those_of_all_pairs(spark, monkeypatch, block):
+    """Small and large sets, near copies, and a token that all have; by blocks of one token and without."""
+    r, sets = random.Random(9), []
+    for k in range(150):
+        near = r.choice(sets)[2] if sets and r.random() < 0.5 else []
+        tokens = {t for t in near if r.random() < 0.95} | {f"t{r.randint(0, 400)}" for _ in range(r.choice([0, 1, 3, 40]))} | {"all"}
+        sets.append((k, r.choice([("a", None), (None, "a"), ("a", "b")]), sorted(tokens)))
+    monkeypatch.setattr(compare, "BLOCK", block)
+    df = spark.createDataFrame(sets, "id long, scope struct<section: string, tag: string>, tokens array<string>")
+    want = {(i, j) for i, s, x in sets for j, u, y in sets if i < j and s == u and 5 * len({*x} & {*y}) >= 3 * len({*x} | {*y})}
+    found = [tuple(x) for x in compare.similar_sets(df).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+
+
 def test_lessons_are_not_gathered_by_group(spark):
     plan = compare.consolidate(spark.createDataFrame([(1, "s", "t", "one two"), (2, "s", "t", "one two")], "id long, section string, tag string, instruction string"))
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
